@@ -7,7 +7,8 @@ from .functions.calendar import (Calendar, business_days_between, clock_to_utc,
 from .functions.params import bind, coerce, render, render_path, resolve, sql_literal, with_literals
 from .operators.anomalies import Anomalies, detect_anomalies
 from .operators.checks import (AllowedValues, CheckResult, ColumnTypes, Conditions, EarlierRun, Freshness, NoMissing,
-                               RowCount, RowCountCompared, Unique, broken_rows, check_table)
+                               RowCount, RowCountCompared, Unique, broken_rows, check_table, repeated_keys,
+                               unread_values)
 from .operators.file_checks import check_files
 from .operators.ledger import Ledger
 from .operators.profile import (Profile, assert_finite, correlations, custom_statistics, finite_or_null, histograms,

@@ -126,7 +126,9 @@ def clock_to_utc(wall: Column, zone: str) -> Column:
     clock skips the moment of the jump."""
     utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
     back = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
-    # A skipped time is taken with the offset before the jump, which lies at most the jump's length earlier.
-    seconds = F.sequence(utc - (back - wall), utc, F.expr("INTERVAL 1 SECOND"))
+    # A skipped time is taken with the offset before the jump, which lies at most the jump's length earlier, at a
+    # whole second.
+    whole = utc - F.make_dt_interval(secs=F.date_part(F.lit("SECOND"), wall) - F.second(wall))
+    seconds = F.sequence(whole - (back - wall), whole, F.expr("INTERVAL 1 SECOND"))
     jump = F.get(F.filter(seconds, lambda t: F.convert_timezone(F.lit("UTC"), F.lit(zone), t) >= wall), F.lit(0))
     return F.when(back == wall, utc).otherwise(jump)

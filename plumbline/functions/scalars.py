@@ -121,7 +121,7 @@ def read_number(text: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma text as a list, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda item: item != "")
+    return F.filter(F.transform(F.split(text, ","), lambda item: F.trim(item)), lambda item: item != "")
 
 
 def _unit_value(text: Column, number: str, unit: str, units: dict) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import OperatorError
 from ..functions.kinds import col, need_columns
@@ -62,7 +62,7 @@ class Ledger:
     def _schema(self, table: str):
         if table not in TABLES:
             raise OperatorError(f"the ledger has no table {table!r} (its tables: {', '.join(TABLES)})")
-        return self.spark.createDataFrame([], TABLES[table]).schema
+        return T.StructType.fromDDL(TABLES[table])
 
 
 def latest_state(events: DataFrame, keys, order: str) -> DataFrame:

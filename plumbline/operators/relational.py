@@ -70,7 +70,7 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end:
     real = spans.where(col(end) > col(start)).withColumns({"__lo": lo, "__hi": hi})
     size = F.ceil(F.log2(F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1)).cast("double"))).cast("int")
     sized = real.withColumn("__size", size)
-    width = F.shiftleft(F.lit(1).cast("bigint"), F.col("__size"))
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__size"))
     cells = F.sequence(F.floor(F.col("__lo") / width), F.floor(F.col("__hi") / width))
     listed = sized.select(key_of(by).alias(KEY), "__size", F.explode(cells).alias("__cell"),
                           *[col(c) for c in spans.columns if c not in by])
@@ -79,7 +79,7 @@ def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end:
         sizes = [0]
     own = points.withColumns({KEY: key_of(by), "__p": _number(points, point)})
     looked = own.withColumn("__size", F.explode(F.array(*[F.lit(s) for s in sizes]))).withColumn(
-        "__cell", F.floor(F.col("__p") / F.shiftleft(F.lit(1).cast("bigint"), F.col("__size"))))
+        "__cell", F.floor(F.col("__p") / width))
     met = looked.join(listed, [KEY, "__size", "__cell"])
     inside = met.where((col(start) <= col(point)) & (col(point) < col(end)))
     return inside.select(*[col(c) for c in points.columns], *[col(c) for c in spans.columns if c not in by])

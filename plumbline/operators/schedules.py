@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import OperatorError
 from ..functions.calendar import clock_to_utc
@@ -59,8 +59,8 @@ def parse_cron(line: str) -> dict:
     return {**found, "either": parts[2] != "*" and parts[4] != "*"}
 
 
-CRON_TYPE = ("minutes array<int>, hours array<int>, days array<int>, months array<int>, weekdays array<int>, "
-             "either boolean")
+_NUMBERS = T.ArrayType(T.IntegerType())
+CRON_TYPE = T.StructType([*[T.StructField(f"{name}s", _NUMBERS) for name in FIELDS], T.StructField("either", T.BooleanType())])
 
 
 @F.pandas_udf(CRON_TYPE)

@@ -41,7 +41,7 @@ def records_to_table(df: DataFrame, json_column: str, keep=()) -> DataFrame:
     merged = (facts["schema"] or "").strip()
     if not merged.upper().startswith("ARRAY<OBJECT<") or merged.upper() == "ARRAY<OBJECT<>>":
         return df.select(*kept).limit(0)
-    element = T._parse_datatype_string(_ddl(merged))
+    element = T.DataType.fromDDL(_ddl(merged))
     if _has_variant(element):
         raise OperatorError(f"{json_column}: its records do not make a table: a field holds values of different types")
     rows = df.where(col(json_column).isNotNull()).select(
