@@ -161,9 +161,9 @@ def duration_text(span: Column) -> Column:
     hours = F.date_part(F.lit("DAY"), size) * 24 + F.date_part(F.lit("HOUR"), size)
     seconds = F.date_part(F.lit("SECOND"), size)
     shown = F.regexp_replace(F.format_string("%09.6f", seconds.cast("double")), r"\.?0+$", "")
-    tail = F.when(seconds == F.floor(seconds), F.format_string("%02d", F.floor(seconds))).otherwise(shown)
-    return F.concat(F.when(below, "-").otherwise(""), F.format_string("%02d", hours), F.lit(":"),
-                    F.format_string("%02d", F.date_part(F.lit("MINUTE"), size)), F.lit(":"), tail)
+    tail = F.when(seconds == F.floor(seconds), F.format_string("%02d", F.floor(seconds).cast("bigint"))).otherwise(shown)
+    return F.concat(F.when(below, "-").otherwise(""), F.format_string("%02d", hours.cast("bigint")), F.lit(":"),
+                    F.format_string("%02d", F.date_part(F.lit("MINUTE"), size).cast("bigint")), F.lit(":"), tail)
 
 
 def number_text(x: Column) -> Column:
