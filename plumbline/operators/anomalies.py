@@ -67,7 +67,8 @@ def series_units(times: DataFrame) -> DataFrame:
     unit = F.when(at_least[DAY], DAY).when(at_least[HOUR], HOUR).when(at_least[MINUTE], MINUTE).otherwise(SECOND)
     known = gaps.groupBy(KEY).agg(unit.cast("bigint").alias("unit"))
     every = times.groupBy(KEY).agg(F.lit(SECOND).cast("bigint").alias("alone"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    return every.join(known, KEY, "left").select(KEY, F.coalesce("unit", "alone").alias("unit"), "lo", "hi")
+    found = every.join(known, KEY, "left")
+    return found.select(KEY, F.coalesce("unit", "alone").alias("unit"), "lo", "hi")
 
 
 def latest_earlier_values(points: DataFrame, by: list[str], last: int, chunks: bool) -> DataFrame:
@@ -178,7 +179,7 @@ class Anomalies:
         first = named.groupBy(KEY).agg(F.array_join(F.sort_array(F.collect_list(
             F.struct("__whole", s.at(F.col("__whole"), F.col("__unit")).alias("d"))))["d"], ", ").alias("first_dates"))
         totals = per_date.groupBy(KEY).agg(F.count("*").alias("dates"), F.sum("n").alias("rows"))
-        return totals.join(first, KEY).select(s.label.alias("series"), "dates", "rows", "first_dates")
+        return totals.join(s.per_series(first), KEY).select(s.label.alias("series"), "dates", "rows", "first_dates")
 
     @cached_property
     def behind(self) -> DataFrame:
@@ -200,7 +201,7 @@ class Anomalies:
                                        (F.max(F.col("unit") == DAY) & _half_at_least("gap", MONTH)).alias("monthly"))
         steps = apart.groupBy(KEY, "gap").agg(F.count("*").alias("times"))
         usual = steps.groupBy(KEY).agg(F.max(F.struct("times", -F.col("gap"))).alias("m"))
-        both = facts.join(usual, KEY).withColumns({"step": -F.col("m")["col2"], "times": F.col("m")["times"]})
+        both = facts.join(s.per_series(usual), KEY).withColumns({"step": -F.col("m")["col2"], "times": F.col("m")["times"]})
         dates = F.floor((F.col("hi") - F.col("lo")) / F.col("step")) + 1
         why = (F.when(F.col("monthly"), "a month or more apart").when(2 * F.col("times") < F.col("n"), "no regular step")
                .when(dates > MOST_DATES, "too many dates"))
@@ -215,7 +216,7 @@ class Anomalies:
         at_us = F.col("__whole") * F.col("__unit")
         has = s.points.groupBy(KEY).agg(F.collect_set(s.weekday_of(at_us)).alias("weekdays"),
                                         F.collect_set(s.hour_of(at_us)).alias("hours"))
-        grid = s.pairs.join(steps, KEY).join(has, KEY)
+        grid = s.pairs.join(s.per_series(steps), KEY).join(s.per_series(has), KEY)
         first = F.col("lo") + (F.floor((F.col("prev") - F.col("lo")) / F.col("step")) + 1).cast("bigint") * F.col("step")
         final = F.col("lo") + (F.ceil((F.col("next") - F.col("lo")) / F.col("step")) - 1).cast("bigint") * F.col("step")
         gaps = grid.withColumns({"a": first, "b": final}).where("a <= b")
@@ -234,7 +235,7 @@ class Anomalies:
             F.sort_array(F.collect_list(F.struct("w", "date")))["date"], ", ").alias("first_dates"))
         found = missing.groupBy(KEY).agg(F.count("*").alias("missing"))
         step = _step_text(F.col("step") * F.col("unit"))
-        listed = self._steps.join(found, KEY, "left").join(first, KEY, "left")
+        listed = self._steps.join(s.per_series(found), KEY, "left").join(s.per_series(first), KEY, "left")
         return listed.where("missing > 0 OR not_checked IS NOT NULL").select(
             s.label.alias("series"), F.when(F.col("not_checked").isNull(), step).alias("step"),
             F.when(F.col("not_checked").isNull(), F.coalesce("missing", F.lit(0))).alias("missing"),
@@ -351,6 +352,10 @@ class _Setup:
         """Each series' unit. None where all are days: dates without times are always a day or more apart."""
         return None if self.daily else cut(series_units(self.base.select(KEY, F.col("__t").alias("t"))))
 
+    def per_series(self, df: DataFrame) -> DataFrame:
+        """A table of a row per series, to be joined to others: without groups it is one row, and broadcast."""
+        return df if self.groups else F.broadcast(df)
+
     @cached_property
     def chunks(self) -> bool:
         """Whether a series spans more whole dates than a window should see."""
@@ -366,7 +371,7 @@ class _Setup:
         if self.units is None:
             found = self.base.withColumn("__unit", F.lit(DAY).cast("bigint"))
         else:
-            found = self.base.join(self.units.select(KEY, F.col("unit").alias("__unit")), KEY)
+            found = self.base.join(self.per_series(self.units.select(KEY, F.col("unit").alias("__unit"))), KEY)
         block = {"none": F.lit(0), "weekday": self.weekday_of(F.col("__t")), "hour of day": self.hour_of(F.col("__t"))}
         return found.withColumns({"__whole": F.floor(F.col("__t") / F.col("__unit")).cast("bigint"),
                                   "__block": block[self.pattern]})
@@ -379,7 +384,7 @@ class _Setup:
         found = consecutive_pairs(spans, KEY, "first", "last", [CHUNK_DATES])
         if self.units is None:
             return found.withColumn("unit", F.lit(DAY).cast("bigint"))
-        return found.join(self.units.select(KEY, "unit"), KEY)
+        return found.join(self.per_series(self.units.select(KEY, "unit")), KEY)
 
     # --- judging ---------------------------------------------------------------------------------------------
 

@@ -15,7 +15,6 @@ from ..functions.kinds import col, need_columns
 from ..functions.readers import micros
 from ..plans.lineage import cut
 from ..plans.ordered import CHUNK, KEY, chunk_of, chunk_width, key_of, running
-from ..plans.ranked import values_at_ranks
 from ..sources.files import escape_glob, path_exists
 
 # The ledger's tables and their columns.
@@ -100,10 +99,10 @@ def last_success(runs: DataFrame, steps: DataFrame, flow_path: str, step: str, b
     return found.orderBy(F.desc("run_id")).limit(1)
 
 
-def previous_success(runs: DataFrame, steps: DataFrame, width: int | None = -1) -> DataFrame:
+def previous_success(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """Every step result with the run and rows of its step's latest earlier success (previous_run, previous_rows)."""
     found = _results(runs, steps)
-    width = chunk_width(found, F.col("run_id")) if width == -1 else width
+    width = chunk_width(runs, F.col("run_id"))  # (a step is in a run once)
     good = F.when(F.col("status") == "success", F.struct("run_id", "rows"))
     keyed = found.withColumns({KEY: key_of(["flow_path", "step"]), CHUNK: chunk_of(F.col("run_id"), width), "__good": good})
     seen = running(keyed, KEY, CHUNK, ["run_id"], {"__last": ("last", "__good")}, before=True, one_chunk=width is None)
@@ -204,8 +203,8 @@ def runs_to_forget(runs: DataFrame, keeps: DataFrame, now: dt.datetime, default_
     """The finished runs that every start they count for lets go: run_id.
 
     `keeps`: flow_path, start, keep (all, last N, a period; null: the default period) and keep_failed. A run that counts
-    for no start goes when it is older than the default period. "The last N" of a start is a threshold, the id of its
-    N-th newest run, found without sorting the start's runs in one task."""
+    for no start goes when it is older than the default period. How many of a start's runs are newer is a running count,
+    carried across chunks of run numbers, so a start that has most of the runs is still many tasks."""
     kind, _ = parse_keep(default_keep)
     if kind in ("all", "last"):
         raise OperatorError(f"the default {default_keep!r} is no period: write N days, months or years")
@@ -224,15 +223,13 @@ def runs_to_forget(runs: DataFrame, keeps: DataFrame, now: dt.datetime, default_
     counted = finished.where(~free).withColumn("start", F.explode(F.split("counts_for", ", ")))
     ruled = counted.join(rules, ["flow_path", "start"])
 
-    numbered = ruled.where("last_n IS NOT NULL").select("flow_path", "start", "run_id", "last_n")
-    ids = numbered.groupBy("flow_path", "start", F.col("run_id").cast("double").alias("x")).agg(F.count("*").alias("n"))
-    totals = numbered.groupBy("flow_path", "start").agg(F.count("*").alias("total"), F.max("last_n").alias("last_n"))
-    ranks = totals.where("total > last_n").select("flow_path", "start", (F.col("total") - F.col("last_n")).alias("r"))
-    oldest = values_at_ranks(ids, ["flow_path", "start"], ranks).select(
-        "flow_path", "start", F.col("x").cast("bigint").alias("oldest_kept"))
-    judged = ruled.join(oldest, ["flow_path", "start"], "left")
+    width = chunk_width(runs, F.col("run_id"))
+    order = -F.col("run_id")
+    keyed = ruled.withColumns({KEY: key_of(["flow_path", "start"]), CHUNK: chunk_of(order, width), "__order": order, "__one": F.lit(1)})
+    judged = running(keyed, KEY, CHUNK, ["__order"], {"__newer": ("sum", "__one")}, before=True, one_chunk=width is None)
+    newer = F.coalesce(F.col("__newer"), F.lit(0))
     goes = (F.when(F.col("keep_failed") & (F.col("status") == "failed"), False)
-            .when(F.col("last_n").isNotNull(), F.coalesce(F.col("run_id") < F.col("oldest_kept"), F.lit(False)))
+            .when(F.col("last_n").isNotNull(), newer >= F.col("last_n"))
             .otherwise(F.coalesce(F.col("started") < F.col("since"), F.lit(False))))
     let_go = judged.withColumn("goes", goes).groupBy("run_id").agg(F.bool_and("goes").alias("goes"))
     return let_go.where("goes").select("run_id").unionByName(loose)

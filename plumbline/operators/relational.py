@@ -26,12 +26,13 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, values, strict: bool = False,
-              right_order=()) -> DataFrame:
+              right_order=(), width: int | None = -1) -> DataFrame:
     """Each left row with the right side's `values` at the latest right_time at or before (strict: before) its own.
     `right_order`: columns that say which of several right rows at one time is the latest.
 
     Both sides are put in one order and each left row takes the last right row before it: no pair of rows is formed
-    but the one kept. The order is cut into chunks, so one key may hold most of either table."""
+    but the one kept. The order is cut into chunks, so one key may hold most of either table. `width`: how wide a chunk
+    is (microseconds for times; None: one chunk), to save the pass that finds it."""
     by = [by] if isinstance(by, str) else list(by)
     need_columns(left, [*by, left_time], "Left")
     need_columns(right, [*by, right_time, *values, *right_order], "Right")
@@ -48,7 +49,7 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time:
         col(right_time).cast(left.schema[left_time].dataType).alias("__t"),
         F.lit(1 if strict else 0).alias("__side"), payload.alias("__r"), order.alias("__o"))
     both = ours.unionByName(theirs, allowMissingColumns=True)
-    width = chunk_width(both, F.col("__n"))
+    width = chunk_width(both, F.col("__n")) if width == -1 else width
     both = both.withColumn(CHUNK, F.coalesce(chunk_of(F.col("__n"), width), F.lit(-(1 << 62))))
     found = running(both, KEY, CHUNK, ["__t", "__side", "__o"], {"__found": ("last", "__r")}, one_chunk=width is None)
     return found.where("__l IS NOT NULL").select("__l.*", *[F.when(F.col("__t").isNotNull(), F.col("__found")[v]).alias(v)

@@ -11,7 +11,7 @@ from ..errors import OperatorError
 from ..functions.calendar import clock_to_utc
 from ..functions.kinds import col, need_columns
 from ..functions.readers import micros, moment_of
-from ..plans.ordered import CHUNK, KEY, chunk_of, chunk_width, key_of, running
+from ..plans.ordered import CHUNK, CHUNK_ROWS, KEY, chunk_of, chunk_width, key_of, running
 from .relational import asof_join
 
 # cron's names and ranges, how late still counts as on time, the misfire policies.
@@ -21,6 +21,7 @@ FIELDS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12),
 ON_TIME_SECONDS = 120
 POLICIES = ("skip", "run_once", "catch_up")
 TICKS = 10_000  # times listed from one row at once
+CHUNK_MINUTES = (CHUNK_ROWS // 2) * 60_000_000  # a stretch in which a schedule is due no more often than a chunk holds
 _PIECE = re.compile(r"(\*|\w+)(?:-(\w+))?(?:/(\d+))?")
 
 
@@ -166,8 +167,10 @@ def missed_runs(due: DataFrame, starts: DataFrame, key: str = "schedule_id", sta
     need_columns(due, [key, "due_at"], "Due times")
     need_columns(starts, [key, started], "Starts")
     times = due.select(key, "due_at").distinct()
+    # (a schedule is due once a minute at most, so its starts say how wide a chunk of both may be)
+    width = chunk_width(starts, micros(col(started)), CHUNK_ROWS // 2)
     answered = asof_join(starts.select(key, started), times.withColumn("__due", F.col("due_at")), key, started, "__due",
-                         ["due_at"])
+                         ["due_at"], width=width if width is None else min(width, CHUNK_MINUTES))
     first = answered.where("due_at IS NOT NULL").groupBy(key, "due_at").agg(F.min(started).alias("started"))
     found = times.join(first, [key, "due_at"], "left")
     late = (micros(F.col("started")) - micros(F.col("due_at"))) / 1_000_000

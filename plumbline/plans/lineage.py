@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,6 +19,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read back from there by every later use."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written to the checkpoint folder and read back from there by every later use: as Parquet, so that later uses
+    read only their columns and know its size; as a checkpoint where a column has a type Parquet does not."""
+    spark = df.sparkSession
+    path = posixpath.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
+    try:
+        df.write.parquet(path)
+    except AnalysisException:
+        return df.checkpoint(eager=True)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 COARSE = 64  # buckets per e-fold in the first pass
@@ -25,43 +27,49 @@ def _buckets(x: Column) -> tuple[Column, Column]:
             F.when(x == 0, F.lit(0)).otherwise(sign * fine).cast("bigint"))
 
 
-def values_at_ranks(counts: DataFrame, keys: list[str], ranks: DataFrame, value: str = "x", n: str = "n",
-                    rank: str = "r") -> DataFrame:
-    """The exact value at each rank (from 0) of each group, in ascending order, with no group sorted in one task.
+def values_at_ranks(counts: DataFrame, keys: list[str], ranks: Callable[[Column], Column], value: str = "x",
+                    n: str = "n") -> DataFrame:
+    """The exact values at some ranks (from 0) of each group in ascending order, with no group sorted in one task:
+    (keys, r, value, total). `counts` has a row per group and distinct finite number with how many rows hold it; `ranks`
+    gives the wanted ranks, as an array, from a group's total.
 
-    `counts` has a row per group and distinct finite number with how many rows hold it; `ranks` the wanted ranks per
-    group. Each pass counts rows per bucket, finds the bucket a rank falls in and looks only inside it next."""
+    Rows are counted per coarse bucket, then per fine bucket inside the coarse ones a rank falls in, and only the values
+    of the fine ones a rank falls in are put in order. A window sees at most a group's buckets, or one bucket's values."""
     coarse, fine = _buckets(F.col(value))
-    rows = counts.select(*keys, F.col(value), F.col(n), coarse.alias("__b1"), fine.alias("__b2"))
+    rows = counts.select(*keys, F.col(value), F.col(n).alias("__n"), coarse.alias("__b1"), fine.alias("__b2"))
 
-    def find(level: DataFrame, by: list[str], at: str, wanted: DataFrame) -> DataFrame:
-        upto = F.sum("__n").over(W.partitionBy(*by).orderBy(at))
-        placed = level.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__n"))
-        return (placed.join(wanted, by).where("__left >= __from AND __left < __upto")
-                .withColumn("__left", F.col("__left") - F.col("__from")).drop("__n", "__upto", "__from"))
+    def placed(level: DataFrame, by: list[str], order: str) -> DataFrame:
+        """Adds the ranks each row covers, __from up to but without __upto, and keeps the rows that cover a wanted one."""
+        upto = F.col("__start") + F.sum("__n").over(W.partitionBy(*by).orderBy(order))
+        spans = level.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__n"))
+        wanted = F.filter(ranks(F.col("total")), lambda r: (r >= F.col("__from")) & (r < F.col("__upto")))
+        return spans.withColumn("__wanted", wanted).where(F.size("__wanted") > 0)
 
-    wanted = ranks.select(*keys, F.col(rank), F.col(rank).alias("__left"))
-    by = list(keys)
-    for bucket in ("__b1", "__b2"):
-        level = rows.groupBy(*by, bucket).agg(F.sum(n).alias("__n"))
-        wanted = find(level, by, bucket, wanted)
-        by = [*by, bucket]
-        rows = rows.join(wanted.select(*by).distinct(), by, "left_semi")
-    found = find(rows.withColumnRenamed(n, "__n"), by, value, wanted)
-    return found.select(*keys, rank, value)
+    counted = rows.groupBy(*keys, "__b1").agg(F.sum("__n").alias("__n")).withColumns({
+        "total": F.sum("__n").over(W.partitionBy(*keys)), "__start": F.lit(0).cast("bigint")})
+    in_coarse = placed(counted, keys, "__b1").select(*keys, "__b1", F.col("__from").alias("__start"), "total")
+    by = [*keys, "__b1"]
+    counted = rows.join(in_coarse, by).groupBy(*by, "__b2").agg(
+        F.sum("__n").alias("__n"), F.max("__start").alias("__start"), F.max("total").alias("total"))
+    in_fine = placed(counted, by, "__b2").select(*by, "__b2", F.col("__from").alias("__start"), "total")
+    by = [*by, "__b2"]
+    found = placed(rows.join(in_fine, by), by, value)
+    return found.select(*keys, F.explode("__wanted").alias("r"), value, "total")
 
 
 def percentiles(counts: DataFrame, keys: list[str], at: dict[str, float], value: str = "x", n: str = "n") -> DataFrame:
     """Exact percentiles with linear interpolation between neighbours: a row per group, a column per name in `at`."""
-    totals = counts.groupBy(*keys).agg(F.sum(n).alias("__total"))
-    places = totals.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("__total") - 1)).alias("h")) for name, p in at.items()]))
-        .alias("p")).select(*keys, "p.name", "p.h")
-    both = places.select(*keys, "name", "h", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("r"))
-    values = values_at_ranks(counts, keys, both.select(*keys, "r").distinct(), value, n)
-    placed = both.distinct().join(values, [*keys, "r"])
-    share = F.col("h") - F.floor("h")
-    low, high = F.min(value), F.max(value)
-    each = placed.groupBy(*keys, "name", "h").agg(low.alias("lo"), high.alias("hi")).withColumn(
-        "v", F.col("lo") + (F.col("hi") - F.col("lo")) * share)
-    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in at])
+    def place(p: float, total: Column) -> Column:
+        return F.lit(p) * (total - 1)
+
+    found = values_at_ranks(counts, keys, lambda total: F.array_distinct(F.array(
+        *[f(place(p, total)) for p in at.values() for f in (F.floor, F.ceil)])), value, n)
+    total = F.col("total")
+    ends = [F.max(F.when(F.col("r") == f(place(p, total)), F.col(value))).alias(f"{name}:{side}")
+            for name, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    wide = found.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
+    made = {}
+    for name, p in at.items():
+        low, high = F.col(f"`{name}:lo`"), F.col(f"`{name}:hi`")
+        made[name] = low + (high - low) * (place(p, total) - F.floor(place(p, total)))
+    return wide.select(*keys, *[c.alias(name) for name, c in made.items()])

@@ -138,8 +138,8 @@ def test_values_at_ranks_of_hard_numbers(spark):
               5: [2.0 ** e for e in range(-50, 50)] + [-2.0 ** e for e in range(-50, 50)]}
     rows = [(g, v) for g, values in groups.items() for v in values]
     counts = spark.createDataFrame(rows, "g int, x double").groupBy("g", "x").agg(F.count("*").alias("n"))
-    ranks = spark.createDataFrame([(g, r) for g, values in groups.items() for r in range(0, len(values), 7)], "g int, r bigint")
-    found = {(r.g, r.r): r.x for r in values_at_ranks(counts, ["g"], ranks).collect()}
+    ranks = values_at_ranks(counts, ["g"], lambda total: F.sequence(F.lit(0), total - 1, F.lit(7)))
+    found = {(r.g, r.r): r.x for r in ranks.collect()}
     assert found == {(g, r): sorted(values)[r] for g, values in groups.items() for r in range(0, len(values), 7)}
 
 
