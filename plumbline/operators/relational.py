@@ -13,6 +13,7 @@ from ..functions.kinds import col, need_columns
 from ..functions.params import bind
 from ..functions.readers import micros
 from ..plans.ordered import CHUNK, KEY, chunk_of, chunk_width, key_of, running
+from ..sources.files import with_row_number
 
 LINE = "line"
 
@@ -101,10 +102,9 @@ def for_each_row(spark: SparkSession, items: DataFrame, body: str, inputs: dict[
     """A query run for each row of an items table: `body` is a SELECT that names the item's columns as item.column.
     Gives the item's place from 1 (item_index, in the order of `order_by`), the item's columns and the query's.
     Spark turns the correlated query into one join."""
-    from ..sources.files import with_row_number
-
     if "item_index" not in items.columns:
         items = with_row_number(items, "item_index", order_by)
+    items = items.select("item_index", *[col(c) for c in items.columns if c != "item_index"])
     text, args = bind(body.strip().rstrip(";"), params or {})
     frames = {"__items": items, **(inputs or {})}
     for name in inputs or {}:
