@@ -13,7 +13,7 @@ from .operators.file_checks import check_files
 from .operators.ledger import Ledger
 from .operators.profile import (Profile, assert_finite, correlations, custom_statistics, finite_or_null, histograms,
                                 profile, rows_over_time, rows_per_group, top_values)
-from .operators.python_code import Step, each_group, map_batches, per_group, run_python
+from .operators.python_code import Step, map_batches, per_group, run_python
 from .operators.relational import (asof_join, attach, for_each_row, merge_lines, preview, range_join, route, route_rows,
                                    scrub, status_rollup)
 from .operators.schedules import (cron_due, due_instants, due_times, every_due, misfire, missed_runs, once_due,

@@ -119,6 +119,14 @@ def profile_custom(t):
                         F.round("done_share", 6).alias("done_share"), "big_orders", "customers")
 
 
+@query("""select l_returnflag as flag, round(quantile_cont(l_extendedprice * (1 - l_discount), 0.9), 4) as p90, count(*) as n
+          from lineitem group by 1""")
+def profile_custom_in_passes(t):
+    found = P.custom_statistics(t.lineitem, {"p90": "quantile_cont(l_extendedprice * (1 - l_discount), 0.9)", "n": "count(*)"},
+                                ["l_returnflag"], rows_in_one_buffer=0)
+    return found.select(F.col("l_returnflag").alias("flag"), F.round("p90", 4).alias("p90"), "n")
+
+
 def _corr_sql(columns: list[str], source: str, groups: str = "") -> str:
     keys, by = (f"{groups}, ", f" group by {groups}") if groups else ("", "")
     return " union all ".join(f"select {keys}'{a}' as a, '{b}' as b, round(corr({a}::double, {b}::double), 6) as r from {source}{by}"

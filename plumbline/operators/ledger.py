@@ -14,7 +14,7 @@ from ..errors import OperatorError
 from ..functions.kinds import col, need_columns
 from ..functions.readers import micros
 from ..plans.lineage import cut
-from ..plans.ordered import CHUNK, KEY, chunk_of, chunk_width, key_of, running
+from ..plans.ordered import KEY, key_of, running
 from ..sources.files import escape_glob, path_exists
 
 # The ledger's tables and their columns.
@@ -102,12 +102,11 @@ def last_success(runs: DataFrame, steps: DataFrame, flow_path: str, step: str, b
 def previous_success(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """Every step result with the run and rows of its step's latest earlier success (previous_run, previous_rows)."""
     found = _results(runs, steps)
-    width = chunk_width(runs, F.col("run_id"))  # (a step is in a run once)
     good = F.when(F.col("status") == "success", F.struct("run_id", "rows"))
-    keyed = found.withColumns({KEY: key_of(["flow_path", "step"]), CHUNK: chunk_of(F.col("run_id"), width), "__good": good})
-    seen = running(keyed, KEY, CHUNK, ["run_id"], {"__last": ("last", "__good")}, before=True, one_chunk=width is None)
+    keyed = found.withColumns({KEY: key_of(["flow_path", "step"]), "__good": good})
+    seen = running(keyed, KEY, ["run_id"], {"__last": ("last", "__good")}, before=True)
     return seen.withColumns({"previous_run": F.col("__last.run_id"), "previous_rows": F.col("__last.rows")}).drop(
-        KEY, CHUNK, "__good", "__last")
+        KEY, "__good", "__last")
 
 
 def latest_per_step(runs: DataFrame, steps: DataFrame, flow_path: str | None = None, after: int = 0) -> DataFrame:
@@ -223,10 +222,8 @@ def runs_to_forget(runs: DataFrame, keeps: DataFrame, now: dt.datetime, default_
     counted = finished.where(~free).withColumn("start", F.explode(F.split("counts_for", ", ")))
     ruled = counted.join(rules, ["flow_path", "start"])
 
-    width = chunk_width(runs, F.col("run_id"))
-    order = -F.col("run_id")
-    keyed = ruled.withColumns({KEY: key_of(["flow_path", "start"]), CHUNK: chunk_of(order, width), "__order": order, "__one": F.lit(1)})
-    judged = running(keyed, KEY, CHUNK, ["__order"], {"__newer": ("sum", "__one")}, before=True, one_chunk=width is None)
+    keyed = ruled.withColumns({KEY: key_of(["flow_path", "start"]), "__order": -F.col("run_id"), "__one": F.lit(1)})
+    judged = running(keyed, KEY, ["__order"], {"__newer": ("sum", "__one")}, before=True)
     newer = F.coalesce(F.col("__newer"), F.lit(0))
     goes = (F.when(F.col("keep_failed") & (F.col("status") == "failed"), False)
             .when(F.col("last_n").isNotNull(), newer >= F.col("last_n"))

@@ -110,16 +110,3 @@ def _dropping(fold: Callable, column: str) -> Callable:
 
     without.__annotations__ = {"states": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     return without
-
-
-def each_group(df: DataFrame, by, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
-    """A function over each group's rows, which come in batches: the group is one task but never in memory whole. For
-    work that needs the rows together; per_group is the one for groups that may be a large part of the table."""
-    by = [by] if isinstance(by, str) else list(by)
-    need_columns(df, by, "Group by")
-
-    def over(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from fn(rows)
-
-    over.__annotations__ = {"rows": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    return df.groupBy(*[col(b) for b in by]).applyInPandas(over, schema)

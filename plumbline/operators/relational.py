@@ -12,7 +12,7 @@ from ..errors import OperatorError
 from ..functions.kinds import col, need_columns
 from ..functions.params import bind
 from ..functions.readers import micros
-from ..plans.ordered import CHUNK, KEY, chunk_of, chunk_width, key_of, running
+from ..plans.ordered import CHUNK_ROWS, KEY, key_of, running
 from ..sources.files import with_row_number
 
 LINE = "line"
@@ -27,34 +27,32 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, values, strict: bool = False,
-              right_order=(), width: int | None = -1) -> DataFrame:
+              right_order=(), rows: int = CHUNK_ROWS) -> DataFrame:
     """Each left row with the right side's `values` at the latest right_time at or before (strict: before) its own.
     `right_order`: columns that say which of several right rows at one time is the latest.
 
-    Both sides are put in one order and each left row takes the last right row before it: no pair of rows is formed
-    but the one kept. The order is cut into chunks, so one key may hold most of either table. `width`: how wide a chunk
-    is (microseconds for times; None: one chunk), to save the pass that finds it."""
+    Each side is first brought to a row per key and time, however many rows share one. Those are put in one order, and
+    a left time takes the last right row before it: no pair is formed but the one kept, and a key that holds most of a
+    table is cut into chunks. Only then do the left rows, whole, look up their time."""
     by = [by] if isinstance(by, str) else list(by)
     need_columns(left, [*by, left_time], "Left")
     need_columns(right, [*by, right_time, *values, *right_order], "Right")
     taken = [v for v in values if v in left.columns]
     if taken:
         raise OperatorError(f"both tables have {', '.join(taken)}: rename it on one side")
+    ours = left.withColumns({KEY: key_of(by), "__t": col(left_time)})
+    asked = ours.where("__t IS NOT NULL").select(KEY, "__t", F.lit(0 if strict else 1).alias("__side")).distinct()
+    # (of right rows equal in order too, the one whose values come last)
     payload = F.struct(*[col(v) for v in values])
-    # At one time a right row comes before a left row that may take it.
-    ours = left.select(key_of(by).alias(KEY), _number(left, left_time).alias("__n"), col(left_time).alias("__t"),
-                       F.lit(0 if strict else 1).alias("__side"), F.struct(*[col(c) for c in left.columns]).alias("__l"))
-    order = F.struct(*([col(c) for c in right_order] or [F.lit(0)]))
-    theirs = right.where(col(right_time).isNotNull()).select(
-        key_of(by).alias(KEY), _number(right, right_time).alias("__n"),
-        col(right_time).cast(left.schema[left_time].dataType).alias("__t"),
-        F.lit(1 if strict else 0).alias("__side"), payload.alias("__r"), order.alias("__o"))
-    both = ours.unionByName(theirs, allowMissingColumns=True)
-    width = chunk_width(both, F.col("__n")) if width == -1 else width
-    both = both.withColumn(CHUNK, F.coalesce(chunk_of(F.col("__n"), width), F.lit(-(1 << 62))))
-    found = running(both, KEY, CHUNK, ["__t", "__side", "__o"], {"__found": ("last", "__r")}, one_chunk=width is None)
-    return found.where("__l IS NOT NULL").select("__l.*", *[F.when(F.col("__t").isNotNull(), F.col("__found")[v]).alias(v)
-                                                          for v in values])
+    order = F.struct(*[col(c) for c in right_order], F.xxhash64(*[col(v) for v in values]).alias("__tie"))
+    known = right.where(col(right_time).isNotNull()).groupBy(
+        key_of(by).alias(KEY), col(right_time).cast(left.schema[left_time].dataType).alias("__t")).agg(
+        F.max_by(payload, order).alias("__r")).withColumn("__side", F.lit(1 if strict else 0))
+    both = asked.unionByName(known, allowMissingColumns=True)
+    found = running(both, KEY, ["__t", "__side"], {"__found": ("last", "__r")}, rows=rows)
+    answers = found.where("__r IS NULL").select(KEY, "__t", "__found")
+    return ours.join(answers, [KEY, "__t"], "left").select(
+        *[col(c) for c in left.columns], *[F.col("__found")[v].alias(v) for v in values])
 
 
 def range_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, by=()) -> DataFrame:

@@ -11,7 +11,7 @@ from ..errors import OperatorError
 from ..functions.calendar import clock_to_utc
 from ..functions.kinds import col, need_columns
 from ..functions.readers import micros, moment_of
-from ..plans.ordered import CHUNK, CHUNK_ROWS, KEY, chunk_of, chunk_width, key_of, running
+from ..plans.ordered import KEY, key_of, running
 from .relational import asof_join
 
 # cron's names and ranges, how late still counts as on time, the misfire policies.
@@ -21,7 +21,6 @@ FIELDS = {"minute": (0, 59), "hour": (0, 23), "day": (1, 31), "month": (1, 12),
 ON_TIME_SECONDS = 120
 POLICIES = ("skip", "run_once", "catch_up")
 TICKS = 10_000  # times listed from one row at once
-CHUNK_MINUTES = (CHUNK_ROWS // 2) * 60_000_000  # a stretch in which a schedule is due no more often than a chunk holds
 _PIECE = re.compile(r"(\*|\w+)(?:-(\w+))?(?:/(\d+))?")
 
 
@@ -167,10 +166,8 @@ def missed_runs(due: DataFrame, starts: DataFrame, key: str = "schedule_id", sta
     need_columns(due, [key, "due_at"], "Due times")
     need_columns(starts, [key, started], "Starts")
     times = due.select(key, "due_at").distinct()
-    # (a schedule is due once a minute at most, so its starts say how wide a chunk of both may be)
-    width = chunk_width(starts, micros(col(started)), CHUNK_ROWS // 2)
     answered = asof_join(starts.select(key, started), times.withColumn("__due", F.col("due_at")), key, started, "__due",
-                         ["due_at"], width=width if width is None else min(width, CHUNK_MINUTES))
+                         ["due_at"])
     first = answered.where("due_at IS NOT NULL").groupBy(key, "due_at").agg(F.min(started).alias("started"))
     found = times.join(first, [key, "due_at"], "left")
     late = (micros(F.col("started")) - micros(F.col("due_at"))) / 1_000_000
@@ -181,12 +178,10 @@ def missed_runs(due: DataFrame, starts: DataFrame, key: str = "schedule_id", sta
 def overlapping_runs(runs: DataFrame, by, run: str, started: str, finished: str) -> DataFrame:
     """Runs that began while an earlier run of the same flow was still going: their columns and busy_until.
 
-    Each run needs only the latest end among the runs before it: a running maximum, carried across chunks of time, so a
-    flow that has most of the runs is still many tasks."""
+    Each run needs only the latest end among the runs before it: a running maximum, carried across chunks of runs, so a
+    flow that has most of them is still many tasks."""
     by = [by] if isinstance(by, str) else list(by)
     need_columns(runs, [*by, run, started, finished], "Runs")
-    width = chunk_width(runs, micros(col(started)))
-    keyed = runs.withColumns({KEY: key_of(by), CHUNK: chunk_of(micros(col(started)), width)})
-    found = running(keyed, KEY, CHUNK, [started, run], {"busy_until": ("max", finished)}, before=True,
-                    one_chunk=width is None)
-    return found.where(col(started) < F.col("busy_until")).drop(KEY, CHUNK)
+    keyed = runs.withColumn(KEY, key_of(by))
+    found = running(keyed, KEY, [started, run], {"busy_until": ("max", finished)}, before=True)
+    return found.where(col(started) < F.col("busy_until")).drop(KEY)

@@ -1,8 +1,8 @@
 """Ordered work over groups of any size.
 
 A window over one group puts the group in one task. Where a group can hold a large share of the table, the plans here
-cut it into chunks of its order (a chunk is a function of the data, so a recomputed task cuts it the same way), do the
-window inside each chunk, and carry one small row per chunk across the chunks."""
+cut it into chunks of its order, do the window inside each chunk, and carry one small row per chunk across the chunks. A
+chunk is a function of a row's own values, or stored, so that a task done again cuts the table the same way."""
 
 from __future__ import annotations
 
@@ -12,9 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.kinds import col
+from .lineage import cut
 
 KEY, CHUNK = "__key", "__chunk"
-CHUNK_ROWS = 1_000_000  # rows a chunk aims to hold
+CHUNK_ROWS = 1_000_000  # rows a chunk of a table in order aims to hold
 
 
 def key_of(names) -> Column:
@@ -22,14 +23,8 @@ def key_of(names) -> Column:
     return F.struct(*[col(n).alias(n) for n in names]) if names else F.struct(F.lit(0).alias("all"))
 
 
-def chunk_width(df: DataFrame, order: Column, rows: int = CHUNK_ROWS) -> int | None:
-    """How wide a stretch of `order` (whole numbers) holds about `rows` rows. None: one chunk holds everything."""
-    found = df.agg(F.count(order).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    parts = math.ceil((found.n or 0) / rows)
-    return None if parts <= 1 else max(1, (found.hi - found.lo) // parts + 1)
-
-
 def chunk_of(order: Column, width: int | None) -> Column:
+    """The chunk a whole number falls in, by its value alone; None: all in one."""
     return F.lit(0).cast("bigint") if width is None else F.floor(order / F.lit(width)).cast("bigint")
 
 
@@ -58,29 +53,41 @@ _RUNNING = {
 }
 
 
-def running(df: DataFrame, key: str, chunk: str, order: list[str], wanted: dict[str, tuple[str, str]],
-            before: bool = False, one_chunk: bool = False) -> DataFrame:
-    """Running values in order within each group: {name: ("sum" | "max" | "last", column)} ("last" passes over nulls).
+def in_chunks(df: DataFrame, key: str, order: list[str], rows: int = CHUNK_ROWS) -> tuple[DataFrame, bool]:
+    """The table with a chunk number, and whether it is all one chunk. A table of more than `rows` rows is range
+    partitioned by group and order, so that chunks are of like size whatever a group or a moment holds, and stored, so
+    that every later use sees the same chunks. (Rows equal in group and order stay together: order by something unique.)"""
+    parts = math.ceil(df.count() / rows)
+    if parts <= 1:
+        return df.withColumn(CHUNK, F.lit(0)), True
+    ranged = df.repartitionByRange(parts, key, *order).withColumn(CHUNK, F.spark_partition_id())
+    return cut(ranged), False
 
-    `before`: up to the row before this one. `one_chunk`: the caller knows that every group is one chunk."""
-    rows = W.partitionBy(key, chunk).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
+
+def running(df: DataFrame, key: str, order: list[str], wanted: dict[str, tuple[str, str]], before: bool = False,
+            rows: int = CHUNK_ROWS) -> DataFrame:
+    """Running values in order within each group: {name: ("sum" | "max" | "last", column)} ("last" passes over nulls).
+    `before`: up to the row before this one. A window sees one chunk of a group, and one row per chunk for what is
+    carried from the chunks before."""
+    chunked, one = in_chunks(df, key, order, rows)
+    upto = W.partitionBy(key, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
 
     def over_rows(op, name, window):
         return (F.last(name, ignorenulls=True) if op == "last" else _RUNNING[op][0](name)).over(window)
 
-    inside = df.withColumns({name: over_rows(op, c, rows) for name, (op, c) in wanted.items()})
-    if one_chunk:
-        return inside
+    inside = chunked.withColumns({name: over_rows(op, c, upto) for name, (op, c) in wanted.items()})
+    if one:
+        return inside.drop(CHUNK)
     totals = []
     for name, (op, c) in wanted.items():
         at = F.when(F.col(c).isNotNull(), F.struct(*order))
         totals.append((F.max_by(c, at) if op == "last" else _RUNNING[op][0](c)).alias(f"__in_{name}"))
-    earlier = W.partitionBy(key).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
-    carried = df.groupBy(key, chunk).agg(*totals).select(
-        key, chunk, *[over_rows(op, f"__in_{name}", earlier).alias(f"__in_{name}") for name, (op, _) in wanted.items()])
-    joined = inside.join(carried, [key, chunk], "left")
+    earlier = W.partitionBy(key).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    carried = chunked.groupBy(key, CHUNK).agg(*totals).select(
+        key, CHUNK, *[over_rows(op, f"__in_{name}", earlier).alias(f"__in_{name}") for name, (op, _) in wanted.items()])
+    joined = inside.join(carried, [key, CHUNK], "left")
     return joined.withColumns({name: _RUNNING[op][1](F.col(f"__in_{name}"), F.col(name))
-                               for name, (op, _) in wanted.items()}).drop(*[f"__in_{n}" for n in wanted])
+                               for name, (op, _) in wanted.items()}).drop(CHUNK, *[f"__in_{n}" for n in wanted])
 
 
 def all_of(conditions: list[Column]) -> Column:

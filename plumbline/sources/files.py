@@ -167,7 +167,14 @@ def with_row_number(df: DataFrame, name: str = "row_number", order_by=()) -> Dat
     Files are counted first; a row's number is its place in its file and the rows of the files before. In the order of
     columns, rows are range partitioned and stored, and each stored partition counted the same way."""
     if order_by:
-        ranged = df.repartitionByRange(*[col(c) for c in order_by]).sortWithinPartitions(*[col(c) for c in order_by])
+        # (many rows equal in order are still split: by their place in their file, or else by their other columns)
+        tie = F.xxhash64(*[col(c) for c in df.columns])
+        try:
+            tied = df.withColumns({"__tie": tie, "__place": F.col("_metadata.row_index")})
+        except AnalysisException:
+            tied = df.withColumns({"__tie": tie, "__place": F.lit(0)})
+        order = [*[col(c) for c in order_by], F.col("__tie"), F.col("__place")]
+        ranged = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie", "__place")
         part = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
         place = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
     else:

@@ -16,11 +16,6 @@ def table_to_records(df: DataFrame, name: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias(name))
 
 
-def records_text(df: DataFrame) -> str:
-    """The whole table as one JSON list, for a table small enough to send in one answer."""
-    return "[" + ",".join(r[0] for r in table_to_records(df).toLocalIterator()) + "]"
-
-
 def records_to_table(df: DataFrame, json_column: str, keep=()) -> DataFrame:
     """A table of the records in a column of JSON lists of objects: a row per object, its columns those of any object.
     Each record's `keep` columns stay with it. A text that is no list, or a list with anything but objects, is an error.

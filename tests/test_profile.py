@@ -86,8 +86,9 @@ def test_overview(sales):
     assert profile(sales, exact=False).repeated_rows.first()[0] == 1
 
 
-def test_custom(sales):
-    found = custom_statistics(sales, {"p50": "quantile_cont(amount, 0.5)", "big": "count_if(amount > 15)"}, ["region"])
+@pytest.mark.parametrize("limit", [10 ** 6, 0])
+def test_custom(sales, limit):
+    found = custom_statistics(sales, {"p50": "quantile_cont(amount, 0.5)", "big": "count_if(amount > 15)"}, ["region"], limit)
     assert {r.region: (r.p50, r.big) for r in found.collect()} == {"north": (10.0, 1), "south": (50.5, 1), None: (40.0, 1)}
     for wrong in ({"x": "amount"}, {"x": "sum("}, {"x": " "}, {"region": "count(*)"}, {"x": "nothing(amount)"}):
         with pytest.raises(OperatorError, match="Custom statistics"):
@@ -98,6 +99,14 @@ def test_custom(sales):
         custom_statistics(sales, {"x": "amount + 1"})
 
 
+def test_custom_quantiles_in_passes(spark):
+    df = spark.range(1001).select(F.col("id").alias("x"), (F.col("id") % 2).alias("g"))
+    custom = {"a": "percentile(x + 1, 0.25)", "n": "count(*)", "b": "quantile_cont(-x, 0.9)", "c": "quantile_cont(x, 0.5) - min(x)"}
+    for by in ([], ["g"]):
+        one, passes = (custom_statistics(df, custom, by, limit).collect() for limit in (10 ** 6, 0))
+        assert sorted(map(tuple, one)) == sorted(map(tuple, passes))
+
+
 def test_histograms(spark, sales):
     bins = histograms(sales, ["qty"]).orderBy("bin").collect()
     assert [(b.low, b.high, b["rows"]) for b in bins] == [(-2.5, -1.5, 1), (-1.5, -0.5, 0), (-0.5, 0.5, 2), (0.5, 1.5, 2),

@@ -2,14 +2,13 @@
 
 import datetime as dt
 import random
-from collections.abc import Iterator
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline import (Calendar, Conditions, Ledger, OperatorError, Pickup, RowCount, Step, asof_join, attach,
-                       business_days_between, clock_to_utc, cron_due, due_times, each_group, for_each_row, is_business_day,
+                       business_days_between, clock_to_utc, cron_due, due_times, for_each_row, is_business_day,
                        merge_lines, misfire, overlapping_runs, parse_cron, per_group, preview, range_join, route, run_python, scrub,
                        shift_business_days, write_table)
 from plumbline.operators.ledger import (carried_on, latest_per_step, last_success, lineage_roots, parse_keep, retain, search)
@@ -22,14 +21,14 @@ def T(*parts):
     return dt.datetime(*parts)
 
 
-@pytest.mark.parametrize("width", [None, 3])
+@pytest.mark.parametrize("rows", [10 ** 6, 9])
 @pytest.mark.parametrize("strict", [False, True])
-def test_asof_by_definition(spark, width, strict):
+def test_asof_by_definition(spark, rows, strict):
     rng = random.Random(2)
     left = [(i, rng.choice(["a", "b", None]), rng.randrange(40)) for i in range(120)]
     right = [(rng.choice(["a", "b", None]), rng.randrange(40), i, None if i % 9 == 0 else float(i)) for i in range(60)]
     found = asof_join(spark.createDataFrame(left, "i int, k string, t bigint"), spark.createDataFrame(right, "k string, rt bigint, o int, v double"),
-                      "k", "t", "rt", ["v", "rt"], strict=strict, right_order=["o"], width=width)
+                      "k", "t", "rt", ["v", "rt"], strict=strict, right_order=["o"], rows=rows)
     got = {r.i: (r.rt, r.v) for r in found.collect()}
     for i, k, t in left:
         before = [(rt, o, v) for rk, rt, o, v in right if rk == k and (rt < t if strict else rt <= t)]
@@ -47,24 +46,26 @@ def test_range_join_by_definition(spark):
     assert sorted((r.i, r.j) for r in found.collect()) == sorted((i, j) for i, k, p in points for j, k2, lo, hi in spans if k == k2 and lo <= p < hi)
 
 
-@pytest.mark.parametrize("width", [None, 5])
-def test_running_over_chunks(spark, width):
+@pytest.mark.parametrize("size", [10 ** 6, 5])
+def test_running_over_chunks(spark, size):
     rng = random.Random(1)
     rows = [(rng.choice([1, None]), i, rng.randrange(9), None if rng.random() < 0.4 else rng.randrange(100)) for i in range(100)]
-    df = spark.createDataFrame(rows, "g int, t bigint, a bigint, v int").withColumns(
-        {O.KEY: O.key_of(["g"]), O.CHUNK: O.chunk_of(F.col("t"), width)})
-    got = {r.t: (r.s, r.m, r.l) for r in O.running(df, O.KEY, O.CHUNK, ["t"], {"s": ("sum", "a"), "m": ("max", "a"), "l": ("last", "v")},
-                                                  one_chunk=width is None).collect()}
+    df = spark.createDataFrame(rows, "g int, t bigint, a bigint, v int").withColumn(O.KEY, O.key_of(["g"]))
+    got = {r.t: (r.s, r.m, r.l) for r in O.running(df, O.KEY, ["t"], {"s": ("sum", "a"), "m": ("max", "a"), "l": ("last", "v")},
+                                                  rows=size).collect()}
     for g, t, _, _ in rows:
         mine = [r for r in rows if r[0] == g and r[1] <= t]
         values = [r[3] for r in mine if r[3] is not None]
         assert got[t] == (sum(r[2] for r in mine), max(r[2] for r in mine), values[-1] if values else None)
 
 
-def test_chunk_width(spark):
-    assert O.chunk_width(spark.range(100), F.col("id")) is None
-    width = O.chunk_width(spark.range(100), F.col("id"), 10)
-    assert spark.range(100).groupBy(O.chunk_of(F.col("id"), width)).count().agg(F.max("count")).first()[0] <= 10
+def test_chunks_of_one_group_and_one_moment(spark):
+    """A group with all rows, a third of them at one time, is cut into chunks of like size, in order."""
+    df = spark.range(3000).select(F.struct(F.lit(1).alias("g")).alias(O.KEY), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("t"), "id")
+    found, one = O.in_chunks(df, O.KEY, ["t", "id"], 200)
+    chunks = found.groupBy(O.CHUNK).agg(F.count("*").alias("n"), F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi")).orderBy(O.CHUNK).collect()
+    assert not one and len(chunks) >= 10 and max(c.n for c in chunks) <= 800 and sum(c.n for c in chunks) == 3000
+    assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(chunks, chunks[1:]))
 
 
 def test_for_each_row(spark):
@@ -137,17 +138,6 @@ def test_per_group_merges_many_parts(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_each_group_in_batches(spark):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, k = 0, None
-        for rows in batches:
-            n, k = n + len(rows), rows["k"].iloc[0]
-        yield pd.DataFrame({"k": [k], "n": [n]})
-
-    df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
-    assert {r.k: r.n for r in each_group(df, "k", count, "k bigint, n bigint").collect()} == {0: 34, 1: 33, 2: 33}
-
-
 # --- calendars and schedules ---------------------------------------------------------------------------------------
 
 def test_business_days(spark):
@@ -288,7 +278,7 @@ def test_retention(spark):
 def test_retention_of_the_last_n_across_chunks(spark, monkeypatch, rows):
     from plumbline.operators import ledger as L
 
-    monkeypatch.setattr(L, "chunk_width", lambda df, order: None if rows > 3 else rows)
+    monkeypatch.setattr(L, "running", lambda *args, **given: O.running(*args, **given, rows=rows))
     runs = spark.range(1, 41).select(F.col("id").alias("run_id"), F.lit("f").alias("flow_path"), F.lit("success").alias("status"),
                                      F.lit("2026-01-01").cast("timestamp_ntz").alias("started"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("counts_for"))
     keeps = spark.createDataFrame([("f", "a", "last 7", False), ("f", "b", "all", False)], "flow_path string, start string, keep string, keep_failed boolean")
