@@ -5,7 +5,7 @@ Spaces around a value do not count; a null reads as null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 # The written forms that count as a value of each kind.
 INT_FORM = r"[+-]?[0-9]+"
@@ -60,19 +60,36 @@ def read_moment(value: Column) -> Column:
     return F.coalesce(read_as("datetime", value), read_as("date", value).cast("timestamp_ntz"))
 
 
+DAY_MICROS = 86_400_000_000
+PLAIN_ZONES = ("UTC", "Etc/UTC", "Z", "GMT")
+
+
+def whole_part(a: Column, b: Column) -> Column:
+    """a // b of whole numbers, rounded down."""
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
+def day_micros(day: Column) -> Column:
+    """Microseconds from 1970 to a date."""
+    return F.unix_date(day).cast("bigint") * F.lit(DAY_MICROS)
+
+
 def micros(moment: Column) -> Column:
     """Microseconds from 1970 to a date or timestamp on its own clock (no time zone arithmetic)."""
-    day = F.unix_date(moment.cast("date")).cast("bigint") * F.lit(86_400_000_000)
     clock = moment.cast("timestamp_ntz")
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") in PLAIN_ZONES:
+        return F.unix_micros(clock.cast("timestamp"))
     seconds = (F.hour(clock) * 3600 + F.minute(clock) * 60).cast("bigint")
     fraction = (F.date_part(F.lit("SECOND"), clock) * 1_000_000).cast("bigint")
-    return day + seconds * F.lit(1_000_000) + fraction
+    return day_micros(clock.cast("date")) + seconds * F.lit(1_000_000) + fraction
 
 
 def moment_of(us: Column) -> Column:
     """The zone-less timestamp that many microseconds after 1970."""
-    day_us = F.lit(86_400_000_000)
-    days = F.floor(us / day_us).cast("int")
-    rest = us - days.cast("bigint") * day_us
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") in PLAIN_ZONES:
+        return F.timestamp_micros(us).cast("timestamp_ntz")
+    day_us = F.lit(DAY_MICROS)
+    days = whole_part(us, day_us).cast("int")
+    rest = F.pmod(us, day_us)
     midnight = F.date_from_unix_date(days).cast("timestamp_ntz")
     return midnight + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (rest.cast("decimal(18,0)") / 1_000_000).cast("decimal(18,6)"))

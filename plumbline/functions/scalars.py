@@ -168,8 +168,8 @@ def duration_text(span: Column) -> Column:
 
 def number_text(x: Column) -> Column:
     """A number with , between thousands and at most 2 decimals."""
-    plain = F.regexp_replace(F.format_number(x, 2), r"\.?0+$", "")
-    return F.when(plain.isin("-0", "-", ""), "0").otherwise(plain)
+    shown = F.rtrim(F.rtrim(F.format_number(x, 2), F.lit("0")), F.lit("."))
+    return F.when((x > -0.005) & (x < 0.005), "0").otherwise(shown)
 
 
 def cell_text(value: Column, dtype: T.DataType) -> Column:

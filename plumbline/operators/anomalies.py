@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..errors import OperatorError
 from ..functions.kinds import BINARY_FLOAT, col, kinds, need_columns, refuse_names, rows_text, shown, unique_names
-from ..functions.readers import micros, moment_of, read_as, read_moment, reads_as, reads_as_any
+from ..functions.readers import (day_micros, micros, moment_of, read_as, read_moment, reads_as, reads_as_any,
+                                 whole_part)
 from ..functions.scalars import number_text
 from ..plans.lineage import cut
 from ..plans.ordered import CHUNK, KEY, any_of, chunk_of, consecutive_pairs, key_of
@@ -32,8 +33,7 @@ MONTH = 28  # whole days: dates this far apart have no one step
 MOST_DATES = 5_000_000  # dates a series may have at its usual step and still be checked for gaps
 NAMED, CHARTS = 5, 12
 CHUNK_DATES = 1 << 20  # whole dates a window sees at most
-# Stretches the times of a series are paired in: a second (at most a million times), then 65,536 seconds.
-PAIR_WIDTHS = [SECOND, SECOND << 16]
+STRETCH = SECOND << 16  # microseconds of a series a window sees at most, a row per second that has times
 
 
 def _middle(items: str) -> Column:
@@ -58,17 +58,40 @@ def _half_at_least(gap: str, limit: int, scale: int = 1) -> Column:
 
 def series_units(times: DataFrame) -> DataFrame:
     """What each series' dates are compared in, in microseconds: whole days when its times are mostly a day or more
-    apart (the median gap, to the nearest finer unit), else whole hours, minutes or seconds: (key, unit).
-    `times`: (key, t) in microseconds. Half way rounds to an even number of the finer unit, which all three limits are."""
-    points = times.select(KEY, F.col("t").alias("first"), F.col("t").alias("last")).distinct()
-    gaps = consecutive_pairs(points, KEY, "first", "last", PAIR_WIDTHS).withColumn("gap", F.col("next") - F.col("prev"))
-    at_least = {size: _half_at_least("gap", size - finer // 2)
-                for size, finer in ((DAY, HOUR), (HOUR, MINUTE), (MINUTE, SECOND))}
-    unit = F.when(at_least[DAY], DAY).when(at_least[HOUR], HOUR).when(at_least[MINUTE], MINUTE).otherwise(SECOND)
-    known = gaps.groupBy(KEY).agg(unit.cast("bigint").alias("unit"))
-    every = times.groupBy(KEY).agg(F.lit(SECOND).cast("bigint").alias("alone"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    found = every.join(known, KEY, "left")
-    return found.select(KEY, F.coalesce("unit", "alone").alias("unit"), "lo", "hi")
+    apart (the median gap, to the nearest finer unit), else whole hours, minutes or seconds: (key, unit, lo, hi).
+    `times`: (key, t) in microseconds.
+
+    The median itself is not needed: how many gaps reach a unit's limit tells, and the two gaps next to it where as many
+    do as do not. So times are put in order within their second (at most a million), seconds within stretches, and
+    stretches within the series; the rest is counting. (Half way rounds to even, which all three units are.)"""
+    limits = {size: size - finer // 2 for size, finer in ((DAY, HOUR), (HOUR, MINUTE), (MINUTE, SECOND))}
+    second = whole_part(F.col("t"), F.lit(SECOND).cast("bigint"))
+    different = times.groupBy(KEY, second.alias("second"), "t").agg(F.count("*").alias("rows"))
+    inner = F.col("t") - F.lag("t").over(W.partitionBy(KEY, "second").orderBy("t"))
+    cells = different.withColumn("gap", inner).groupBy(KEY, "second").agg(
+        F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"), F.max("gap").alias("inner"))
+    cells = cells.withColumn(CHUNK, chunk_of(F.col("second") * SECOND, STRETCH))
+    gap = F.col("first") - F.lag("last").over(W.partitionBy(KEY, CHUNK).orderBy("first"))
+    counted = cells.withColumn("gap", gap).groupBy(KEY, CHUNK).agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+        *[c.alias(f"{part}_{size}") for size, limit in limits.items() for part, c in (
+            ("reach", F.count_if(F.col("gap") >= limit)), ("next", F.min(F.when(F.col("gap") >= limit, F.col("gap")))),
+            ("below", F.max(F.greatest(F.when(F.col("gap") < limit, F.col("gap")), F.col("inner")))))])
+    between = F.col("first") - F.lag("last").over(W.partitionBy(KEY).orderBy(CHUNK))
+    gap = F.col("gap")
+    totals = counted.withColumn("gap", between).groupBy(KEY).agg(
+        F.sum("n").alias("n"), F.min("first").alias("lo"), F.max("last").alias("hi"),
+        *[c.alias(f"{part}_{size}") for size, limit in limits.items() for part, c in (
+            ("reach", F.sum(F.col(f"reach_{size}")) + F.count_if(gap >= limit)),
+            ("next", F.min(F.least(F.col(f"next_{size}"), F.when(gap >= limit, gap)))),
+            ("below", F.max(F.greatest(F.col(f"below_{size}"), F.when(gap < limit, gap)))))])
+    unit = F.lit(SECOND)
+    for size, limit in reversed(limits.items()):
+        reach, rest = F.col(f"reach_{size}"), F.col("n") - 1 - F.col(f"reach_{size}")
+        middle = (F.col(f"below_{size}") + F.col(f"next_{size}")) / 2
+        mostly = F.when((reach == rest) & (reach > 0), middle >= limit).otherwise(reach > rest)
+        unit = F.when(mostly, F.lit(size)).otherwise(unit)
+    return totals.select(KEY, unit.cast("bigint").alias("unit"), "lo", "hi")
 
 
 def latest_earlier_values(points: DataFrame, by: list[str], last: int, chunks: bool) -> DataFrame:
@@ -92,19 +115,15 @@ def latest_earlier_values(points: DataFrame, by: list[str], last: int, chunks: b
     inside = placed.withColumn("history", _last_of(F.flatten(arrays), last))
     if not chunks:
         return inside.select(*where, "history")
-    tails = (inside.groupBy(*stretch).agg(F.max_by(_last_of(F.concat("history", "h"), last), "whole").alias("tail")))
-    before = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(-last, -1)
-    # (chunks that are all missing values hold no tail and are left out, so `last` chunks are enough)
-    full = tails.where(F.size("tail") > 0)
-    carried = F.sort_array(F.collect_list(F.struct(CHUNK, "tail")).over(before))["tail"]
-    marks = tails.where(F.size("tail") == 0)
-    if_full = full.select(*stretch, "tail", F.flatten(carried).alias("earlier")).select(
-        *stretch, _last_of(F.col("earlier"), last).alias("carry"),
-        _last_of(F.concat("earlier", "tail"), last).alias("after"))
-    # (an empty chunk takes what the latest full chunk before it leaves)
-    whole = if_full.unionByName(marks.select(*stretch), allowMissingColumns=True)
-    left = F.last("after", ignorenulls=True).over(W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1))
-    carries = whole.withColumn("carry", F.coalesce("carry", left)).select(*stretch, "carry")
+    inside = cut(inside.select(*where, CHUNK, "h", "history"))
+    tails = inside.groupBy(*stretch).agg(F.max_by(_last_of(F.concat("history", "h"), last), "whole").alias("tail"))
+    # The same with chunks for dates: those of nothing but missing values leave no tail.
+    tails = tails.withColumn("empty", F.when(F.size("tail") == 0, 1).otherwise(0))
+    upto = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, 0)
+    placed = tails.withColumn("place", 2 * F.sum(1 - F.col("empty")).over(upto) + F.col("empty"))
+    recent = W.partitionBy(*by).orderBy("place").rangeBetween(-2 * last, -1)
+    before = F.sort_array(F.collect_list(F.when(F.col("empty") == 0, F.struct(CHUNK, "tail"))).over(recent))["tail"]
+    carries = placed.withColumn("carry", F.flatten(before)).select(*stretch, "carry")
     joined = inside.join(carries, stretch, "left")
     none = F.array().cast("array<double>")
     return joined.select(*where, _last_of(F.concat(F.coalesce("carry", none), "history"), last).alias("history"))
@@ -166,7 +185,7 @@ class Anomalies:
         j = s.numbers.index(number)
         few = self._rows.select(KEY).distinct().orderBy(KEY).limit(CHARTS)
         return self._rows.join(few, KEY, "left_semi").select(
-            s.label.alias("series"), moment_of(F.col("__t")).alias("t"), F.col(f"__v{j}").alias("value"),
+            s.label.alias("series"), F.col("__at").alias("t"), F.col(f"__v{j}").alias("value"),
             col(f"{number}_low").alias("low"), col(f"{number}_high").alias("high"),
             F.col(f"__c{j}")["unusual"].alias("unusual"))
 
@@ -186,7 +205,7 @@ class Anomalies:
         """Series with no row at the table's latest date: series, latest (their own), table_latest."""
         s = self._setup
         latest = s.points.groupBy(KEY, "__unit").agg(F.max("__whole").alias("w"))
-        table = F.floor(F.lit(s.latest) / F.col("__unit")).cast("bigint")
+        table = whole_part(F.lit(s.latest).cast("bigint"), F.col("__unit"))
         return latest.where(F.col("w") != table).select(
             s.label.alias("series"), s.at(F.col("w"), F.col("__unit")).alias("latest"),
             s.at(table, F.col("__unit")).alias("table_latest"))
@@ -285,10 +304,11 @@ class _Setup:
         wrong = [f"{n} is {has[n]}" for n in self.numbers if has[n] not in ("int", "float", "text")]
         if wrong:
             raise OperatorError(f"Number columns: {'; '.join(wrong)}: numbers, or text of numbers (1234.5), are needed")
-        when = read_moment(col(date_column)) if has[date_column] == "text" else col(date_column)
+        when = (read_moment(col(date_column)) if has[date_column] == "text" else col(date_column)).cast("timestamp_ntz")
+        us = day_micros(col(date_column)) if has[date_column] == "date" else micros(when)
         values = [read_as("float", col(n)) if has[n] == "text" else col(n).cast("double") for n in self.numbers]
         order = col(row) if row else F.monotonically_increasing_id()
-        self.base = df.withColumns({KEY: key_of(self.groups), "__t": micros(when), "__row": order,
+        self.base = df.withColumns({KEY: key_of(self.groups), "__t": us, "__at": when, "__row": order,
                                     **{f"__v{j}": v for j, v in enumerate(values)}})
         self._look(has)
         labels = [F.coalesce(F.col(KEY)[g].cast("string"), F.lit("(missing)")) for g in self.groups]
@@ -329,14 +349,13 @@ class _Setup:
     @staticmethod
     def weekday_of(us: Column) -> Column:
         """0 for Monday (1970 began on a Thursday)."""
-        return F.pmod(F.floor(us / DAY) + 3, F.lit(7)).cast("int")
+        return F.pmod(whole_part(us, F.lit(DAY)) + 3, F.lit(7)).cast("int")
 
     @staticmethod
     def hour_of(us: Column) -> Column:
-        return F.pmod(F.floor(us / HOUR), F.lit(24)).cast("int")
+        return F.pmod(whole_part(us, F.lit(HOUR)), F.lit(24)).cast("int")
 
-    def date_text(self, us: Column) -> Column:
-        moment = moment_of(us)
+    def date_text(self, moment: Column) -> Column:
         if self.daily:
             return F.date_format(moment, "yyyy-MM-dd")
         return F.when(F.second(moment) != 0, F.date_format(moment, "yyyy-MM-dd HH:mm:ss")).otherwise(
@@ -345,7 +364,7 @@ class _Setup:
     def at(self, whole: Column, unit: Column) -> Column:
         """A whole date as warnings name it: the day alone when the unit is days."""
         day = F.date_format(moment_of(whole * unit), "yyyy-MM-dd")
-        return day if self.daily else F.when(unit == DAY, day).otherwise(self.date_text(whole * unit))
+        return day if self.daily else F.when(unit == DAY, day).otherwise(self.date_text(moment_of(whole * unit)))
 
     @cached_property
     def units(self) -> DataFrame | None:
@@ -373,7 +392,7 @@ class _Setup:
         else:
             found = self.base.join(self.per_series(self.units.select(KEY, F.col("unit").alias("__unit"))), KEY)
         block = {"none": F.lit(0), "weekday": self.weekday_of(F.col("__t")), "hour of day": self.hour_of(F.col("__t"))}
-        return found.withColumns({"__whole": F.floor(F.col("__t") / F.col("__unit")).cast("bigint"),
+        return found.withColumns({"__whole": whole_part(F.col("__t"), F.col("__unit")),
                                   "__block": block[self.pattern]})
 
     @cached_property
@@ -402,7 +421,7 @@ class _Setup:
                                         for j in range(len(self.numbers))])
 
     def judged(self) -> DataFrame:
-        at_latest = F.col("__whole") == F.floor(F.lit(self.latest) / F.col("__unit")).cast("bigint")
+        at_latest = F.col("__whole") == whole_part(F.lit(self.latest).cast("bigint"), F.col("__unit"))
         judge = at_latest if self.only_latest else F.lit(True)
         rows = self.points.join(self.bands(), [KEY, "__block", "__whole"], "left")
         cells = {}
@@ -421,12 +440,19 @@ class _Setup:
         for j, n in enumerate(self.numbers):
             made |= {f"{n}_{part}": F.col(f"__b{j}")[part] for part in ("expected", "low", "high")}
         made["anomaly"] = F.when(any_judged, any_unusual)
-        made["reason"] = F.when(judge, self._reason())
-        return rows.withColumns(made)
+        # (the texts a reason is put together from are columns of their own: each is worked out once)
+        texts = {"__day": F.element_at(F.array(*[F.lit(d) for d in DAYS]), self.weekday_of(F.col("__t")) + 1),
+                 "__judge": judge}
+        for j in range(len(self.numbers)):
+            b = F.col(f"__b{j}")
+            texts |= {f"__s{j}": F.struct(
+                number_text(F.col(f"__v{j}")).alias("value"), number_text(b["expected"]).alias("expected"),
+                F.concat(F.lit(" ("), number_text(b["low"]), F.lit("–"), number_text(b["high"]), F.lit(")")).alias("range"))}
+        return rows.withColumns(made).withColumns(texts).withColumn("reason", F.when(F.col("__judge"), self._reason()))
 
     def _reason(self) -> Column:
-        day = F.element_at(F.array(*[F.lit(d) for d in DAYS]), self.weekday_of(F.col("__t")) + 1)
-        head = [F.concat(F.substring(day, 1, 3), F.lit(" "), self.date_text(F.col("__t")))]
+        day = F.col("__day")
+        head = [F.concat(F.substring(day, 1, 3), F.lit(" "), self.date_text(F.col("__at")))]
         if self.groups:
             head.append(self.label)
         told = F.concat_ws(" · ", *[self._told(j, name, day) for j, name in enumerate(self.numbers)])
@@ -434,15 +460,14 @@ class _Setup:
 
     def _told(self, j: int, name: str, day: Column) -> Column:
         """What a reason says of one number column."""
-        v, b, c = F.col(f"__v{j}"), F.col(f"__b{j}"), F.col(f"__c{j}")
+        v, b, c, text = F.col(f"__v{j}"), F.col(f"__b{j}"), F.col(f"__c{j}"), F.col(f"__s{j}")
         clock = F.format_string(" at %02d:00", F.col("__block"))
         one, many = {"none": (F.lit("point"), F.lit("points")), "weekday": (day, F.concat(day, F.lit("s"))),
                      "hour of day": (F.concat(F.lit("point"), clock), F.concat(F.lit("points"), clock))}[self.pattern]
-        usual = F.concat(number_text(b["expected"]), F.lit(" ("), number_text(b["low"]), F.lit("–"), number_text(b["high"]),
-                         F.lit(")"))
-        start = F.concat(F.lit(f"{name} "), number_text(v))
+        usual = F.concat(text["expected"], text["range"])
+        start = F.concat(F.lit(f"{name} "), text["value"])
         same = F.concat(start, F.lit("; the "), b["count"].cast("string"), F.lit(" earlier "), many, F.lit(" were all "),
-                        number_text(b["expected"]))
+                        text["expected"])
         odd = F.concat(start, F.lit("; a usual "), one, F.lit(" is "), usual)
         fine = F.concat(start, F.lit("; within the usual range of a "), one, F.lit(": "), usual)
         few = F.concat(F.lit(f"{name}: not enough history: "), b["count"].cast("string"), F.lit(" earlier "), many,

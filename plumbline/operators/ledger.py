@@ -146,13 +146,8 @@ def logs_in_order(logs: DataFrame, run_id: int) -> DataFrame:
 
 def carried_on(lineage: DataFrame, run_id: int, runs: DataFrame | None = None) -> DataFrame:
     """The runs that carried on from a run, directly or through others: run_id, newest first (with `runs`: those there
-    and finished). A round per re-run of a re-run; each round is a join and what it found is stored."""
-    start = lineage.where(col("carried_on_from") == run_id).select("run_id").distinct()
-    front = found = cut(start)
-    while front.take(1):
-        step = lineage.join(front.select(F.col("run_id").alias("carried_on_from")), "carried_on_from").select("run_id")
-        front = cut(step.distinct().join(found, "run_id", "left_anti"))
-        found = cut(found.unionByName(front))
+    and finished). They are the runs whose chain begins with it once what it carried on from itself is left out."""
+    found = lineage_roots(lineage.where(col("run_id") != run_id)).where(col("root") == run_id).select("run_id")
     if runs is not None:
         found = runs.where(col("status") != GOING).select("run_id").join(found, "run_id", "left_semi")
     return found.orderBy(F.desc("run_id"))

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.kinds import col
+from ..functions.readers import whole_part
 from .lineage import cut
 
 KEY, CHUNK = "__key", "__chunk"
@@ -25,7 +26,7 @@ def key_of(names) -> Column:
 
 def chunk_of(order: Column, width: int | None) -> Column:
     """The chunk a whole number falls in, by its value alone; None: all in one."""
-    return F.lit(0).cast("bigint") if width is None else F.floor(order / F.lit(width)).cast("bigint")
+    return F.lit(0).cast("bigint") if width is None else whole_part(order, F.lit(width).cast("bigint"))
 
 
 def consecutive_pairs(df: DataFrame, key: str, first: str, last: str, widths: list[int]) -> DataFrame:
