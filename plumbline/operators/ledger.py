@@ -104,7 +104,7 @@ def previous_success(runs: DataFrame, steps: DataFrame) -> DataFrame:
     found = _results(runs, steps)
     good = F.when(F.col("status") == "success", F.struct("run_id", "rows"))
     keyed = found.withColumns({KEY: key_of(["flow_path", "step"]), "__good": good})
-    seen = running(keyed, KEY, ["run_id"], {"__last": ("last", "__good")}, before=True)
+    seen = running(keyed, KEY, ["run_id"], {"__last": ("last", "__good")}, before=True, most=steps.count())
     return seen.withColumns({"previous_run": F.col("__last.run_id"), "previous_rows": F.col("__last.rows")}).drop(
         KEY, "__good", "__last")
 
@@ -218,7 +218,7 @@ def runs_to_forget(runs: DataFrame, keeps: DataFrame, now: dt.datetime, default_
     ruled = counted.join(rules, ["flow_path", "start"])
 
     keyed = ruled.withColumns({KEY: key_of(["flow_path", "start"]), "__order": -F.col("run_id"), "__one": F.lit(1)})
-    judged = running(keyed, KEY, ["__order"], {"__newer": ("sum", "__one")}, before=True)
+    judged = running(keyed, KEY, ["__order"], {"__newer": ("sum", "__one")}, before=True, most=counted.count())
     newer = F.coalesce(F.col("__newer"), F.lit(0))
     goes = (F.when(F.col("keep_failed") & (F.col("status") == "failed"), False)
             .when(F.col("last_n").isNotNull(), newer >= F.col("last_n"))

@@ -49,7 +49,8 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time:
         key_of(by).alias(KEY), col(right_time).cast(left.schema[left_time].dataType).alias("__t")).agg(
         F.max_by(payload, order).alias("__r")).withColumn("__side", F.lit(1 if strict else 0))
     both = asked.unionByName(known, allowMissingColumns=True)
-    found = running(both, KEY, ["__t", "__side"], {"__found": ("last", "__r")}, rows=rows)
+    found = running(both, KEY, ["__t", "__side"], {"__found": ("last", "__r")}, rows=rows,
+                    most=left.count() + right.count())
     answers = found.where("__r IS NULL").select(KEY, "__t", "__found")
     return ours.join(answers, [KEY, "__t"], "left").select(
         *[col(c) for c in left.columns], *[F.col("__found")[v].alias(v) for v in values])

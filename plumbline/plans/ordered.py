@@ -54,11 +54,13 @@ _RUNNING = {
 }
 
 
-def in_chunks(df: DataFrame, key: str, order: list[str], rows: int = CHUNK_ROWS) -> tuple[DataFrame, bool]:
+def in_chunks(df: DataFrame, key: str, order: list[str], rows: int = CHUNK_ROWS,
+              most: int | None = None) -> tuple[DataFrame, bool]:
     """The table with a chunk number, and whether it is all one chunk. A table of more than `rows` rows is range
     partitioned by group and order, so that chunks are of like size whatever a group or a moment holds, and stored, so
-    that every later use sees the same chunks. (Rows equal in group and order stay together: order by something unique.)"""
-    parts = math.ceil(df.count() / rows)
+    that every later use sees the same chunks. (Rows equal in group and order stay together: order by something unique.) `most`:
+    how many rows there are at most, where that is known for less than counting them."""
+    parts = math.ceil((df.count() if most is None else most) / rows)
     if parts <= 1:
         return df.withColumn(CHUNK, F.lit(0)), True
     ranged = df.repartitionByRange(parts, key, *order).withColumn(CHUNK, F.spark_partition_id())
@@ -66,11 +68,11 @@ def in_chunks(df: DataFrame, key: str, order: list[str], rows: int = CHUNK_ROWS)
 
 
 def running(df: DataFrame, key: str, order: list[str], wanted: dict[str, tuple[str, str]], before: bool = False,
-            rows: int = CHUNK_ROWS) -> DataFrame:
+            rows: int = CHUNK_ROWS, most: int | None = None) -> DataFrame:
     """Running values in order within each group: {name: ("sum" | "max" | "last", column)} ("last" passes over nulls).
     `before`: up to the row before this one. A window sees one chunk of a group, and one row per chunk for what is
     carried from the chunks before."""
-    chunked, one = in_chunks(df, key, order, rows)
+    chunked, one = in_chunks(df, key, order, rows, most)
     upto = W.partitionBy(key, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
 
     def over_rows(op, name, window):

@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.kinds import col
+
+GROUP_LIMIT = 1_000  # spark.sql.optimizer.windowGroupLimitThreshold as Spark has it
+PARTS = 64
 COARSE = 64  # buckets per e-fold in the first pass
 FINE = 1 << 17  # buckets a first-pass bucket is cut into in the second
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group. `row_number() <= k` lets Spark cut every map task's share of a group to k rows
-    before the shuffle, so a group that holds most of the table costs no more than the others."""
+    before the shuffle, so a group that holds most of the table costs no more than the others. Spark does so for a k of
+    up to 1,000; for a larger one each group is cut to k rows in parts first."""
+    if k > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(PARTS))
+        in_parts = W.partitionBy(*keys, "__part").orderBy(*order)
+        df = df.withColumn("__part", part).withColumn(rank, F.row_number().over(in_parts)).where(
+            F.col(rank) <= k).drop("__part", rank)
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 

@@ -68,6 +68,31 @@ def test_chunks_of_one_group_and_one_moment(spark):
     assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(chunks, chunks[1:]))
 
 
+def test_top_per_group_of_many(spark):
+    from plumbline.plans.ranked import top_per_group
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), "id")
+    found = top_per_group(df, ["g"], [F.desc("id")], 1500)
+    assert found.count() == 3000 and found.agg(F.min("id")).first()[0] == 2000 and found.columns == ["g", "id", "rank"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_times_on_their_own_clock(spark, zone):
+    """Microseconds of a clock time do not depend on the session's zone, also where its clock jumps."""
+    from plumbline.functions.readers import micros, moment_of
+
+    walls = [T(2024, 3, 31, 2, 30), T(2024, 3, 31, 3, 30), T(1969, 12, 31, 23, 59, 59, 999999), T(2024, 10, 27, 2, 30, 0, 5)]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(w,) for w in walls], "w timestamp_ntz").select("w", micros(F.col("w")).alias("us"))
+        rows = df.select("w", "us", moment_of(F.col("us")).alias("back")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r.us for r in rows] == [(w - T(1970, 1, 1)) // dt.timedelta(microseconds=1) for w in walls]
+    assert [r.back for r in rows] == walls
+
+
 def test_for_each_row(spark):
     items = spark.createDataFrame([("b", 2), ("a", 1), ("c", 9)], "region string, least int")
     sales = spark.createDataFrame([("a", 1), ("a", 5), ("b", 1)], "region string, n int")
