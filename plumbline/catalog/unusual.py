@@ -36,7 +36,7 @@ def _daily(t) -> DataFrame:
 
 
 DAILY = """select o_orderdate::date as day, o_orderpriority as s, isodow(o_orderdate) - 1 as block,
-                  epoch(o_orderdate::date) // 86400 as whole, 0 as row, count(*)::double as v, sum(o_totalprice) as total
+                  (epoch(o_orderdate::date) // 86400)::bigint as whole, 0 as row, count(*)::double as v, sum(o_totalprice) as total
            from orders group by all"""
 
 
@@ -138,20 +138,28 @@ def anomaly_latest_only(t):
     return found.select("priority", F.col("day").cast("string").alias("day"), F.round("n_expected", 8).alias("expected"), "anomaly")
 
 
-@query(f"""with p as ({DAILY}), b as (select s, min(day) as lo, max(day) as hi from p group by s),
-                e as (select s, unnest(generate_series(lo, hi, interval 1 day))::date as day from b)
-           select e.s as series, e.day::varchar as date, '1 day' as step from e anti join p on p.s = e.s and p.day = e.day""")
+# The dates a series misses at its usual step, by the definition.
+GAPS = f"""p as ({DAILY}), g as (select s, whole, whole - lag(whole) over (partition by s order by whole) as gap from p),
+    n as (select s, count(gap) as n, min(whole) as lo, max(whole) as hi, median(gap) as mid from g group by s),
+    st as (select s, gap as step, count(*) as times from g where gap is not null group by s, gap
+           qualify row_number() over (partition by s order by times desc, gap) = 1),
+    ok as (select n.s, lo, hi, step, case when mid >= 28 then 'a month or more apart'
+             when 2 * times < n.n then 'no regular step' end as why from n join st using (s)),
+    e as (select s, step, unnest(range(lo, hi + 1, step)) as whole from ok where why is null),
+    m as (select e.s, e.whole, date '1970-01-01' + e.whole::int as day, step || case when step = 1 then ' day' else ' days' end as step
+          from e anti join p on p.s = e.s and p.whole = e.whole
+          where exists (select 1 from p where p.s = e.s and (p.whole + 3) % 7 = (e.whole + 3) % 7))"""
+
+
+@query(f"with {GAPS} select s as series, day::date::varchar as date, step from m")
 def series_gaps(t):
     return detect_anomalies(_daily(t), "day", ["n"], ["priority"]).missing_dates.select("series", "date", "step")
 
 
-@query(f"""with p as ({DAILY}), b as (select s, min(day) as lo, max(day) as hi from p group by s),
-                e as (select s, unnest(generate_series(lo, hi, interval 1 day))::date as day from b),
-                g as (select e.s, e.day, row_number() over (partition by e.s order by e.day) as k
-                      from e anti join p on p.s = e.s and p.day = e.day)
-           select s as series, '1 day' as step, count(*) as missing,
-                  string_agg(day::varchar, ', ' order by day) filter (where k <= 5) as first_dates,
-                  null::varchar as not_checked from g group by s""")
+@query(f"""with {GAPS}, k as (select *, row_number() over (partition by s order by whole) as k from m)
+           select s as series, step, count(*) as missing, string_agg(day::date::varchar, ', ' order by whole) filter (where k <= 5)
+                  as first_dates, null::varchar as not_checked from k group by s, step
+           union all select s, null, null, null, why from ok where why is not null""")
 def series_gap_warnings(t):
     return detect_anomalies(_daily(t), "day", ["n"], ["priority"]).gaps
 
