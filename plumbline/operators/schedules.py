@@ -11,6 +11,7 @@ from ..errors import OperatorError
 from ..functions.calendar import clock_to_utc
 from ..functions.kinds import col, need_columns
 from ..functions.readers import micros, moment_of
+from ..plans.lineage import cut
 from ..plans.ordered import KEY, key_of, running
 from .relational import asof_join
 
@@ -165,7 +166,7 @@ def missed_runs(due: DataFrame, starts: DataFrame, key: str = "schedule_id", sta
     A start answers the latest time due at or before it."""
     need_columns(due, [key, "due_at"], "Due times")
     need_columns(starts, [key, started], "Starts")
-    times = due.select(key, "due_at").distinct()
+    times = cut(due.select(key, "due_at").distinct())  # (worked out once, used three times)
     answered = asof_join(starts.select(key, started), times.withColumn("__due", F.col("due_at")), key, started, "__due",
                          ["due_at"])
     first = answered.where("due_at IS NOT NULL").groupBy(key, "due_at").agg(F.min(started).alias("started"))
