@@ -4,6 +4,7 @@ run ledgers. Every operator takes and gives DataFrames."""
 from .errors import OperatorError
 from .functions.calendar import (Calendar, business_days_between, clock_to_utc, is_business_day, next_business_day,
                                  previous_business_day, shift_business_days)
+from .functions.scalars import Clock
 from .functions.params import bind, coerce, render, render_path, resolve, sql_literal, with_literals
 from .operators.anomalies import Anomalies, detect_anomalies
 from .operators.checks import (AllowedValues, CheckResult, ColumnTypes, Conditions, EarlierRun, Freshness, NoMissing,
@@ -12,7 +13,7 @@ from .operators.checks import (AllowedValues, CheckResult, ColumnTypes, Conditio
 from .operators.file_checks import check_files
 from .operators.ledger import Ledger
 from .operators.profile import (Profile, assert_finite, correlations, custom_statistics, finite_or_null, histograms,
-                                profile, rows_over_time, rows_per_group, top_values)
+                                long_statistics, profile, rows_over_time, rows_per_group, top_values, wide_statistics)
 from .operators.python_code import Step, map_batches, per_group, run_python
 from .operators.relational import (asof_join, attach, for_each_row, merge_lines, preview, range_join, route, route_rows,
                                    scrub, status_rollup)

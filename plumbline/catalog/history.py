@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.anomalies import detect_anomalies
-from ..operators.checks import Conditions, RowCount
+from ..operators.checks import Conditions, RowCount, RowCountCompared, check_table
 from ..operators.file_checks import check_files
-from ..operators.ledger import (Ledger, carried_on, last_run, last_success, latest_per_step, latest_per_version, latest_runs,
+from ..operators.ledger import (Ledger, carried_on, earlier_run, last_run, last_success, latest_per_step, latest_per_version, latest_runs,
                                 latest_state, lineage_roots, previous_success, retain, search, step_durations, step_results,
                                 steps_in_order)
 from ..operators.relational import asof_join, status_rollup
@@ -115,6 +115,17 @@ def ledger_steps_of_run(t):
     return steps_in_order(steps, newest).select("step", "status", "rows")
 
 
+@query(f"""with {RUNS}, {STEPS}, b as (select run_id, rows from steps join runs using (run_id) where step = 'step 1'
+             and flow_path = '1-URGENT' and steps.status = 'success' and run_id < (select max(run_id) from runs)
+             order by run_id desc limit 1)
+    select 'Row count compared with the last successful run' as "check",
+           case when abs((select count(*) from orders) - rows) / rows * 100 <= 30 then 'passed' else 'warned' end as outcome from b""")
+def ledger_row_count_compared(t):
+    runs = _runs(t)
+    earlier = earlier_run(runs, _steps(t), "1-URGENT", "step 1", runs.agg(F.max("run_id")).first()[0])
+    return check_table(t.orders, [RowCountCompared(earlier=earlier, if_fails="warn")]).results.select("check", "outcome")
+
+
 KEEPS = """keeps as (select flow_path, start, keep, start = 'nightly' as keep_failed from (values
     ('1-URGENT', 'last 100'), ('2-HIGH', '3 years'), ('3-MEDIUM', 'all'), ('4-NOT SPECIFIED', null), ('5-LOW', 'last 5')) k(flow_path, keep),
     (values ('manual'), ('nightly')) s(start))"""

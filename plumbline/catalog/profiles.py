@@ -222,3 +222,21 @@ def overview(t):
 """)
 def overview_columns(t):
     return P.profile(_orders(t)).overview_columns.where("missing > 0").drop("missing_percent")
+
+
+@query("""select o_orderpriority as priority, 'count' as statistic, count(o_custkey)::varchar as value from orders group by 1
+          union all select o_orderpriority, 'distinct', count(distinct o_custkey)::varchar from orders group by 1
+          union all select o_orderpriority, 'missing', '0' from orders group by 1
+          union all select o_orderpriority, 'missing %', '0.0' from orders group by 1
+          union all select o_orderpriority, 'min', min(o_custkey)::varchar from orders group by 1
+          union all select o_orderpriority, 'max', max(o_custkey)::varchar from orders group by 1""")
+def statistics_long(t):
+    stats = P.profile(t.orders, ["o_custkey"], ["o_orderpriority"], parts=()).stats
+    return P.long_statistics(stats).select(F.col("o_orderpriority").alias("priority"), "statistic", "value")
+
+
+@query("""select o_orderpriority as priority, count(o_custkey)::varchar as "count", max(o_custkey)::varchar as "max" from orders
+          group by 1""")
+def statistics_wide_again(t):
+    long = P.long_statistics(P.profile(t.orders, ["o_custkey"], ["o_orderpriority"], parts=()).stats)
+    return P.wide_statistics(long, ["count", "max"]).select(F.col("o_orderpriority").alias("priority"), "count", "max")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -17,6 +19,19 @@ DATE_CODES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S"
               "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%I": "hh", "%p": "a", "%%": "%"}
 
 
+@dataclass(frozen=True)
+class Clock:
+    """One moment for a whole run: every query sees the same today and now, however long the run takes."""
+
+    moment: dt.datetime
+
+    def today(self) -> Column:
+        return F.lit(self.moment.date())
+
+    def now(self) -> Column:
+        return F.lit(self.moment.replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
+
+
 def add_days(moment: Column, n) -> Column:
     """A date n days on; a timestamp keeps its time."""
     return moment + F.make_dt_interval(F.lit(n).cast("int"))

@@ -16,6 +16,7 @@ from ..functions.readers import micros
 from ..plans.lineage import cut
 from ..plans.ordered import KEY, key_of, running
 from ..sources.files import escape_glob, path_exists
+from .checks import EarlierRun
 
 # The ledger's tables and their columns.
 TABLES = {
@@ -99,6 +100,12 @@ def last_success(runs: DataFrame, steps: DataFrame, flow_path: str, step: str, b
     return found.orderBy(F.desc("run_id")).limit(1)
 
 
+def earlier_run(runs: DataFrame, steps: DataFrame, flow_path: str, step: str, before: int) -> EarlierRun | None:
+    """What RowCountCompared compares with: the rows of a step's latest earlier success."""
+    found = last_success(runs, steps, flow_path, step, before).select("run_id", "rows").first()
+    return found and EarlierRun(found["run_id"], found["rows"])
+
+
 def previous_success(runs: DataFrame, steps: DataFrame) -> DataFrame:
     """Every step result with the run and rows of its step's latest earlier success (previous_run, previous_rows)."""
     found = _results(runs, steps)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..errors import OperatorError
 from ..functions.kinds import col, need_columns
+from ..functions.params import resolve
 from ..sources.files import as_table
 
 SALTS = 64  # parts a group's partial results are merged in first
@@ -18,7 +19,8 @@ SALTS = 64  # parts a group's partial results are merged in first
 
 @dataclass(frozen=True)
 class Step:
-    """A named transform with inputs, outputs and settings, to use many times: V(inputs, **settings) -> outputs."""
+    """A named transform to use many times: inputs, outputs and settings, each a default or (type, default) as a
+    parameter's (text, int, float, bool, date, datetime, list)."""
 
     name: str
     fn: Callable
@@ -27,11 +29,14 @@ class Step:
     settings: dict | None = None
 
     def __call__(self, inputs: dict[str, DataFrame] | DataFrame, **given):
-        settings = dict(self.settings or {})
+        settings = self.settings or {}
         unknown = [s for s in given if s not in settings]
         if unknown:
             raise OperatorError(f"{self.name}: {', '.join(unknown)} is not a setting (its settings: {', '.join(settings)})")
-        return run_python(self.fn, inputs, self.outputs, {**settings, **given}, self.name, self.inputs)
+        typed = {n: s for n, s in settings.items() if isinstance(s, tuple)}
+        plain = {n: given.get(n, s) for n, s in settings.items() if n not in typed}
+        values = {**plain, **resolve(typed, {n: v for n, v in given.items() if n in typed})}
+        return run_python(self.fn, inputs, self.outputs, values, self.name, self.inputs)
 
 
 def run_python(fn: Callable, inputs: dict[str, DataFrame] | DataFrame, outputs=("output",), settings: dict | None = None,

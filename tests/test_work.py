@@ -140,6 +140,10 @@ def test_python(spark):
     assert step(spark.range(3))["output"].agg(F.sum("id")).first()[0] == 6 and step(spark.range(3), by=10)["output"].count() == 3
     with pytest.raises(OperatorError, match="ZeroDivisionError"):
         run_python(lambda table: 1 / 0, spark.range(1), wanted=("table",))
+    typed = Step("head", lambda table, n: table.limit(n), settings={"n": ("int", "2")})
+    assert typed(spark.range(9))["output"].count() == 2 and typed(spark.range(9), n="5")["output"].count() == 5
+    with pytest.raises(OperatorError, match="parameter 'n'"):
+        typed(spark.range(9), n="many")
     with pytest.raises(OperatorError, match="not a setting"):
         step(spark.range(1), nope=1)
 
@@ -259,6 +263,25 @@ def test_misfire_and_overlap(spark):
 
 # --- the ledger ------------------------------------------------------------------------------------------------------
 
+def test_one_clock(spark):
+    from plumbline import Clock
+
+    clock = Clock(T(2026, 10, 5, 8, 30))
+    assert tuple(spark.range(1).select(clock.today(), clock.now()).first()) == (dt.date(2026, 10, 5), T(2026, 10, 5, 8, 30))
+
+
+def test_logs_and_queries(spark, tmp_path):
+    from plumbline.operators.ledger import logs_in_order, queries_sent, steps_in_order
+
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    ledger.append("logs", [{"run_id": 1, "message": m, "seq": i} for i, m in ((2, "b"), (1, "a"))] + [{"run_id": 2, "message": "c", "seq": 1}])
+    ledger.append("steps", [{"run_id": 1, "step": s, "status": "success", "finished": T(2026, 1, 1, h), "started": T(2026, 1, 1, h - 1), "query": q, "seq": 1}
+                            for s, h, q in (("y", 5, "select 2"), ("x", 3, None), ("z", 4, "select 1"))])
+    assert [r.message for r in logs_in_order(ledger.state("logs"), 1).collect()] == ["a", "b"]
+    assert [r.step for r in steps_in_order(ledger.state("steps"), 1).collect()] == ["x", "z", "y"]
+    assert [r.query for r in queries_sent(ledger.state("steps"), 1).collect()] == ["select 1", "select 2"]
+
+
 def test_ledger(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "ledger"))
     assert ledger.state("runs").count() == 0
