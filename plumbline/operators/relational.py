@@ -46,9 +46,11 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time:
     payload = F.struct(*[col(v) for v in values])
     order = F.struct(*[col(c) for c in right_order], F.xxhash64(*[col(v) for v in values]).alias("__tie"))
     known = right.where(col(right_time).isNotNull()).groupBy(
-        key_of(by).alias(KEY), col(right_time).cast(left.schema[left_time].dataType).alias("__t")).agg(
+        key_of(by).alias(KEY), col(right_time).alias("__t")).agg(
         F.max_by(payload, order).alias("__r")).withColumn("__side", F.lit(1 if strict else 0))
     both = asked.unionByName(known, allowMissingColumns=True)
+    # (keys and times of two types meet in the wider one, which the union gives)
+    ours = ours.withColumns({c: F.col(c).cast(both.schema[c].dataType) for c in (KEY, "__t")})
     found = running(both, KEY, ["__t", "__side"], {"__found": ("last", "__r")}, rows=rows,
                     most=left.count() + right.count())
     answers = found.where("__r IS NULL").select(KEY, "__t", "__found")

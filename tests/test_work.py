@@ -37,6 +37,22 @@ def test_asof_by_definition(spark, rows, strict):
     assert len(got) == len(left)
 
 
+def test_asof_of_two_types(spark):
+    left = spark.createDataFrame([(1, dt.date(2026, 1, 2)), (1, None), (2, dt.date(2026, 1, 5))], "k int, d date")
+    right = spark.createDataFrame([(1, T(2026, 1, 1, 9), "a"), (1, T(2026, 1, 2, 9), "b"), (2, T(2026, 1, 5), "c")], "k bigint, at timestamp_ntz, v string")
+    found = asof_join(left, right, "k", "d", "at", ["v"])
+    assert {(r.k, r.d): r.v for r in found.collect()} == {(1, dt.date(2026, 1, 2)): "a", (1, None): None, (2, dt.date(2026, 1, 5)): "c"}
+    assert dict(found.dtypes) == {"k": "int", "d": "date", "v": "string"}
+
+
+def test_asof_with_copies_and_busy_moments(spark):
+    """Many rows with one key and time on both sides: each left row still gets the latest right one."""
+    left = spark.range(3000).select(F.lit("k").alias("k"), F.lit(5).alias("t"), "id")
+    right = spark.range(3000).select(F.lit("k").alias("k"), (F.col("id") % 5).alias("rt"), F.col("id").alias("o"), F.col("id").alias("v"))
+    found = asof_join(left, right, "k", "t", "rt", ["v"], right_order=["o"])
+    assert found.count() == 3000 and [r.v for r in found.select("v").distinct().collect()] == [2999]
+
+
 def test_range_join_by_definition(spark):
     rng = random.Random(4)
     spans = [(j, "ab"[j % 2], s, s + rng.choice([0, 1, 2, 7, 64, 1000])) for j, s in enumerate(rng.randrange(1000) for _ in range(80))]
