@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe
+from ..plans.lineage import checkpoint_dir
+from . import byte_bpe, quality_rules, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +36,42 @@ def op5_byte_bpe(spark, folder):
                                       public_tokenizers.PATTERN)
     return found.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("""
+WITH listed AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \\t-\\r]')) AS lines
+  FROM documents),
+found AS (
+  SELECT doc_id, words, list_aggregate(list_concat([''], words), 'string_agg', '') AS joined, len(words) AS n, lines FROM listed),
+windows AS (
+  SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 4), ' ') AS five
+  FROM (SELECT doc_id, words, unnest(range(1, n - 3)) AS pos FROM found)),
+twice AS (
+  SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS later
+  FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, five) AS times FROM windows) WHERE times > 1),
+covered AS (SELECT doc_id, sum(least(coalesce(later - pos, 5), 5)) AS n_repeat FROM twice GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, n AS n_words, length(joined) AS word_chars,
+         length(joined) - length(regexp_replace(joined, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, len(lines) AS n_lines,
+         length(joined) - length(regexp_replace(joined, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS capitals,
+         length(joined) - length(regexp_replace(joined, '[0-9]', '', 'g')) AS digits, len(list_distinct(words)) AS different
+  FROM found LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR 10 * n_dup_lines > 3 * n_lines OR 2 * capitals > word_chars
+            OR 3 * digits > word_chars OR 20 * different < n_words) AS kept
+FROM measured""")
+def op2_quality_rules(spark, folder):
+    return quality_rules.judge(_table(spark, folder, "documents")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query()
+def op7_token_files(spark, folder):
+    path = posixpath.join(checkpoint_dir(spark), f"tokens-{uuid.uuid4().hex}")
+    token_files.write_token_files(_table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
