@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, quality_rules, token_files
+from . import byte_bpe, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +75,9 @@ def op7_token_files(spark, folder):
     path = posixpath.join(checkpoint_dir(spark), f"tokens-{uuid.uuid4().hex}")
     token_files.write_token_files(_table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.token_checksums(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op9_simhash(spark, folder):
+    found = simhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
