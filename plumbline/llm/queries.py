@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, quality_rules, simhash, token_files
+from . import byte_bpe, line_dedup, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,10 @@ def op7_token_files(spark, folder):
 def op9_simhash(spark, folder):
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query()
+def op10_line_dedup(spark, folder):
+    docs = _table(spark, folder, "documents")
+    made = line_dedup.drop_repeated_lines(docs)
+    return made.select("doc_id", "text")
