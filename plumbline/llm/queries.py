@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, line_dedup, quality_rules, simhash, token_files
+from . import byte_bpe, line_dedup, mixing, quality_rules, simhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op10_line_dedup(spark, folder):
     docs = _table(spark, folder, "documents")
     made = line_dedup.drop_repeated_lines(docs)
     return made.select("doc_id", "text")
+
+
+@query()
+def op6_mixing(spark, folder):
+    made = mixing.plan(_table(spark, folder, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
