@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, line_dedup, mixing, quality_rules, simhash, token_files
+from . import byte_bpe, line_dedup, mixing, quality_model, quality_rules, simhash, token_files, toxicity
+from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,6 +31,24 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _scored(docs: DataFrame, score, held) -> DataFrame:
+    return docs.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query()
+def op1_quality_model(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = quality_model.fit(docs, _table(spark, folder, "labels"), lambda key: ~held_out(key, 4, 2))
+    return _scored(docs, quality_model.score_column(model, docs["text"]), held_out(F.col("doc_id"), 4, 2))
+
+
+@query()
+def op8_toxicity(spark, folder):
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"), lambda key: ~held_out(key, 3, 1))
+    return _scored(docs, toxicity.score_column(model, docs["text"]), held_out(F.col("doc_id"), 3, 1))
+
+
 @query()
 def op5_byte_bpe(spark, folder):
     found = byte_bpe.encode_documents(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
