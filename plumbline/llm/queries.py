@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, line_dedup, mixing, quality_model, quality_rules, simhash, token_files, toxicity
+from . import byte_bpe, line_dedup, mixing, neighbours, quality_model, quality_rules, simhash, token_files, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ def op10_line_dedup(spark, folder):
 def op6_mixing(spark, folder):
     made = mixing.plan(_table(spark, folder, "documents"))
     return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query()
+def op4_neighbours(spark, folder):
+    return neighbours.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
