@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, line_dedup, mixing, neighbours, quality_model, quality_rules, simhash, token_files, toxicity
+from . import byte_bpe, line_dedup, mixing, neighbours, private_data, quality_model, quality_rules, simhash, token_files, toxicity
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,10 @@ def op6_mixing(spark, folder):
 @query()
 def op4_neighbours(spark, folder):
     return neighbours.search(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query()
+def op3_private_data(spark, folder):
+    made = private_data.replace(_table(spark, folder, "documents"), b"a key kept with the pipeline's own secrets")
+    return made.select("row.doc_id", F.col("clean").alias("text"), *[
+        private_data.kind_count(F.col("found"), kind).alias(f"n_{kind}") for kind in private_data.KINDS])
