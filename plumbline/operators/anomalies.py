@@ -19,6 +19,7 @@ from ..functions.scalars import number_text
 from ..plans.lineage import cut
 from ..plans.ordered import CHUNK, KEY, any_of, chunk_of, consecutive_pairs, key_of
 from ..plans.ranked import top_per_group
+from ..sources.files import in_places, numbered, place
 from .profile import nonfinite_counts, refuse_nonfinite
 
 # How many spreads make a value unusual, and what turns a median or mean deviation into a spread.
@@ -30,8 +31,8 @@ DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sun
 DAY, HOUR, MINUTE, SECOND = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
 UNITS = {"day": DAY, "hour": HOUR, "minute": MINUTE, "second": SECOND}
 MONTH = 28  # whole days: dates this far apart have no one step
-MOST_DATES = 5_000_000  # dates a series may have at its usual step and still be checked for gaps
-NAMED, CHARTS = 5, 12
+NAMED = 5
+GAP_BLOCK = 1 << 12  # dates of a gap that one row lists at most
 CHUNK_DATES = 1 << 20  # whole dates a window sees at most
 STRETCH = SECOND << 16  # microseconds of a series a window sees at most, a row per second that has times
 
@@ -179,12 +180,14 @@ class Anomalies:
             F.count_if("p.short").alias("few_history"), F.count_if("p.missing").alias("missing"))
         return counted.select(s.label.alias("series"), "number", "judged", "unusual", "few_history", "missing")
 
-    def chart_data(self, number: str) -> DataFrame:
-        """The points of at most 12 series: series, t, value, low, high, unusual."""
+    def chart_data(self, number: str, most: int | None = None) -> DataFrame:
+        """The points of every series, or of the first `most`: series, t, value, low, high, unusual."""
         s = self._setup
         j = s.numbers.index(number)
-        few = self._rows.select(KEY).distinct().orderBy(KEY).limit(CHARTS)
-        return self._rows.join(few, KEY, "left_semi").select(
+        rows = self._rows
+        if most is not None:
+            rows = rows.join(rows.select(KEY).distinct().orderBy(KEY).limit(most), KEY, "left_semi")
+        return rows.select(
             s.label.alias("series"), F.col("__at").alias("t"), F.col(f"__v{j}").alias("value"),
             col(f"{number}_low").alias("low"), col(f"{number}_high").alias("high"),
             F.col(f"__c{j}")["unusual"].alias("unusual"))
@@ -221,9 +224,7 @@ class Anomalies:
         steps = apart.groupBy(KEY, "gap").agg(F.count("*").alias("times"))
         usual = steps.groupBy(KEY).agg(F.max(F.struct("times", -F.col("gap"))).alias("m"))
         both = facts.join(s.per_series(usual), KEY).withColumns({"step": -F.col("m")["col2"], "times": F.col("m")["times"]})
-        dates = F.floor((F.col("hi") - F.col("lo")) / F.col("step")) + 1
-        why = (F.when(F.col("monthly"), "a month or more apart").when(2 * F.col("times") < F.col("n"), "no regular step")
-               .when(dates > MOST_DATES, "too many dates"))
+        why = (F.when(F.col("monthly"), "a month or more apart").when(2 * F.col("times") < F.col("n"), "no regular step"))
         return both.select(KEY, "unit", "lo", "hi", "step", why.alias("not_checked"))
 
     @cached_property
@@ -239,7 +240,9 @@ class Anomalies:
         first = F.col("lo") + (F.floor((F.col("prev") - F.col("lo")) / F.col("step")) + 1).cast("bigint") * F.col("step")
         final = F.col("lo") + (F.ceil((F.col("next") - F.col("lo")) / F.col("step")) - 1).cast("bigint") * F.col("step")
         gaps = grid.withColumns({"a": first, "b": final}).where("a <= b")
-        each = gaps.select(KEY, "unit", "step", "weekdays", "hours", F.explode(F.sequence("a", "b", "step")).alias("w"))
+        block = F.col("step") * F.lit(GAP_BLOCK)  # (a long gap is listed in blocks, so no row holds all its dates)
+        blocks = gaps.withColumn("a", F.explode(F.sequence("a", "b", block))).withColumn("b", F.least("b", F.col("a") + block - F.col("step")))
+        each = blocks.select(KEY, "unit", "step", "weekdays", "hours", F.explode(F.sequence("a", "b", "step")).alias("w"))
         us = F.col("w") * F.col("unit")
         real = each.where(F.array_contains("weekdays", s.weekday_of(us)) & F.array_contains("hours", s.hour_of(us)))
         return real.select(KEY, s.label.alias("series"), "w", s.at(F.col("w"), F.col("unit")).alias("date"),
@@ -307,14 +310,16 @@ class _Setup:
         when = (read_moment(col(date_column)) if has[date_column] == "text" else col(date_column)).cast("timestamp_ntz")
         us = day_micros(col(date_column)) if has[date_column] == "date" else micros(when)
         values = [read_as("float", col(n)) if has[n] == "text" else col(n).cast("double") for n in self.numbers]
-        order = col(row) if row else F.monotonically_increasing_id()
+        if not row:
+            df = in_places(df)  # (a busy date's latest values are those that come last in the table)
+        order = col(row) if row else place()
         self.base = df.withColumns({KEY: key_of(self.groups), "__t": us, "__at": when, "__row": order,
                                     **{f"__v{j}": v for j, v in enumerate(values)}})
-        self._look(has)
+        self._look(has, row)
         labels = [F.coalesce(F.col(KEY)[g].cast("string"), F.lit("(missing)")) for g in self.groups]
         self.label = F.concat_ws(", ", *labels) if labels else F.lit("")
 
-    def _look(self, has):
+    def _look(self, has, row):
         """One pass over the columns concerned: what does not read, nulls, whether dates have times, the latest date."""
         floats = [f.name for f in self.df.schema if f.name in self.numbers and isinstance(f.dataType, BINARY_FLOAT)]
         d = col(self.date)
@@ -334,7 +339,8 @@ class _Setup:
         for i, (name, (bad, wanted)) in enumerate(unread.items()):
             if facts[f"unread_{i}"]:
                 setting = "Date column" if name == self.date else "Number columns"
-                raise OperatorError(f"{setting}: " + unread_text(self.base, name, bad, wanted, "__row"))
+                raise OperatorError(f"{setting}: " + unread_text(self.df.withColumn("__row", col(row)) if row else numbered(self.df, "__row"),
+                                                                name, bad, wanted, "__row"))
         refuse_nonfinite(facts, floats)
         if facts["undated"]:
             raise OperatorError(f"Date column: {self.date} has no value in {rows_text(facts['undated'])}: each row needs "

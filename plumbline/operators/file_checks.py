@@ -13,7 +13,7 @@ from ..functions.scalars import SIZE_UNITS
 from .checks import FAIL, WARN
 
 RESULTS = T.StructType([T.StructField(n, T.StringType()) for n in ("check", "outcome", "details")])
-NAMED = 100  # broken files a result names; it says how many more there are
+NAMED = 100  # broken files that a message names; `broken` has them all
 
 
 def to_bytes(text: str) -> float:
@@ -30,6 +30,7 @@ class FileCheckResult:
     results: DataFrame
     files: DataFrame
     failures: list[str]
+    broken: DataFrame  # every broken file, once per check: check, path, size, modified, details
 
     def require(self) -> DataFrame:
         if not self.passed:
@@ -81,4 +82,7 @@ def check_files(files: DataFrame, not_empty: bool = False, modified_since: dt.da
             more = f" and {counts[key] - NAMED:,} more" if counts[key] > NAMED else ""
             add(key, title, True, ", ".join(named) + more)
     results = files.sparkSession.createDataFrame(outcomes, RESULTS)
-    return FileCheckResult(not failures, results, files, failures)
+    marks = [F.when(bad, F.struct(F.lit(title).alias("check"), told.alias("details"))) for title, bad, told, _ in wanted.values()]
+    listed = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<struct<check: string, details: string>>")
+    broken = files.select("*", F.explode(listed).alias("__b")).select("__b.check", "path", "size", "modified", "__b.details")
+    return FileCheckResult(not failures, results, files, failures, broken)

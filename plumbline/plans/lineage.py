@@ -3,21 +3,43 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import OperatorError
+
+_STORED: list[str] = []  # the folders that this process has cut tables into
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; where it names none (tests), one of this machine."""
+    """The shared folder the cluster names for checkpoints. Where it names none, a local session gets a folder of its
+    machine; a cluster, whose machines do not share one, gets an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise OperatorError("set spark.checkpoint.dir to a folder that the driver and all executors share: steps "
+                                    "that are used more than once are stored there")
+            folder = tempfile.mkdtemp(prefix="plumbline-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def forget_stored(spark: SparkSession) -> int:
+    """Delete the steps that this process has stored, once no table that reads them is needed any more; how many."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    gone = 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read back from there by every later use: as Parquet, so that later uses
     read only their columns and know its size; as a checkpoint where a column has a type Parquet does not."""
@@ -27,4 +49,5 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     except AnalysisException:
         return df.checkpoint(eager=True)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -81,5 +81,7 @@ def percentiles(counts: DataFrame, keys: list[str], at: dict[str, float], value:
     made = {}
     for name, p in at.items():
         low, high = F.col(f"`{name}:lo`"), F.col(f"`{name}:hi`")
-        made[name] = low + (high - low) * (place(p, total) - F.floor(place(p, total)))
+        # (as Spark's own percentile weighs the two neighbours, so both give the same number to the last bit)
+        at_, below, above = place(p, total), F.floor(place(p, total)), F.ceil(place(p, total))
+        made[name] = F.when(below == above, low).otherwise((above - at_) * low + (at_ - below) * high)
     return wide.select(*keys, *[c.alias(name) for name, c in made.items()])

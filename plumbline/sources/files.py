@@ -119,10 +119,16 @@ def write_table(df: DataFrame, path: str, format: str = "auto", max_records_per_
         writer.parquet(beside)
     fs, made = _hadoop(spark, beside)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
+    there = fs.exists(target)
+    if there and not fs.rename(target, aside):
+        raise OperatorError(f"cannot move {path} aside")
     if not fs.rename(made, target):
+        if there:
+            fs.rename(aside, target)  # (the old table is back where it was)
         raise OperatorError(f"cannot put {beside} in the place of {path}")
+    if there:
+        fs.delete(aside, True)
     spark.catalog.refreshByPath(path)
     return path
 
@@ -147,17 +153,38 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return listed.select("path", "size", F.timestamp_millis("at").alias("modified"))
 
 
-def row_number(df: DataFrame) -> Column:
-    """A row's place in the table, from 1. A table of one file: its place in the file. Otherwise rows are numbered in
-    the order Spark reads them, with jumps between tasks (with_row_number gives numbers without jumps)."""
+_AS_READ = {"Project", "Relation", "LogicalRelation", "SubqueryAlias", "View"}
+
+
+def _has_places(df: DataFrame) -> bool:
     try:
-        place = F.col("_metadata.row_index") + 1
-        df.select(place).schema
-        if len(df.inputFiles()) == 1:
-            return place
+        df.select("_metadata.row_index").schema
     except AnalysisException:
-        pass
-    return F.monotonically_increasing_id() + 1
+        return False
+    return True
+
+
+def _is_whole(df: DataFrame) -> bool:
+    """True for a table of files with all their rows: nothing stands between it and the files but picked columns."""
+    plan = df._jdf.queryExecution().analyzed().toString().splitlines()
+    return all(re.sub(r"^[\s:+|-]*", "", line).split(" ")[0].split("[")[0].split("(")[0] in _AS_READ for line in plan if line.strip())
+
+
+def in_places(df: DataFrame) -> DataFrame:
+    """The table with a fixed place for each row: itself where it is read from Parquet files, else stored once."""
+    return df if _has_places(df) else cut(df)
+
+
+def place() -> Column:
+    """A row's place in a table as in_places gives it: its file and its place in the file. The order of the places is
+    that of the file names, whatever the files' sizes and however Spark packs them."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The table with each row's true number from 1, on one file or many; tables that are not read from Parquet files are
+    stored first, and their rows counted there."""
+    return with_row_number(in_places(df), name)
 
 
 def with_row_number(df: DataFrame, name: str = "row_number", order_by=()) -> DataFrame:
@@ -170,23 +197,24 @@ def with_row_number(df: DataFrame, name: str = "row_number", order_by=()) -> Dat
         # (many rows equal in order are still split: by their place in their file, or else by their other columns)
         tie = F.xxhash64(*[col(c) for c in df.columns])
         try:
-            tied = df.withColumns({"__tie": tie, "__place": F.col("_metadata.row_index")})
+            tied = df.withColumns({"__tie": tie, "__in_file": F.col("_metadata.row_index")})
         except AnalysisException:
-            tied = df.withColumns({"__tie": tie, "__place": F.lit(0)})
-        order = [*[col(c) for c in order_by], F.col("__tie"), F.col("__place")]
-        ranged = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie", "__place")
+            tied = df.withColumns({"__tie": tie, "__in_file": F.lit(0)})
+        order = [*[col(c) for c in order_by], F.col("__tie"), F.col("__in_file")]
+        ranged = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie", "__in_file")
         part = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
-        place = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+        nth = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
     else:
-        try:
-            part = df.withColumns({"__part": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
-        except AnalysisException:
-            raise OperatorError("the table is not read from Parquet files: give order_by columns") from None
-        place = F.col("__at") + 1
+        if not _has_places(df):
+            raise OperatorError("the table is not read from Parquet files: give order_by columns")
+        if not _is_whole(df):  # (some rows of the files: numbered among themselves, in the order of their places)
+            return with_row_number(df.withColumn("__place", place()), name, ["__place"]).drop("__place")
+        part = df.withColumns({"__part": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+        nth = F.col("__at") + 1
     sizes = part.groupBy("__part").agg(F.count("*").alias("__n"))  # (a row per file or partition)
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))
-    return part.join(offsets, "__part").withColumn(name, place + F.col("__before")).drop("__part", "__at", "__before")
+    return part.join(offsets, "__part").withColumn(name, nth + F.col("__before")).drop("__part", "__at", "__before")
 
 
 def as_table(spark: SparkSession, value) -> DataFrame:

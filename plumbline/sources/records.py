@@ -36,7 +36,7 @@ def records_to_table(df: DataFrame, json_column: str, keep=()) -> DataFrame:
     merged = (facts["schema"] or "").strip()
     if not merged.upper().startswith("ARRAY<OBJECT<") or merged.upper() == "ARRAY<OBJECT<>>":
         return df.select(*kept).limit(0)
-    element = T.DataType.fromDDL(_ddl(merged))
+    element, _ = _type_of(merged)
     if _has_variant(element):
         raise OperatorError(f"{json_column}: its records do not make a table: a field holds values of different types")
     rows = df.where(col(json_column).isNotNull()).select(
@@ -44,11 +44,31 @@ def records_to_table(df: DataFrame, json_column: str, keep=()) -> DataFrame:
     return rows.select(*kept, "__r.*")
 
 
-def _ddl(variant_schema: str) -> str:
-    """A variant's schema as the type from_json reads: objects are structs, a field that is always null is text, and
-    whole numbers (told as decimals without places) are bigint."""
-    made = variant_schema.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
-    return re.sub(r"DECIMAL\(\d+,\s*0\)", "BIGINT", re.sub(r"DECIMAL\(\d+,\s*[1-9]\d*\)", "DOUBLE", made))
+_NAME = re.compile(r"`((?:[^`]|``)*)`|([^:`]+)")
+_PLAIN = re.compile(r"[A-Z_ ]+(?:\((\d+), ?(\d+)\))?")
+
+
+def _type_of(told: str, at: int = 0) -> tuple[T.DataType, int]:
+    """The type that a variant's schema tells from a place on, and where it ends. Objects are structs, a field that is
+    always null is text; whole numbers (told as decimals without places) are bigint, or decimal where they need more
+    digits, and other decimals are double."""
+    if told.startswith("ARRAY<", at):
+        element, at = _type_of(told, at + 6)
+        return T.ArrayType(element), at + 1
+    if told.startswith("OBJECT<", at):
+        fields, at = [], at + 7
+        while told[at] != ">":
+            name = _NAME.match(told, at)
+            kind, at = _type_of(told, name.end() + 2)  # (a colon and a space stand between)
+            fields.append(T.StructField(name[1].replace("``", "`") if name[1] is not None else name[2], kind))
+            at += 2 * told.startswith(", ", at)
+        return T.StructType(fields), at + 1
+    plain = _PLAIN.match(told, at)
+    if plain[1]:
+        digits, places = int(plain[1]), int(plain[2])
+        return (T.DoubleType() if places else T.LongType() if digits <= 18 else T.DecimalType(38, 0)), plain.end()
+    word = plain[0].strip()
+    return (T.StringType() if word == "VOID" else T.DataType.fromDDL(word)), plain.end()
 
 
 def _has_variant(dtype: T.DataType) -> bool:
