@@ -32,35 +32,40 @@ class Clock:
         return F.lit(self.moment.replace(tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
 
 
+def _days(n) -> Column:
+    """A whole number of days: a date moved by it is a date, a timestamp keeps its time."""
+    return (n if isinstance(n, Column) else F.lit(n)).cast("int").cast("interval day")
+
+
 def add_days(moment: Column, n) -> Column:
     """A date n days on; a timestamp keeps its time."""
-    return moment + F.make_dt_interval(F.lit(n).cast("int"))
+    return moment + _days(n)
 
 
-def shift_days(day: Column, n) -> Column:
-    return F.date_add(day, n)
+shift_days = add_days
 
 
-def shift_weeks(day: Column, n: int) -> Column:
-    return F.date_add(day, 7 * n)
+def shift_weeks(moment: Column, n) -> Column:
+    return moment + _days(7 * n)
 
 
-def shift_months(day: Column, n) -> Column:
-    """The same day n months on, or that month's last."""
-    return F.add_months(day, n)
+def shift_months(moment: Column, n) -> Column:
+    """The same day n months on, or that month's last; a timestamp keeps its time."""
+    return moment + F.make_ym_interval(F.lit(0), n if isinstance(n, Column) else F.lit(n))
 
 
-def start_of_month(day: Column) -> Column:
-    return F.trunc(day, "month")
+def start_of_month(moment: Column) -> Column:
+    """The month's first day; a timestamp keeps its time."""
+    return moment - _days(F.dayofmonth(moment) - 1)
 
 
-def end_of_month(day: Column) -> Column:
-    return F.last_day(day)
+def end_of_month(moment: Column) -> Column:
+    return moment + _days(F.dayofmonth(F.last_day(moment)) - F.dayofmonth(moment))
 
 
-def start_of_week(day: Column) -> Column:
-    """The Monday on or before the day."""
-    return F.trunc(day, "week")
+def start_of_week(moment: Column) -> Column:
+    """The Monday on or before the day; a timestamp keeps its time."""
+    return moment - _days(F.weekday(moment))
 
 
 def java_pattern(codes: str) -> str:
@@ -110,12 +115,16 @@ def truncated(x: Column) -> Column:
 
 
 def rounded(x: Column, places: int = 0) -> Column:
-    """Half to even, as round() does."""
+    """Half to even, of the digits a number is written with: 2.675 is halfway, though the binary number nearest to it
+    lies just below."""
     return F.bround(x, places)
 
 
-def floor_div(a: Column, b: Column) -> Column:
-    return F.floor(a / b)
+def floor_div(a: Column, b: Column, whole: bool = False) -> Column:
+    """The quotient without its remainder, towards minus infinity: (a - modulo(a, b)) / b has no fraction to lose.
+    `whole`: both are whole numbers, of any size."""
+    exact = a - modulo(a, b)
+    return F.call_function("div", exact, b) if whole else F.round(exact / b).cast("bigint")
 
 
 def modulo(a: Column, b: Column) -> Column:

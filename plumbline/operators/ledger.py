@@ -29,7 +29,7 @@ TABLES = {
 }
 KEYS = {"runs": ["run_id"], "steps": ["run_id", "step"]}
 GOING = "running"
-MOST_ROUNDS = 64  # doublings of a chain: longer than any chain there can be
+NAMED = 5  # runs that a message names
 DEFAULT_KEEP = "5 years"
 
 
@@ -59,6 +59,13 @@ class Ledger:
         """Each run's or step's latest event."""
         return latest_state(self.events(table), KEYS[table], "seq") if table in KEYS else self.events(table)
 
+    def run_number(self, flow: str, part: str) -> int:
+        """The number of a flow's run known by its params (a batch): the one it has, or the next that no run has."""
+        runs = self.events("runs")
+        mine = F.max(F.when((col("flow_path") == flow) & (col("params") == part), F.col("run_id")))
+        found = runs.agg(mine.alias("mine"), F.max("run_id").alias("last")).first()
+        return found["mine"] if found["mine"] is not None else (-1 if found["last"] is None else found["last"]) + 1
+
     def _schema(self, table: str):
         if table not in TABLES:
             raise OperatorError(f"the ledger has no table {table!r} (its tables: {', '.join(TABLES)})")
@@ -68,7 +75,9 @@ class Ledger:
 def latest_state(events: DataFrame, keys, order: str) -> DataFrame:
     """The latest row of each key: a maximum, so it is half worked out before the shuffle, however long a key's past."""
     rest = [c for c in events.columns if c not in keys]
-    newest = F.max_by(F.struct(*[col(c) for c in rest]), col(order)).alias("__n")
+    # (events of one number, written twice, are told apart by what else they say)
+    whole = F.struct(*[col(c) for c in rest])
+    newest = F.max_by(whole, F.struct(col(order).alias("o"), F.xxhash64(F.to_json(whole)).alias("t"))).alias("__n")
     return events.groupBy(*[col(k) for k in keys]).agg(newest).select(*keys, "__n.*").select(*events.columns)
 
 
@@ -153,27 +162,46 @@ def logs_in_order(logs: DataFrame, run_id: int) -> DataFrame:
 
 def carried_on(lineage: DataFrame, run_id: int, runs: DataFrame | None = None) -> DataFrame:
     """The runs that carried on from a run, directly or through others: run_id, newest first (with `runs`: those there
-    and finished). They are the runs whose chain begins with it once what it carried on from itself is left out."""
-    found = lineage_roots(lineage.where(col("run_id") != run_id)).where(col("root") == run_id).select("run_id")
+    and finished). They are the runs whose chain begins with it once what it carried on from itself is left out; circles
+    elsewhere in the table do not matter."""
+    found = _chains(lineage.where(col("run_id") != run_id))[0].where(col("root") == run_id).select("run_id")
     if runs is not None:
         found = runs.where(col("status") != GOING).select("run_id").join(found, "run_id", "left_semi")
     return found.orderBy(F.desc("run_id"))
 
 
 def lineage_roots(lineage: DataFrame) -> DataFrame:
-    """Every re-run with the run its chain began with and how many re-runs lie between: run_id, root, depth. Each round
-    doubles how far a run looks back, so a chain of a million re-runs takes twenty joins."""
-    ahead = cut(lineage.select("run_id", F.col("carried_on_from").alias("root"), F.lit(1).cast("bigint").alias("depth")))
-    for _ in range(MOST_ROUNDS):
-        back = ahead.select(F.col("run_id").alias("root"), F.col("root").alias("__further"), F.col("depth").alias("__more"))
-        joined = ahead.join(back, "root", "left")
-        nearer = cut(joined.select("run_id", F.coalesce("__further", "root").alias("root"),
-                                   (F.col("depth") + F.coalesce("__more", F.lit(0))).alias("depth"),
-                                   F.col("__further").isNotNull().alias("__moved")))
-        ahead = nearer.drop("__moved")
-        if not nearer.where("__moved").take(1):
-            return ahead
-    raise OperatorError("lineage: the runs carry on from each other in a circle")
+    """Every re-run with the run its chain began with and how many re-runs lie between: run_id, root, depth. Runs that
+    carry on from each other in a circle, or from such runs, have no root and are an error that names some."""
+    settled, circling = _chains(lineage)
+    named = [r.run_id for r in circling.select("run_id").orderBy("run_id").limit(NAMED).collect()]
+    if named:
+        raise OperatorError(f"lineage: runs carry on from each other in a circle, or from such runs: {', '.join(map(str, named))}"
+                            + (", ..." if len(named) == NAMED else ""))
+    return settled
+
+
+def _chains(lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The runs whose chain has a beginning (run_id, root, depth), and those whose chain has none.
+
+    Each round doubles how far a run looks back, so a chain of a million re-runs takes twenty rounds, and only runs that
+    have not come to a beginning are joined again. A chain is no longer than the table, which bounds the rounds."""
+    steps = lineage.select("run_id", F.col("carried_on_from").alias("root"), F.lit(1).cast("bigint").alias("depth"))
+    known = steps.select(F.col("run_id").alias("root"))
+    moving = cut(steps.withColumn("more", F.lit(True)).join(known.withColumn("there", F.lit(True)).distinct(), "root", "left")
+                 .select("run_id", "root", "depth", F.coalesce("there", F.lit(False)).alias("more")))
+    settled, total = moving.where("NOT more").drop("more"), moving.count()
+    going = moving.where("more").drop("more")
+    for _ in range(total.bit_length() + 1):
+        if going.isEmpty():
+            break
+        # where a run's look back ends, another's begins: a settled one brings it to the beginning
+        ahead = settled.withColumn("done", F.lit(True)).unionByName(going.withColumn("done", F.lit(False)))
+        ahead = ahead.select(F.col("run_id").alias("root"), F.col("root").alias("further"), F.col("depth").alias("longer"), "done")
+        step = cut(going.join(ahead, "root").select("run_id", F.col("further").alias("root"), (F.col("depth") + F.col("longer")).alias("depth"), "done"))
+        settled = settled.unionByName(step.where("done").drop("done"))
+        going = step.where("NOT done").drop("done")
+    return settled, going
 
 
 _PERIOD = re.compile(r"([1-9]\d*) *(day|month|year)s?")

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import re
-from urllib.parse import quote, quote_plus
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import OperatorError
 from ..functions.kinds import col, need_columns
-from ..functions.params import bind
 from ..functions.readers import micros
 from ..plans.ordered import CHUNK_ROWS, KEY, key_of, running
 from ..sources.files import with_row_number
+from .sql import run_sql
 
 LINE = "line"
 
@@ -106,11 +104,8 @@ def for_each_row(spark: SparkSession, items: DataFrame, body: str, inputs: dict[
     if "item_index" not in items.columns:
         items = with_row_number(items, "item_index", order_by)
     items = items.select("item_index", *[col(c) for c in items.columns if c != "item_index"])
-    text, args = bind(body.strip().rstrip(";"), params or {})
-    frames = {"__items": items, **(inputs or {})}
-    for name in inputs or {}:
-        text = re.sub(rf"(?<![\w.`]){re.escape(name)}(?![\w.`(])", "{" + name + "}", text) if "{" + name + "}" not in text else text
-    return spark.sql("SELECT * FROM {__items} AS item, LATERAL (" + text + ") AS result", args=args or None, **frames)
+    name = f"items_{uuid.uuid4().hex}"
+    return run_sql(spark, f"SELECT * FROM {name} AS item, LATERAL ({body.strip().rstrip(';')}\n) AS result", {name: items, **(inputs or {})}, params)
 
 
 def merge_lines(lines: dict[str, DataFrame], failed=()) -> DataFrame:
@@ -148,35 +143,48 @@ def route_rows(df: DataFrame, predicate) -> tuple[DataFrame, DataFrame]:
     return df.where(met), df.where(~F.coalesce(met, F.lit(False)))
 
 
-# The characters a web address may hold unencoded.
-URL_PLAIN = "!#$%&'()*+,/:;=?@[]~"
 SHORTEST_SECRET, HIDDEN = 4, "***"
 
 
+def _escaped(text: str, quoted_by: str, plain) -> str:
+    """A text as source code writes it between quotes: `plain` tells which characters stand for themselves."""
+    short = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f", "\\": "\\\\", quoted_by: "\\" + quoted_by}
+    wide = lambda c: "".join(f"\\u{unit:04x}" for unit in memoryview(c.encode("utf-16-le", "surrogatepass")).cast("H"))
+    return "".join(short.get(c) or (c if plain(c) else wide(c)) for c in text)
+
+
+def _percent(text: str, plain: str, space: str = "%20") -> str:
+    """A text as a web address writes it: `plain` has the marks that stand for themselves besides letters and digits."""
+    return "".join(c if c.isascii() and c.isalnum() or c in plain else space if c == " " else
+                   "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in text)
+
+
 def secret_forms(secrets) -> list[str]:
-    """Every way a secret of 4 characters or more may stand in a text: as it is, as Python and JSON write it inside
-    quotes, and encoded in a web address; longest first."""
-    forms = set()
-    for s in secrets:
-        if len(s) < SHORTEST_SECRET:
-            continue
-        in_quotes = (repr(s)[1:-1], repr(s + "'\"")[1:-4])
-        in_json = (json.dumps(s)[1:-1], json.dumps(s, ensure_ascii=False)[1:-1])
-        in_url = (quote(s), quote(s, safe=""), quote(s, safe=URL_PLAIN), quote_plus(s))
-        forms.update((s, *in_quotes, *in_json, *in_url))
+    """Every way a secret of 4 characters or more may stand in a text, longest first: as it is; between single or double
+    quotes in source code or JSON, other letters than ASCII as they are or as codes; in a web address, with all marks
+    encoded, all but those of a path, all but those an address may hold, and as a form sends it."""
+    unreserved = "-._~"  # (fixed values of web addresses: marks never encoded, and those that part an address)
+    parting = ":/?#[]@!$&'()*+,;="
+    ways = [lambda s: s]
+    ways += [lambda s, q=q, p=p: _escaped(s, q, p) for q in "'\"" for p in (str.isprintable, lambda c: " " <= c <= "~")]
+    ways += [lambda s, p=p: _percent(s, unreserved + p) for p in ("", "/", parting, parting + "%")]
+    ways.append(lambda s: _percent(s, unreserved, "+"))
+    forms = {way(s) for s in secrets if len(s) >= SHORTEST_SECRET for way in ways}
     return sorted(forms, key=lambda f: (-len(f), f))
 
 
 def scrub(df: DataFrame, secrets) -> DataFrame:
-    """Known secrets in text columns as ***, in one projection: the longest forms first."""
+    """Known secrets in text columns as ***, the longest forms first: one fold over a list of forms, however many."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    forms = secret_forms(secrets)
+    if not texts or not forms:
+        return df
+    listed = F.array(*[F.lit(f) for f in forms])
 
     def clean(c: Column) -> Column:
-        for form in secret_forms(secrets):
-            c = F.replace(c, F.lit(form), F.lit(HIDDEN))
-        return c
+        return F.aggregate(listed, c, lambda text, form: F.replace(text, form, F.lit(HIDDEN)))
 
-    return df.withColumns({c: clean(col(c)) for c in texts}) if texts else df
+    return df.withColumns({c: clean(col(c)) for c in texts})
 
 
 def head(df: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections import Counter
 
 from pyspark.errors import ParseException
@@ -11,6 +12,9 @@ from ..errors import OperatorError
 from ..functions.params import bind
 
 
+_NAMING = threading.RLock()  # the inputs' names are the session's while a query is read: one query at a time
+
+
 def dedupe_columns(df: DataFrame) -> DataFrame:
     """Columns of one name told apart: id, id_1, id_2. (Spark cannot write two columns of one name.)"""
     taken = Counter(c.lower() for c in df.columns)
@@ -33,25 +37,26 @@ def run_sql(spark: SparkSession, sql: str, inputs: dict[str, DataFrame] | DataFr
     if isinstance(inputs, DataFrame):
         inputs = {"input": inputs}
     text, args = bind(sql.strip().rstrip(";").strip(), params or {})
-    views = {}
-    try:
-        for name, df in inputs.items():
-            if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
-                views[name] = spark.table(name)  # (put back afterwards)
-            else:
-                views[name] = None
-            df.createOrReplaceTempView(name)
+    with _NAMING:
+        views = {}
         try:
-            found = spark.sql(text, args=args) if args else spark.sql(text)
-        except ParseException as e:
-            raise OperatorError(f"the SQL cannot be read: {str(e).splitlines()[0]}") from None
-        if not found.columns:
-            raise OperatorError("the SQL must end with a query that gives a table, e.g. select * from ...")
-    finally:
-        for name, earlier in views.items():
-            spark.catalog.dropTempView(name)
-            if earlier is not None:
-                earlier.createOrReplaceTempView(name)
+            for name, df in inputs.items():
+                if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
+                    views[name] = spark.table(name)  # (put back afterwards)
+                else:
+                    views[name] = None
+                df.createOrReplaceTempView(name)
+            try:
+                found = spark.sql(text, args=args) if args else spark.sql(text)
+            except ParseException as e:
+                raise OperatorError(f"the SQL cannot be read: {str(e).splitlines()[0]}") from None
+            if not found.columns:
+                raise OperatorError("the SQL must end with a query that gives a table, e.g. select * from ...")
+        finally:
+            for name, earlier in views.items():
+                spark.catalog.dropTempView(name)
+                if earlier is not None:
+                    earlier.createOrReplaceTempView(name)
     return dedupe_columns(found)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -61,16 +62,19 @@ class Pickup:
 
     def _record(self, batch: int, now: dt.datetime, found, rows: int | None) -> None:
         status, done = "success" if found.passed else "failed", dt.datetime.now()
-        self.ledger.append("runs", [{"run_id": batch, "flow": self.flow, "flow_path": self.flow, "status": status,
+        part = json.dumps({"batch": batch, "of": self.checkpoint})
+        run = self.ledger.run_number(self.flow, part)  # (a batch done again keeps its number)
+        self.ledger.append("runs", [{"run_id": run, "flow": self.flow, "flow_path": self.flow, "params": part, "status": status,
                                      "started": now, "finished": done, "started_by": "pickup", "seq": 0}])
-        self.ledger.append("steps", [{"run_id": batch, "step": title, "status": outcome, "started": now, "finished": done,
+        self.ledger.append("steps", [{"run_id": run, "step": title, "status": outcome, "started": now, "finished": done,
                                       "attempts": 1, "error": None if outcome == "passed" else details, "rows": broken,
                                       "seq": i} for i, (title, outcome, broken, details) in enumerate(found.outcomes)])
-        self.ledger.append("steps", [{"run_id": batch, "step": "deliver", "status": status, "started": now, "finished": done,
+        self.ledger.append("steps", [{"run_id": run, "step": "deliver", "status": status, "started": now, "finished": done,
                                       "attempts": 1, "rows": rows, "seq": len(found.outcomes)}])
 
 
 def freshness_of_batches(ledger: Ledger) -> DataFrame:
     """Per batch: when it came, whether it passed and the rows it delivered."""
     delivered = ledger.state("steps").where("step = 'deliver'")
-    return delivered.select(F.col("run_id").alias("batch"), "status", "started", "rows")
+    runs = ledger.state("runs").where("started_by = 'pickup'").select("run_id", "flow", F.get_json_object("params", "$.batch").cast("bigint").alias("batch"))
+    return delivered.join(runs, "run_id").select("flow", "batch", "run_id", "status", "started", "rows")
