@@ -289,3 +289,16 @@ def map_batches_python(t):
 @query("""select event_id, epoch_us(ts) as us, hour(ts)::int as hour, (isodow(ts) - 1)::int as weekday from events""")
 def clock_parts(t):
     return t.events.select("event_id", micros(F.col("ts")).alias("us"), F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"))
+
+
+@query("""select event_id, cast(ts - to_days(day(ts)::int - 1) as varchar) as month_start,
+                 cast(ts + to_days(day(last_day(ts))::int - day(ts)::int) as varchar) as month_end,
+                 cast(ts - to_days(isodow(ts)::int - 1) as varchar) as week_start,
+                 cast(ts + interval 2 month as varchar) as in_two_months, cast(ts - interval 21 day as varchar) as three_weeks_ago
+          from events""")
+def shifted_times(t):
+    """Shifts of timestamps keep the time of day."""
+    ts, text = F.col("ts"), lambda c: c.cast("string")
+    return t.events.select("event_id", text(X.start_of_month(ts)).alias("month_start"), text(X.end_of_month(ts)).alias("month_end"),
+                           text(X.start_of_week(ts)).alias("week_start"), text(X.shift_months(ts, 2)).alias("in_two_months"),
+                           text(X.shift_weeks(ts, -3)).alias("three_weeks_ago"))

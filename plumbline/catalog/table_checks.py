@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.checks import (AllowedValues, ColumnTypes, Conditions, EarlierRun, Freshness, NoMissing, RowCount,
                                 RowCountCompared, Unique, broken_rows, check_table, repeated_keys, unread_values)
+from ..plans.lineage import checkpoint_dir
 from ..plans.ranked import top_per_group
 from .registry import query
 
@@ -122,3 +124,29 @@ def unreadable_dates_all(t):
            group by 1, 2 having count(*) > 1 order by first limit 5""")
 def repeated_key_examples(t):
     return repeated_keys(_spoiled(t), ["o_custkey", "priority"], row="row")
+
+
+def in_files(t, folder: str):
+    """The orders in order, written as files of unlike sizes in three folders, and read back."""
+    made, last = f"{checkpoint_dir(t.spark)}/{folder}-{uuid.uuid4().hex}", t.orders.agg(F.max("o_orderkey")).first()[0]
+    ends = [0, last // 50, last - last // 10, last + 1]
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        part = t.orders.where(F.col("o_orderkey").between(a, b - 1)).repartitionByRange(2, "o_orderkey")
+        part.sortWithinPartitions("o_orderkey").write.parquet(f"{made}/{i}")
+    return t.spark.read.parquet(*[f"{made}/{i}" for i in range(3)])
+
+
+@query("""select o_custkey, count(*) as rows, min(o_orderkey) + 1 as first from orders group by o_custkey having count(*) > 1""")
+def repeated_keys_over_files(t):
+    """Rows are named by their true numbers in a table of several files."""
+    return repeated_keys(in_files(t, "orders"), ["o_custkey"], k=None)
+
+
+@query("""select o_orderpriority as "value", count(*) as rows, min(n) as first
+          from (select o_orderpriority, row_number() over (order by o_orderkey) as n from orders where o_totalprice > 100000)
+          where o_orderpriority <> '1-URGENT' group by 1""")
+def unread_values_of_some_rows(t):
+    """Rows of a filtered table are numbered among themselves."""
+    some = in_files(t, "some").where("o_totalprice > 100000").withColumn(
+        "o_orderpriority", F.when(F.col("o_orderpriority") == "1-URGENT", "1").otherwise(F.col("o_orderpriority")))
+    return unread_values(some, "o_orderpriority", "int", k=None)

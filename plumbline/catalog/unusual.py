@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.anomalies import detect_anomalies
-from .registry import query
+from .registry import ORACLE, query
+from .table_checks import in_files
 
 # What a point is judged by, from `p` (s: series, block, whole, row, v): its history, expected value and range.
 _JUDGED = """
@@ -185,3 +186,13 @@ def series_behind(t):
 def anomaly_chart_points(t):
     found = detect_anomalies(_daily(t), "day", ["n"], ["priority"]).chart_data("n")
     return found.groupBy("series").agg(F.count("*").alias("points"))
+
+
+@query(ORACLE["anomaly_none"])
+def anomaly_none_over_files(t):
+    """The same as anomaly_none, the order being that of the rows in files of unlike sizes."""
+    orders = in_files(t, "dated")
+    dated = orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    found = detect_anomalies(dated, "day", ["o_totalprice"], pattern="none", only_latest=False).table
+    return found.select("o_orderkey", F.round("o_totalprice_expected", 8).alias("expected"),
+                        F.round("o_totalprice_low", 8).alias("low"), "anomaly")
