@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import OperatorError
 from ..functions.scalars import SIZE_UNITS
-from .checks import FAIL, WARN
+from ..plans.ordered import any_of
 
 RESULTS = T.StructType([T.StructField(n, T.StringType()) for n in ("check", "outcome", "details")])
 NAMED = 100  # broken files that a message names; `broken` has them all
@@ -38,51 +39,56 @@ class FileCheckResult:
         return self.files
 
 
+@dataclass(frozen=True)
+class _FileRule:
+    """What a file must not be: where `broken` is true, `told` says of it what it is; `good` says what all others are."""
+
+    key: str
+    title: str
+    broken: Column
+    told: Column
+    good: str
+
+
+def _rules(not_empty: bool, modified_since, minimum: str | None, maximum: str | None) -> Iterator[_FileRule]:
+    size, path = F.col("size"), F.col("path")
+    if not_empty:
+        yield _FileRule("not_empty", "Not empty", size == 0, F.concat(path, F.lit(" is empty (0 bytes)")), "has more than 0 bytes")
+    if modified_since is not None:
+        since = modified_since if isinstance(modified_since, dt.datetime) else dt.datetime.combine(modified_since, dt.time())
+        limit = F.lit(since) if since.tzinfo else F.to_timestamp(F.lit(since.isoformat(" ")))  # (a clock time: the session's)
+        told = F.format_string(f"last changed before {since}: %s at %s", path, F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
+        yield _FileRule("modified", "Modified since", F.col("modified") < limit, told, f"was last changed at or after {since}")
+    bounds = [(word, short, text, to_bytes(text)) for word, short, text in (("at least", "less than the minimum", minimum), ("at most", "more than the maximum", maximum)) if text is not None]
+    if bounds:
+        outside = [size < n if word == "at least" else size > n for word, _, _, n in bounds]
+        which = F.coalesce(*[F.when(out, F.lit(f"{short} {text}")) for out, (_, short, text, _) in zip(outside, bounds)], F.lit(""))
+        yield _FileRule("size", "Size", any_of(outside), F.concat(path, F.lit(" is "), F.format_number("size", 0), F.lit(" bytes, "), which),
+                        f"is {' and '.join(f'{word} {text}' for word, _, text, _ in bounds)}")
+
+
 def check_files(files: DataFrame, not_empty: bool = False, modified_since: dt.date | None = None,
                 minimum: str | None = None, maximum: str | None = None, warn=()) -> FileCheckResult:
     """Check a listing (path, size, modified): that there is a file, and as asked that none is empty, none was last
     changed before a date or time, and each has a size within limits. `warn`: the checks whose failure only warns
     ("there", "not_empty", "modified", "size"). One pass counts what is broken; only broken files are named."""
-    low = None if minimum is None else to_bytes(minimum)
-    high = None if maximum is None else to_bytes(maximum)
-    wanted, size = {}, F.col("size")
-    if not_empty:
-        wanted["not_empty"] = ("Not empty", size == 0, F.concat("path", F.lit(" is empty (0 bytes)")), "has more than 0 bytes")
-    if modified_since is not None:
-        since = modified_since if isinstance(modified_since, dt.datetime) else dt.datetime.combine(modified_since, dt.time())
-        at = F.concat("path", F.lit(" at "), F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
-        limit = F.to_timestamp(F.lit(since.replace(tzinfo=None).isoformat(" "))) if since.tzinfo is None else F.lit(since)
-        wanted["modified"] = ("Modified since", F.col("modified") < limit,
-                              F.concat(F.lit(f"last changed before {since}: "), at), f"was last changed at or after {since}")
-    if low is not None or high is not None:
-        under = size < low if low is not None else F.lit(False)
-        over = size > high if high is not None else F.lit(False)
-        told = F.concat("path", F.lit(" is "), F.format_number("size", 0), F.lit(" bytes, "), F.when(
-            under, F.lit(f"less than the minimum {minimum}")).otherwise(F.lit(f"more than the maximum {maximum}")))
-        limits = [f"{w} {t}" for w, t in (("at least", minimum), ("at most", maximum)) if t is not None]
-        wanted["size"] = ("Size", under | over, told, f"is {' and '.join(limits)}")
-    counts = files.agg(F.count("*").alias("files"), *[F.count_if(bad).alias(k) for k, (_, bad, _, _) in wanted.items()]).first()
-    found = counts["files"]
-    outcomes, failures = [], []
-
-    def add(key, title, broken, details):
-        outcome = "passed" if not broken else "warned" if key in warn else "failed"
-        outcomes.append((title, outcome, details))
-        if outcome == "failed":
-            failures.append(f"{title}: {details}")
-
-    add("there", "It is there", not found, f"{found:,} file(s) found" if found else "no file found")
-    for key, (title, bad, told, fine) in wanted.items():
-        if not found:
-            add(key, title, False, "no file found to check")
-        elif not counts[key]:
-            add(key, title, False, f"every file found {fine}")
-        else:
-            named = [r[0] for r in files.where(bad).orderBy("path").limit(NAMED).select(told).collect()]
-            more = f" and {counts[key] - NAMED:,} more" if counts[key] > NAMED else ""
-            add(key, title, True, ", ".join(named) + more)
-    results = files.sparkSession.createDataFrame(outcomes, RESULTS)
-    marks = [F.when(bad, F.struct(F.lit(title).alias("check"), told.alias("details"))) for title, bad, told, _ in wanted.values()]
+    rules = list(_rules(not_empty, modified_since, minimum, maximum))
+    counts = files.agg(F.count("*").alias("files"), *[F.count_if(rule.broken).alias(rule.key) for rule in rules]).first()
+
+    def details(rule: _FileRule) -> str:
+        if not counts["files"]:
+            return "no file found to check"
+        if not counts[rule.key]:
+            return f"every file found {rule.good}"
+        first = [r[0] for r in files.where(rule.broken).orderBy("path").limit(NAMED).select(rule.told).collect()]
+        rest = counts[rule.key] - len(first)
+        return ", ".join(first) + (f" and {rest:,} more" if rest else "")
+
+    there = f"{counts['files']:,} file(s) found" if counts["files"] else "no file found"
+    found = [("there", "It is there", not counts["files"], there), *[(r.key, r.title, bool(counts[r.key]), details(r)) for r in rules]]
+    outcomes = [(title, ("warned" if key in warn else "failed") if broken else "passed", said) for key, title, broken, said in found]
+    failures = [f"{title}: {said}" for title, outcome, said in outcomes if outcome == "failed"]
+    marks = [F.when(r.broken, F.struct(F.lit(r.title).alias("check"), r.told.alias("details"))) for r in rules]
     listed = F.array_compact(F.array(*marks)) if marks else F.array().cast("array<struct<check: string, details: string>>")
     broken = files.select("*", F.explode(listed).alias("__b")).select("__b.check", "path", "size", "modified", "__b.details")
-    return FileCheckResult(not failures, results, files, failures, broken)
+    return FileCheckResult(not failures, files.sparkSession.createDataFrame(outcomes, RESULTS), files, failures, broken)
