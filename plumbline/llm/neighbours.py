@@ -10,8 +10,8 @@ curve to either side with which sampled queries find TARGET of their true neighb
 LEAST rows. Vectors without near neighbours (noise) thus get windows in proportion to the table, others narrow ones.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows
-with a null id. Rows with the same id are the same row to a query: it never meets itself, and an id is found once, at its
-least distance. Ties go to the smaller id. Empty tables give no rows."""
+with a null id. Equal vectors are indexed once, however many rows have them. Rows with the same id are the same row to a
+query: it never meets itself, and an id is found once, at its least distance. Ties go to the smaller id. Empty tables give no rows."""
 
 from __future__ import annotations
 
@@ -20,9 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.ranked import top_per_group
 from ..sources.files import with_row_number
+from .frames import cut
 
 CURVES, DIRECTIONS, BITS = 24, 12, 4
 BLOCK, LEAST = 512, 64
@@ -106,9 +108,14 @@ def search(vectors: DataFrame, queries: Column, found: int = 10, key: str = "vec
     schema = f"query_id bigint, rank int, {key} bigint, score double"
     if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
-    parts = parts.where(F.size("v") == lengths[0].length)
-    total = lengths[0]["count"]
-    some = parts.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()
+    parts = cut(parts.where(F.size("v") == lengths[0].length).distinct())
+    # equal vectors are one class, known by its least id and holding the few least ids that any answer can name
+    named = top_per_group(parts.select("id", "v").distinct(), ["v"], [F.asc("id")], found + 1)
+    ids = named.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = cut(ids.join(parts.where("asks").select("v").distinct().withColumn("asks", F.lit(True)), "v", "left")
+                  .withColumn("asks", F.coalesce("asks", F.lit(False))))
+    total = classes.count()
+    some = classes.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).select("v").collect()
     index = fit(np.array([r.v for r in some]), found, curves)
 
     @F.arrow_udf("array<bigint>")
@@ -116,7 +123,7 @@ def search(vectors: DataFrame, queries: Column, found: int = 10, key: str = "vec
         made = index.keys(rows.flatten().to_numpy().reshape(len(rows), -1))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * made.shape[1], pa.int32()), pa.array(made.reshape(-1)))
 
-    placed = parts.select("id", "v", "asks", F.posexplode(keys_of("v")).alias("curve", "place"))
+    placed = classes.select("id", "v", "asks", F.posexplode(keys_of("v")).alias("curve", "place"))
     ordered = with_row_number(placed, "at", order_by=("curve", "place", "id"))  # (stored, in ranges of curve and key)
     at = F.col("at") - 1 - F.col("curve") * F.lit(total)
     ordered = ordered.select("curve", "id", "v", "asks", at.alias("at"))
@@ -128,23 +135,24 @@ def search(vectors: DataFrame, queries: Column, found: int = 10, key: str = "vec
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(bool)
-        made = {"query_id": [], key: [], "score": []}
+        made = {"asker": [], "met": [], "score": []}
         ids, held = group["id"].to_numpy()[~asks], group["v"][~asks]
         if asks.any() and len(ids):
             held = np.stack(held.to_numpy())
             for query, value in zip(group["id"].to_numpy()[asks], group["v"][asks]):
                 apart = np.sqrt(((held - value) ** 2).sum(axis=1))
-                apart[ids == query] = np.inf
-                best = np.lexsort((ids, apart))[: found + 1]
-                best = best[np.isfinite(apart[best])]
-                made["query_id"] += [query] * len(best)
-                made[key] += ids[best].tolist()
+                best = np.lexsort((ids, apart))[: found + 1]  # (its own class among them)
+                made["asker"] += [query] * len(best)
+                made["met"] += ids[best].tolist()
                 made["score"] += apart[best].tolist()
         return pd.DataFrame(made)
 
-    # a block has BLOCK rows, and the queries whose windows touch it
-    met = rows.unionByName(asking).groupBy("curve", "block").applyInPandas(meet, f"query_id bigint, {key} bigint, score double")
-    merged = met.groupBy("query_id", key).agg(F.min("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", key))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= found).select("query_id", "rank", key, "score")
-
+    # a block has BLOCK classes, and the classes whose windows touch it and that hold a query
+    met = rows.unionByName(asking).groupBy("curve", "block").applyInPandas(meet, "asker bigint, met bigint, score double")
+    merged = met.groupBy("asker", "met").agg(F.min("score").alias("score"))
+    nearest = top_per_group(merged, ["asker"], [F.asc("score"), F.asc("met")], found + 1).select("asker", "met", "score")
+    near_ids = nearest.join(classes.select(F.col("id").alias("met"), "ids"), "met").select("asker", "score", F.explode("ids").alias(key))
+    near_ids = top_per_group(near_ids, ["asker"], [F.asc("score"), F.asc(key)], 2 * found + 1, "place").drop("place")
+    asked = parts.where("asks").select(F.col("id").alias("query_id"), "v").join(classes.select(F.col("id").alias("asker"), "v"), "v").drop("v")
+    others = asked.join(near_ids, "asker").where(F.col("query_id") != F.col(key)).groupBy("query_id", key).agg(F.min("score").alias("score"))
+    return top_per_group(others, ["query_id"], [F.asc("score"), F.asc(key)], found).select("query_id", "rank", key, "score")

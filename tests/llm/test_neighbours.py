@@ -64,3 +64,16 @@ def test_odd_rows(spark):
     assert found == sorted(wanted)
     assert search(table.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     assert search(table.where("vec_id = 6"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_a_vector_that_most_rows_have(spark):
+    random = np.random.default_rng(4)
+    rows = {i: ([1.0, 2.0, 3.0] if i % 5 else random.normal(size=3).round(1).tolist()) for i in range(4000)}
+    rows |= {900: [1.0, 2.0, 3.0], 1700: [1.0, 2.0, 3.0]}
+    rows = {i: v if any(v) else [0.1, 0.0, 0.0] for i, v in rows.items()}
+    table = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in search(table, F.col("vec_id") % 100 == 0).collect()]
+    wanted = brute({i: np.array(v) for i, v in rows.items()}, 10)
+    assert len(found) == len(wanted) and recall(found, wanted) >= 0.95
+    mine = sorted(r for r in found if r[0] == 900)
+    assert [r[2] for r in mine] == [1, 2, 3, 4, 6, 7, 8, 9, 11, 12] and {r[3] for r in mine} == {0.0}
