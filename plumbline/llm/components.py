@@ -45,10 +45,10 @@ def bits_apart(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def linked_in_buckets(keyed: DataFrame, prints: DataFrame | None, most_bits: int,
+def linked_in_buckets(keyed: DataFrame, prints: DataFrame | None, near: Callable[[Column, Column], Column],
                       verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(id, component) for the ids with links: two ids that share a bucket are linked if their fingerprints differ in at
-    most `most_bits` bits and `verify`, where given, keeps their pair.
+    """(id, component) for the ids with links: two ids that share a bucket are linked if `near` holds for their
+    fingerprints and `verify`, where given, keeps their pair.
 
     `keyed` has (key, id), in any number; `prints` has (id, print), or is None if an id is its own fingerprint. `verify`
     gets distinct pairs (a, b) and returns those that hold.
@@ -66,8 +66,8 @@ def linked_in_buckets(keyed: DataFrame, prints: DataFrame | None, most_bits: int
         ids = keyed_prints(members, prints)
         members = cut(members.distinct().join(ids, "id"))
         tried = members.join(ids.select(F.col("id").alias("leader"), F.col("print").alias("leads")), "leader")
-    near = tried.where((F.col("id") != F.col("leader")) & (bits_apart(F.col("print"), F.col("leads")) <= most_bits))
-    links = cut(verify(near.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"))
+    close = tried.where((F.col("id") != F.col("leader")) & near(F.col("print"), F.col("leads")))
+    links = cut(verify(close.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"))
     groups = connected(links)
 
     placed = members.drop("leader").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -77,7 +77,7 @@ def linked_in_buckets(keyed: DataFrame, prints: DataFrame | None, most_bits: int
     a = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("print").alias("pa"), F.col("component").alias("ca"))
     b = mixed.select("key", F.col("id").alias("b"), F.col("print").alias("pb"), F.col("component").alias("cb"), "main")
     other = (F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))
-    pairs = a.join(b, (a["key"] == b["key"]) & (bits_apart(F.col("pa"), F.col("pb")) <= most_bits) & other & (F.col("ca") != F.col("cb")))
+    pairs = a.join(b, (a["key"] == b["key"]) & near(F.col("pa"), F.col("pb")) & other & (F.col("ca") != F.col("cb")))
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")
     return connected(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .components import linked_in_buckets
+from .components import bits_apart, linked_in_buckets
 from .frames import cut, map_slices
 
 SHINGLE, MOST_BITS, SEED = 3, 3, 42
@@ -143,6 +143,10 @@ def bucket_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(made), np.concatenate(whose)
 
 
+def near(a: Column, b: Column) -> Column:
+    return bits_apart(a, b) <= MOST_BITS
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per row of `docs`: its `key`, `text_hash` (64 bits), `print` (signed), and `component`: the least key of
     those it reaches by links of at most three bits, its own included (nulls only where all keys of a group are)."""
@@ -154,7 +158,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         made, whose = bucket_keys(values.view(np.uint64))
         return [pa.array(made), pa.array(values[whose])]
 
-    groups = linked_in_buckets(map_slices(different.select("print"), "key bigint, id bigint", run, 4096), None, MOST_BITS)
+    groups = linked_in_buckets(map_slices(different.select("print"), "key bigint, id bigint", run, 4096), None, near)
     named = different.join(groups.withColumnRenamed("id", "print"), "print", "left").withColumn("group", F.coalesce("component", "print"))
     least = named.groupBy("group").agg(F.min("least").alias("component"))
     of_print = named.select("print", "group").join(least, "group").select("print", "component")

@@ -91,7 +91,7 @@ def test_many_prints_in_one_bucket(spark):
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
     keys, whose = bucket_keys(np.array(prints, np.uint64))
     keyed = spark.createDataFrame([(k, signed[w]) for k, w in zip(keys.tolist(), whose.tolist())], "key long, id long")
-    found = {r.id: r.component for r in linked_in_buckets(keyed, None, 3).collect()}
+    found = {r.id: r.component for r in linked_in_buckets(keyed, None, simhash.near).collect()}
     groups = {}
     for at, root in enumerate(plain_groups(prints)):
         groups.setdefault(root, []).append(signed[at])
