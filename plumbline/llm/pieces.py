@@ -1,8 +1,8 @@
 """Tokens of whole texts with a bounded memo of the words seen.
 
-A text is cut at each single space that stands between two other characters: the splitting pattern of byte-level
-vocabularies always starts a new match there, so the parts can be encoded one by one, each with its leading space. Texts
-with other runs of white space are cut by the pattern itself. Ids are little-endian unsigned 32-bit integers throughout."""
+A text is cut at each single space or line end that stands between two other characters: the splitting pattern of
+byte-level vocabularies always starts a new match there (a line end is a match of its own), so the parts can be encoded
+one by one, each with its leading space. Texts with other white space are cut by the pattern itself. Ids are little-endian unsigned 32-bit integers throughout."""
 
 from __future__ import annotations
 
@@ -11,75 +11,73 @@ from collections.abc import Callable
 #: Marks that end many words; a run of them is one match of the pattern.
 TAIL = "#*$%&|!,.;:?"
 LATIN = "ɐ"  # below it, isalpha() and the pattern's letters are the same
-MEMO = 600_000  # matches and words remembered at most; beyond it the memo starts anew
+MEMO = 700_000  # matches and words remembered at most; beyond it the memo starts anew
 LONGEST = 64  # characters of a remembered word at most
 
 
 class Pieces:
     """encode(texts) from `ids_of`, which encodes matches of the pattern, and `split`, which lists a text's matches.
 
-    The matches that a set of texts has and the memo has not are encoded in one call, so `ids_of` can work on many at once."""
+    Work goes by the different words of a set of texts: those the memo has not are cut into matches, and all new matches
+    are encoded in one call, so `ids_of` can work on many at once."""
 
     def __init__(self, ids_of: Callable[[list[str]], list[bytes]], split: Callable[[str], list[str]], memo: int = MEMO):
         self.ids_of, self.split, self.memo = ids_of, split, memo
-        self.matches: dict[str, bytes] = {}  # ids of one match of the pattern
-        self.words: dict[str, bytes] = {}  # ids of " " + word, for words that are no match by themselves
+        self.words: dict[str, bytes] = {}  # ids of " " + word
+        self.bare: dict[str, bytes] = {}  # ids of a match that is not a space and a word
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.matches) + len(self.words) > self.memo:
-            self.matches.clear()
+        if len(self.words) + len(self.bare) > self.memo:
             self.words.clear()
-        wanted = [self._parts(text) for text in texts]
-        missing = list({match for parts in wanted for match in parts if match.__class__ is str and match not in self.matches})
-        found = dict(zip(missing, self.ids_of(missing)))
-        self.matches.update((m, ids) for m, ids in found.items() if len(m) <= LONGEST)
-        known = self.matches
-        return [b"".join([p if p.__class__ is bytes else known.get(p) or found[p] for p in parts]) for parts in wanted]
-
-    def _parts(self, text: str) -> list[str | bytes]:
-        """A text as matches of the pattern (strings) and parts whose ids are known (bytes)."""
-        if not text:
-            return []
-        chunks = text.split(" ")
-        if _open(chunks[0]):
-            return self.split(text)
-        parts = list(map(self.words.get, chunks))
-        parts[0] = None
-        if None not in parts:
-            return parts
-        made: list[str | bytes] = []
-        add, matches = made.append, self.matches
-        for at, ids in enumerate(parts):
-            if ids is not None:
-                add(ids)
-                continue
-            chunk = chunks[at]
-            if chunk.isalpha() and (chunk.isascii() or max(chunk) < LATIN):
-                match = " " + chunk if at else chunk
-                ids = matches.get(match)
-                if ids is not None and at:
-                    self.words[chunk] = ids
-                add(match if ids is None else ids)
-            elif _open(chunk):
-                return self.split(text)
+            self.bare.clear()
+        words, bare = self.words, self.bare
+        # a text's lines, each as its first word (which has no space before it) and the others
+        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        firsts = [[words_of.pop(0) for words_of in of] for of in lines]
+        rests = [w for of in lines for w in of]
+        cuts, opens, matches = {}, set(), set()
+        for word in set().union(*rests).difference(words):
+            if word.isalpha() and (word.isascii() or max(word) < LATIN):
+                matches.add(" " + word)
+            elif _open(word):
+                opens.add(word)
+            else:
+                cuts[word] = self._pieces(word, " ")
+        starts = {first: self._pieces(first, "") for first in set().union(*firsts) if not _open(first)}
+        whole = {}  # texts with other white space than single spaces and line ends between other characters
+        for i, of in enumerate(firsts):
+            if not all(map(starts.__contains__, of)) or opens and any(not opens.isdisjoint(w) for w in lines[i]):
+                whole[i] = self.split(texts[i])
+        matches.add("\n")
+        for found in (cuts, starts, whole):
+            matches.update(*found.values())
+        new = [m for m in matches if (m[1:] not in words if _spaced(m) else m not in bare)]
+        for match, ids in zip(new, self.ids_of(new)):
+            if _spaced(match):
+                words[match[1:]] = ids
             else:
-                found = self._pieces(chunk, " " if at else "")
-                if at and len(chunk) <= LONGEST and "\n" not in chunk and None not in (got := [matches.get(m) for m in found]):
-                    self.words[chunk] = ids = b"".join(got)
-                    add(ids)
-                else:
-                    made += found
+                bare[match] = ids
+        known = lambda found: b"".join([words[m[1:]] if _spaced(m) else bare[m] for m in found])
+        words.update({word: known(found) for word, found in cuts.items()})
+        first_ids = {first: known(found) for first, found in starts.items()}
+        ids_of, line_end = words.__getitem__, bare["\n"]
+        made = [known(whole[i]) if i in whole else line_end.join([first_ids[f] + b"".join(map(ids_of, w)) for f, w in zip(of, lines[i])])
+                for i, of in enumerate(firsts)]
+        for key in [k for k in (*cuts, *(m.removeprefix(" ") for m in new)) if len(k) > LONGEST]:
+            words.pop(key, None)
+            bare.pop(key, None)
         return made
 
-    def _pieces(self, chunk: str, before: str) -> list[str]:
-        """The matches of a chunk that neither starts nor ends in white space, after a space or at a text's start."""
-        head, end, rest = chunk.partition("\n")
-        if end and not _open(head) and not _open(rest):  # the line end between two characters is a match of its own
-            return [*self._pieces(head, before), end, *self._pieces(rest, "")]
-        core = chunk.rstrip(TAIL)
+    def _pieces(self, word: str, before: str) -> list[str]:
+        """The matches of a word that neither starts nor ends in white space, after a space or at a line's start."""
+        core = word.rstrip(TAIL)
         if core.isalpha() and (core.isascii() or max(core) < LATIN):
-            return [before + core] if len(core) == len(chunk) else [before + core, chunk[len(core):]]
-        return self.split(before + chunk)
+            return [before + core] if len(core) == len(word) else [before + core, word[len(core):]]
+        return self.split(before + word)
+
+
+def _spaced(match: str) -> bool:
+    return match[0] == " " and len(match) > 1 and not match[1].isspace()
 
 
 def _open(chunk: str) -> bool:

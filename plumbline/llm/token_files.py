@@ -48,9 +48,11 @@ class Encoder:
         if plain and not told.get("normalizer") and not told.get("post_processor") and told["model"]["type"] == "BPE" and not told.get("truncation"):
             model, split, marks = self.library.model, self.library.pre_tokenizer.pre_tokenize_str, _byte_marks()
 
+            written_ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
+
             def ids_of(matches: list[str]) -> list[bytes]:
                 marked = [m.encode().decode("latin-1").translate(marks) for m in matches]
-                return [np.array([t.id for t in model.tokenize(m)], "<u4").tobytes() for m in marked]
+                return [b"".join([written_ids[t.id] for t in model.tokenize(m)]) for m in marked]
 
             self.pieces = Pieces(ids_of, lambda text: [text[a:b] for _, (a, b) in split(text)])
 
@@ -106,11 +108,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                        F.col("_metadata.row_index").alias("row"))
 
 
-def with_start(rows: DataFrame) -> DataFrame:
-    """`start`: the ids of all documents before a row's. Ids before it in its file by a window over that file's rows (a
+def with_start(rows: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """`start`: the ids of all documents before a row's (`counts`: the same files' rows, to be read for their counts
+    alone). Ids before it in its file by a window over that file's rows (a
     file is one range of the key, of bounded size), and those of the files before by one row per file."""
     inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("row").rowsBetween(W.unboundedPreceding, -1))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
+    files = (rows if counts is None else counts).groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     before = F.sum("in_file").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1))
     starts = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     return (rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(starts, "file")
@@ -137,4 +140,4 @@ def token_checksums(spark: SparkSession, path: str, key: str = "doc_id") -> Data
 
     made = map_slices(rows.select(key, "n_tokens", "ids", "file", "row"),
                       f"{key} {kind}, n_tokens bigint, file struct<part: bigint, name: string>, row bigint, ids_crc32 bigint", run)
-    return with_start(made)
+    return with_start(made, rows.select("file", "n_tokens"))
