@@ -19,7 +19,8 @@ from .frames import map_slices
 from .pieces import Pieces
 
 BLOCK = 1_000_000  # bytes of pre-tokens merged at once, but for a longer single one
-ROWS = 2048  # texts encoded together
+ROWS = 1024  # texts encoded together
+MEMO = 300_000  # words that a task remembers at most
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,7 +99,7 @@ class ByteBpe:
         keys, values = np.array(pairs, np.int64).reshape(-1, 2).T
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks, self.size = keys[order], values[order].astype(np.int32), size
-        self.pieces = Pieces(self._ids, regex.compile(pattern).findall)
+        self.pieces = Pieces(self._ids, regex.compile(pattern).findall, MEMO)
 
     def _ids(self, matches: list[str]) -> list[bytes]:
         pieces = [m.encode("utf-8", "surrogatepass") for m in matches]
@@ -175,6 +176,11 @@ class ByteBpe:
 _READY: dict = {}  # of this Python worker: vocabularies by their broadcast, with what they remember
 
 
+def _forget() -> None:
+    for codec in _READY.values():
+        codec.pieces.forget()
+
+
 def _codec(shared, pattern: str) -> ByteBpe:
     key = (shared._path if hasattr(shared, "_path") else id(shared), pattern)
     if key not in _READY:
@@ -197,4 +203,4 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_
         return [batch.column(0), ids, *([[codec.decode(i) for i in ids]] if decode else [])]
 
     return map_slices(docs.select(docs[key].alias("key"), docs[text].alias("text")),
-                      f"key {kind}, ids binary" + ", decoded binary" * decode, run, ROWS).withColumnRenamed("key", key)
+                      f"key {kind}, ids binary" + ", decoded binary" * decode, run, ROWS, _forget).withColumnRenamed("key", key)

@@ -32,19 +32,25 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], list], rows: int = SLICE) -> DataFrame:
+def map_slices(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], list], rows: int = SLICE,
+               done: Callable[[], None] | None = None) -> DataFrame:
     """`fn` over slices of at most `rows` rows: it gets a record batch and returns a list of columns for `schema` (of any
-    common length). Memory beyond the Arrow batch is that of one slice, whatever the partition holds."""
+    common length). Memory beyond the Arrow batch is that of one slice, whatever the partition holds. `done` is called at a
+    task's end: Spark keeps Python workers for later tasks, of other operators too, and what they hold with them."""
     kinds = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         made = to_arrow_schema(kinds)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                columns = fn(batch.slice(at, rows))
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, made)], schema=made)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    columns = fn(batch.slice(at, rows))
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, made)], schema=made)
+        finally:
+            if done is not None:
+                done()
 
     return df.mapInArrow(run, kinds)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 #: Marks that end many words; a run of them is one match of the pattern.
 TAIL = "#*$%&|!,.;:?"
 LATIN = "ɐ"  # below it, isalpha() and the pattern's letters are the same
-MEMO = 700_000  # matches and words remembered at most; beyond it the memo starts anew
+MEMO = 500_000  # matches and words remembered at most; beyond it the memo starts anew
 LONGEST = 64  # characters of a remembered word at most
 
 
@@ -26,10 +26,13 @@ class Pieces:
         self.words: dict[str, bytes] = {}  # ids of " " + word
         self.bare: dict[str, bytes] = {}  # ids of a match that is not a space and a word
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.bare.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) + len(self.bare) > self.memo:
-            self.words.clear()
-            self.bare.clear()
+            self.forget()
         words, bare = self.words, self.bare
         # a text's lines, each as its first word (which has no space before it) and the others
         lines = [[line.split(" ") for line in text.split("\n")] for text in texts]

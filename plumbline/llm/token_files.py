@@ -66,6 +66,12 @@ class Encoder:
 _READY: dict = {}  # of this Python worker: encoders by their broadcast
 
 
+def _forget() -> None:
+    for encoder in _READY.values():
+        if encoder.pieces is not None:
+            encoder.pieces.forget()
+
+
 def _encoder(shared) -> Encoder:
     key = getattr(shared, "_path", None) or id(shared)
     if key not in _READY:
@@ -93,7 +99,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         lists = pa.ListArray.from_arrays(offsets, flat, type=pa.list_(pa.field("element", pa.int32())))
         return [batch.column(0), pa.array(sizes), lists]
 
-    (map_slices(ordered, f"key {kind}, n_tokens bigint, ids array<int>", run, ROWS)
+    (map_slices(ordered, f"key {kind}, n_tokens bigint, ids array<int>", run, ROWS, _forget)
      .withColumnRenamed("key", key).write.mode("errorifexists")
      .option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
      .option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.block.size", ROW_GROUP)

@@ -27,7 +27,7 @@ BUCKETS = 1 << 18
 PER_CLASS, SENTENCES, LONGEST = 1500, 120, 400  # rows of a class, sentences of a row, words of a learned sentence
 EPOCHS, RATE, SPARSE, FAIR = 60, 0.3, 0.3, 1.0  # SPARSE: documents' worth of evidence that a weight needs
 THRESHOLD = 0.7
-MEMO = 400_000
+MEMO = 200_000
 STEM = 4  # letters of a word's beginning
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\«»„“”‘’¿¡…"
 #: Terms that name a group, by what kind of group; a term is swapped for those of its own kind.
