@@ -7,11 +7,12 @@ one by one, each with its leading space. Texts with other white space are cut by
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 #: Marks that end many words; a run of them is one match of the pattern.
 TAIL = "#*$%&|!,.;:?"
 LATIN = "ɐ"  # below it, isalpha() and the pattern's letters are the same
-MEMO = 500_000  # matches and words remembered at most; beyond it the memo starts anew
+MEMO = 500_000  # matches and words remembered at most; beyond it half of them go
 LONGEST = 64  # characters of a remembered word at most
 
 
@@ -27,7 +28,9 @@ class Pieces:
         self.bare: dict[str, bytes] = {}  # ids of a match that is not a space and a word
 
     def forget(self) -> None:
-        self.words.clear()
+        """Keep at most half of what may be remembered: the words met first, which are the common ones."""
+        if len(self.words) > self.memo // 2:
+            self.words = dict(islice(self.words.items(), self.memo // 2))
         self.bare.clear()
 
     def encode(self, texts: list[str]) -> list[bytes]:
