@@ -50,27 +50,26 @@ def linked_in_buckets(keyed: DataFrame, prints: DataFrame | None, near: Callable
     """(id, component) for the ids with links: two ids that share a bucket are linked if `near` holds for their
     fingerprints and `verify`, where given, keeps their pair.
 
-    `keyed` has (key, id), in any number; `prints` has (id, print), or is None if an id is its own fingerprint. `verify`
-    gets distinct pairs (a, b) and returns those that hold.
+    `keyed` has (key, id, print), in any number; `prints` has (id, print), or is None if an id is its own fingerprint (and
+    `keyed` has only key and id). `verify` gets distinct pairs (a, b) and returns those that hold.
 
     First every member of a bucket is tried against the bucket's least id, which costs a pair per member however large
-    the bucket. What that joins needs no other pair: only members outside their bucket's largest group are then tried
-    against the rest of the bucket, so no link between different groups is lost."""
+    the bucket; a bucket of two is done with that. What is joined then needs no other pair: only members outside their
+    bucket's largest group are tried against the rest of the bucket, so no link between different groups is lost."""
     verify = verify or (lambda pairs: pairs)
-    least = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last")
-    members = keyed.join(least.select("key", "leader"), "key")
+    least = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = keyed.join(least, "key")
     if prints is None:
-        members = cut(members.distinct().withColumn("print", F.col("id")))
-        tried = members.withColumn("leads", F.col("leader"))
+        tried = members.withColumns({"print": F.col("id"), "leads": F.col("leader")})
     else:
-        ids = keyed_prints(members, prints)
-        members = cut(members.distinct().join(ids, "id"))
-        tried = members.join(ids.select(F.col("id").alias("leader"), F.col("print").alias("leads")), "leader")
-    close = tried.where((F.col("id") != F.col("leader")) & near(F.col("print"), F.col("leads")))
-    links = cut(verify(close.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"))
+        tried = members.join(prints.select(F.col("id").alias("leader"), F.col("print").alias("leads")), "leader")
+    close = (F.col("id") != F.col("leader")) & near(F.col("print"), F.col("leads"))
+    kept = cut(tried.withColumn("close", close).where("close OR n > 2").select("key", "id", "print", "leader", "n", "close"))
+    links = cut(verify(kept.where("close").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"))
     groups = connected(links)
 
-    placed = members.drop("leader").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = (kept.where("n > 2").select("key", "id", "print").join(groups, "id", "left")
+              .withColumn("component", F.coalesce("component", "id")))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
     mixed = cut(placed.join(main.where("groups > 1").drop("groups"), "key"))
@@ -81,7 +80,3 @@ def linked_in_buckets(keyed: DataFrame, prints: DataFrame | None, near: Callable
     more = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")
     return connected(groups.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
 
-
-def keyed_prints(members: DataFrame, prints: DataFrame) -> DataFrame:
-    """The fingerprints of the ids that share a bucket."""
-    return cut(prints.join(members.select("id").distinct(), "id"))
