@@ -154,7 +154,12 @@ def _script(text: str) -> str:
     return "LATIN"
 
 
-def _person(entity: str, gender: str, draws: _Draws) -> str:
+def _longer(name: str, script: str, draws: _Draws, syllables: int) -> str:
+    return ("".join(draws.of(SYLLABLES[script]) for _ in range(syllables)) + name.lower()).capitalize()
+
+
+def _person(entity: str, gender: str, draws: _Draws, attempt: int = 0) -> str:
+    """A name with a syllable more for each attempt, so that there are names enough for any number of persons."""
     script = _script(entity)
     parts = re.split(r"([ -])", entity)
     genders = GIVEN[script]
@@ -164,10 +169,10 @@ def _person(entity: str, gender: str, draws: _Draws) -> str:
             made.append(part)
             continue
         if len(parts) > 1 and i == 0:
-            name = draws.of(genders.get(gender) or genders["f"] + genders["m"])
+            name = _longer(draws.of(genders.get(gender) or genders["f"] + genders["m"]), script, draws, attempt)
         else:
             ends = SURNAME_ENDS[script]
-            name = (draws.of(SYLLABLES[script]) + draws.of(SYLLABLES[script])).capitalize() + draws.of(ends[gender] if isinstance(ends, dict) else ends)
+            name = _longer(draws.of(SYLLABLES[script]), script, draws, 1 + attempt) + draws.of(ends[gender] if isinstance(ends, dict) else ends)
         made.append(name.upper() if part.isupper() and len(part) > 1 else name)
     return "".join(made)
 
@@ -177,7 +182,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     known = known_as(kind, entity)
     draws = _Draws(key, kind, known, attempt)
     if kind.startswith("person"):
-        return _person(entity, kind[-1], draws)
+        return _person(entity, kind[-1], draws, attempt)
     if kind == "mail":
         name, _, domain = known.partition("@")
         host, _, top = domain.rpartition(".")

@@ -84,3 +84,14 @@ def test_collisions_try_again(spark, monkeypatch):
                                      "text_hash long, kind string, known string, made string")
     tried = {r.known: r.attempt for r in private_data._retries(mentions, KEY).collect()}
     assert len(tried) >= 38 and all(a >= 1 for a in tried.values())
+
+
+@pytest.mark.parametrize("name", ["Mrs {}", "Mr {}", "Mrs {} {}", "Dr {} {}", "госпожа {}", "господин {} {}", "κυρία {}", "κύριος {} {}"])
+def test_any_number_of_names(spark, name):
+    """Thousands of names of one form, more than there are short surrogates."""
+    letters = {"LATIN": "abcdefghik", "CYRILLIC": "абвгдежзик", "GREEK": "αβγδεζηθικ"}[private_data._script(name)]
+    word = lambda i: "".join(letters[int(d)] for d in f"{i:05d}").capitalize() + letters[-1]
+    rows = [(i, f"Here {name.format(word(i), word(i // 2))}.") for i in range(4000)]
+    made = replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    to = {find(r.row.text)[0][3]: find(r.clean)[0][3] for r in made}
+    assert len(to) == len(set(to.values())) == 4000 and not set(to) & set(to.values())
