@@ -6,8 +6,13 @@ title or "my name is". Each gets a surrogate of its kind that a keyed hash makes
 the same case and script, marks stay where they are; names become names of the same script, gender and case; card and bank
 account numbers keep valid check digits. The same entity gets the same surrogate in every document.
 
+Names are replaced word by word: a given name and a surname are entities of their own, so that "Mrs Anna Smith", "Dr Anna
+Smith" and "Mrs Smith" refer alike. A name of one word is a surname, unless the corpus has it only as a given name; a given
+name after a title of no gender is that of a woman or else of a man where the corpus has it so. What a surname ends in, not
+the title, decides the form of its surrogate.
+
 Different entities get different surrogates: every surrogate is a function of (key, kind, entity, attempt), all first
-attempts are compared across the corpus, and an entity whose surrogate another entity has taken, or which is itself an
+attempts are compared across the corpus (those of all names together), and an entity whose surrogate another entity has taken, or which is itself an
 entity of the corpus, tries again until none collides. Only those entities (few) are joined back to documents; all others
 are replaced where they are found, without a shuffle of texts.
 
@@ -59,6 +64,9 @@ FORMS = (
     ("telephone", r"(?P<telephone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}(?:[ .-]\d{2,4}){1,3}(?![\d-]*\d)|\+\d{8,14}\b)"),
 )
 KINDS = (*[kind for kind, _ in FORMS], "person")
+NAMES = ("surname", "given_f", "given_m", "given_n", "single")  # what a word of a name is; `single`: a name of one word
+#: Countries' telephone codes of one and two digits; all others have three.
+COUNTRY_CODE = re.compile("[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|...")
 
 
 @cache
@@ -96,13 +104,15 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
 
 
 def known_as(kind: str, entity: str) -> str:
-    """What makes two mentions the same entity: the digits of a number, a mail address without regard to case, and a
-    person's name likewise."""
+    """What makes two mentions the same entity: the digits of a number (a telephone's with + before a country's code), a
+    mail address without regard to case, and a person's name or a word of it likewise."""
     if kind in ("telephone", "card", "social"):
+        if kind == "telephone" and entity[0] == "+":
+            return "+" + re.sub(r"\D", "", entity)
         return re.sub(r"\D", "", entity)
     if kind == "account":
         return entity.replace(" ", "")
-    return entity.casefold() if kind == "mail" or kind.startswith("person") else entity
+    return entity.casefold() if kind == "mail" or kind.startswith("person") or kind in NAMES else entity
 
 
 class _Draws:
@@ -158,31 +168,45 @@ def _longer(name: str, script: str, draws: _Draws, syllables: int) -> str:
     return ("".join(draws.of(SYLLABLES[script]) for _ in range(syllables)) + name.lower()).capitalize()
 
 
-def _person(entity: str, gender: str, draws: _Draws, attempt: int = 0) -> str:
-    """A name with a syllable more for each attempt, so that there are names enough for any number of persons."""
-    script = _script(entity)
-    parts = re.split(r"([ -])", entity)
-    genders = GIVEN[script]
-    made = []
-    for i, part in enumerate(parts):
-        if i % 2:
-            made.append(part)
-            continue
-        if len(parts) > 1 and i == 0:
-            name = _longer(draws.of(genders.get(gender) or genders["f"] + genders["m"]), script, draws, attempt)
-        else:
-            ends = SURNAME_ENDS[script]
-            name = _longer(draws.of(SYLLABLES[script]), script, draws, 1 + attempt) + draws.of(ends[gender] if isinstance(ends, dict) else ends)
-        made.append(name.upper() if part.isupper() and len(part) > 1 else name)
-    return "".join(made)
+def name_words(entity: str, gender: str) -> list[tuple[str, str]]:
+    """What each word of a name is, and the marks between them: (kind, word)."""
+    first, mark, last = re.fullmatch(r"([^ -]*)(?:([ -])(.*))?", entity).groups()
+    if mark is None:
+        return [("single", first)]
+    return [(f"given_{gender}" if mark == " " else "surname", first), ("", mark), ("surname", last)]
+
+
+def _surname_gender(word: str, script: str) -> str:
+    word = word.casefold()
+    if script == "GREEK":
+        return "m" if word.endswith("σ") else "f"
+    return "f" if word.endswith(("а", "я")) else "m" if word.endswith(("ов", "ев", "ёв", "ин", "ын", "ий", "ой")) else "n"
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """The replacement of an entity; of mentions that differ only in their marks, one that differs only in its marks."""
+def name_surrogate(key: bytes, kind: str, word: str, attempt: int = 0) -> str:
+    """The replacement of a word of a name, with a syllable more for each attempt, so that there are enough for any number."""
+    kind, script = "surname" if kind == "single" else kind, _script(word)
+    draws = _Draws(key, kind, known_as(kind, word), attempt)
+    if kind == "surname":
+        ends = SURNAME_ENDS[script]
+        made = _longer(draws.of(SYLLABLES[script]), script, draws, 1 + attempt)
+        made += draws.of(ends[_surname_gender(word, script)] if isinstance(ends, dict) else ends)
+    else:
+        genders = GIVEN[script]
+        made = _longer(draws.of(genders.get(kind[-1]) or genders["f"] + genders["m"]), script, draws, attempt)
+    return made.upper() if word.isupper() and len(word) > 1 else made
+
+
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, others: dict | None = None) -> str:
+    """The replacement of an entity; of mentions that differ only in their marks, one that differs only in its marks.
+    `others` names what words of names are after all, and their attempts: {(kind, known): (kind, attempt)}."""
+    if kind.startswith("person"):
+        words = [(k, w, *(others or {}).get((k, known_as(k, w)), (k, attempt))) for k, w in name_words(entity, kind[-1])]
+        return "".join(name_surrogate(key, real, w, tries) if k else w for k, w, real, tries in words)
+    if kind in NAMES:
+        return name_surrogate(key, kind, entity, attempt)
     known = known_as(kind, entity)
     draws = _Draws(key, kind, known, attempt)
-    if kind.startswith("person"):
-        return _person(entity, kind[-1], draws, attempt)
     if kind == "mail":
         name, _, domain = known.partition("@")
         host, _, top = domain.rpartition(".")
@@ -192,9 +216,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "network":
         return ".".join(str(1 + draws.below(254)) for _ in range(4))
     if kind in ("telephone", "card", "social"):
-        start = next((i for i, c in enumerate(entity) if c in " (.-"), 0) if kind == "telephone" and entity[0] == "+" else 0
+        known = known.removeprefix("+")
         digits = list(_like(known, draws))
-        kept = sum(c.isdigit() for c in entity[:start])  # the country's code
+        kept = len(COUNTRY_CODE.match(known)[0]) if entity[0] == "+" else 0  # (however the number is written)
         digits[:kept] = known[:kept]
         if kind == "card":
             digits[0] = known[0]
@@ -213,11 +237,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
 
 
 def _entities(docs: DataFrame, text: str, key: bytes) -> DataFrame:
-    """Every mention's kind and entity, with its document's text hash: (text_hash, kind, known, made)."""
+    """Every mention's kind and entity, names by words, with its document's text hash: (text_hash, kind, known, made)."""
     def run(batch: pa.RecordBatch) -> list:
         columns = [[], [], [], []]
         for hashed, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for kind, known, entity in sorted({(k, known_as(k, e), e) for _, _, k, e in find(value.as_py())}):
+            parts = [p for _, _, k, e in find(value.as_py()) for p in (name_words(e, k[-1]) if k.startswith("person") else [(k, e)]) if p[0]]
+            for kind, known, entity in sorted({(k, known_as(k, e)): (k, known_as(k, e), e) for k, e in parts}.values()):
                 for column, x in zip(columns, (hashed, kind, known, known_as(kind, surrogate(key, kind, entity)))):
                     column.append(x)
         return columns
@@ -226,25 +251,42 @@ def _entities(docs: DataFrame, text: str, key: bytes) -> DataFrame:
     return map_slices(rows, "text_hash bigint, kind string, known string, made string", run)
 
 
+def _real_kinds(entities: DataFrame) -> DataFrame:
+    """`entities` with `real`, the kind that they are after all: that of other mentions of a name's word."""
+    words = entities.where(F.col("kind").isin(*NAMES)).groupBy("known").agg(F.collect_set("kind").alias("kinds"))  # (five at most)
+    has = lambda kind: F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+    given = F.when(has("given_f"), "given_f").when(has("given_m"), "given_m").when(has("given_n"), "given_n")
+    real = (F.when(F.col("kind") == "given_n", given)
+            .when(F.col("kind") == "single", F.when(has("surname"), "surname").otherwise(F.coalesce(given, F.lit("surname"))))
+            .otherwise(F.col("kind")))
+    return entities.join(words, "known", "left").withColumn("real", real).drop("kinds")
+
+
 def _retries(mentions: DataFrame, key: bytes) -> DataFrame:
-    """(kind, known, attempt) of the entities whose first surrogate collides, with the attempt that does not."""
-    entities = cut(mentions.groupBy("kind", "known").agg(F.min("made").alias("made")))
-    taken = entities.select("kind", F.col("known").alias("made"))  # no surrogate may be an entity of the corpus
+    """(kind, known, real, attempt) of the entities whose first surrogate collides, with the attempt that does not, and of
+    the words of names that are of another kind after all."""
+    mentioned = cut(_real_kinds(mentions.groupBy("kind", "known").agg(F.min("made").alias("made"))))
+    itself = (F.col("kind") == F.col("real")) | (F.col("kind") == "single") & (F.col("real") == "surname")
+    pool = F.when(F.col("kind").isin(*NAMES), "person").otherwise(F.col("kind"))  # what must not collide
+    entities = cut(mentioned.where(itself).select(F.col("real").alias("kind"), "known", "made").groupBy("kind", "known")
+                   .agg(F.min("made").alias("made")).withColumn("pool", pool))
+    taken = entities.select("pool", F.col("known").alias("made"))  # no surrogate may be an entity of the corpus
     state = entities.withColumn("attempt", F.lit(0))
     for attempt in range(1, MOST_ATTEMPTS + 1):
         # of those that share a surrogate the one that had it first stays (the least attempt, then the least entity)
-        order = F.row_number().over(W.partitionBy("kind", "made").orderBy("attempt", "known"))
-        twice = state.groupBy("kind", "made").count().where("count > 1").drop("count")
-        shared = state.join(twice, ["kind", "made"], "left_semi").withColumn("turn", order).where("turn > 1").drop("turn")
-        bad = cut(shared.unionByName(state.join(taken, ["kind", "made"], "left_semi")).select("kind", "known").distinct())
+        order = F.row_number().over(W.partitionBy("pool", "made").orderBy("attempt", "known", "kind"))
+        twice = state.groupBy("pool", "made").count().where("count > 1").drop("count")
+        shared = state.join(twice, ["pool", "made"], "left_semi").withColumn("turn", order).where("turn > 1").drop("turn")
+        bad = cut(shared.unionByName(state.join(taken, ["pool", "made"], "left_semi")).select("kind", "known").distinct())
         if bad.isEmpty():
-            return state.where("attempt > 0").select("kind", "known", "attempt")
+            found = mentioned.select("kind", "known", "real").join(state.select(F.col("kind").alias("real"), "known", "attempt"), ["real", "known"])
+            return found.where("attempt > 0 OR kind <> real AND kind <> 'single' OR kind = 'single' AND real <> 'surname'").select("kind", "known", "real", "attempt")
 
         def again(batch: pa.RecordBatch, attempt: int = attempt) -> list:
             kinds, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             return [kinds, known, [known_as(k, surrogate(key, k, e, attempt)) for k, e in zip(kinds, known)], [attempt] * len(kinds)]
 
-        tried = map_slices(bad, "kind string, known string, made string, attempt int", again)
+        tried = map_slices(bad, "kind string, known string, made string, attempt int", again).withColumn("pool", pool)
         state = cut(state.join(bad, ["kind", "known"], "left_anti").unionByName(tried))
     raise RuntimeError(f"surrogates still collide after {MOST_ATTEMPTS} attempts: too few of their form for so many entities")
 
@@ -253,7 +295,7 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """The rows of `docs` as struct `row`, with `clean` (the text with surrogates) and `found` (a map of kind to count)."""
     mentions = cut(_entities(docs, text, key))
     retries = cut(mentions.select("text_hash", "kind", "known").join(_retries(mentions, key), ["kind", "known"])
-                  .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "known", "attempt")).alias("again")))  # (of one text)
+                  .groupBy("text_hash").agg(F.collect_set(F.struct("kind", "known", "real", "attempt")).alias("again")))  # (of one text)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs[text]).alias("own"))
     met = rows.join(retries, rows["own"] == retries["text_hash"], "left")
 
@@ -261,10 +303,10 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     def clean(texts: pa.Array, again: pa.Array) -> pa.Array:
         made = []
         for value, more in zip(texts, again):
-            value, more = value.as_py(), {(m["kind"], m["known"]): m["attempt"] for m in more.as_py() or ()}
+            value, more = value.as_py(), {(m["kind"], m["known"]): (m["real"], m["attempt"]) for m in more.as_py() or ()}
             parts, at, counts = [], 0, {}
             for start, end, kind, entity in find(value):
-                parts += [value[at:start], surrogate(key, kind, entity, more.get((kind, known_as(kind, entity)), 0))]
+                parts += [value[at:start], surrogate(key, kind, entity, more.get((kind, known_as(kind, entity)), (kind, 0))[1], more)]
                 at = end
                 counts[kind.partition("_")[0] if kind.startswith("person") else kind] = counts.get(kind.partition("_")[0] if kind.startswith("person") else kind, 0) + 1
             made.append({"clean": value if value is None else "".join(parts) + value[at:], "found": sorted(counts.items())})

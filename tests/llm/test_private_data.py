@@ -95,3 +95,27 @@ def test_any_number_of_names(spark, name):
     made = replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
     to = {find(r.row.text)[0][3]: find(r.clean)[0][3] for r in made}
     assert len(to) == len(set(to.values())) == 4000 and not set(to) & set(to.values())
+
+
+def test_names_refer_alike_under_all_titles(spark):
+    """The same word is replaced by the same word whatever stands around it, and different ones by different ones."""
+    letters = "abcdefghik"
+    word = lambda i: "".join(letters[int(d)] for d in f"{i:03d}").capitalize() + "x"
+    rows = [(i, f"{title} {word(i)}") for i in range(600) for title in [("Mrs", "Mr", "Dr")[i % 3]]]
+    rows += [(1000, "Mrs Anna Smith"), (1001, "Dr Anna Smith"), (1002, "Mrs Smith"), (1003, "Mr SMITH"), (1004, "my name is Anna"), (1005, "Mr Paul Smith"),
+             (1006, "Dr Jane Jones"), (1007, "господин Иванова"), (1008, "госпожа Иванова")]
+    rows += [(2000 + i, f"Mrs {n}") for i, n in enumerate(["Barfelson", *(surrogate(KEY, "person_m", word(i)) for i in range(40))])]
+    clean = {r.row.doc_id: find(r.clean)[0][3] for r in replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    surname = clean[1002]
+    assert clean[1000] == clean[1001] and clean[1000].split()[1] == surname == clean[1005].split()[1] and clean[1003] == surname.upper()
+    assert clean[1004] == clean[1000].split()[0] != clean[1005].split()[0] and clean[1007] == clean[1008]
+    old = {w.casefold() for _, t in rows for w in find(t)[0][3].split()}
+    words = {w.casefold() for n in clean.values() for w in n.split()}
+    assert not old & words and len(old) == len(words)
+
+
+def test_a_number_in_other_writing(spark):
+    forms = ["+49 151 1234 5678", "+4915112345678", "+49 (151) 1234 5678", "+49.151.1234.5678"]
+    rows = [(i, f"call {f} now") for i, f in enumerate(forms)]
+    made = {re.sub(r"[^\d+]", "", r.clean) for r in replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert len(made) == 1 and made.pop().startswith("+49")
