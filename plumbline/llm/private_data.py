@@ -56,7 +56,7 @@ _NAME = r"[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+)?"
 FORMS = (
     ("mail", r"(?P<mail>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"),
     ("cloud_key", r"(?P<cloud_key>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b)"),
-    ("secret", r"(?:\b(?:password|passwd|token|secret|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?P<secret>[^\s\"',;]{6,})"),
+    ("secret", r"(?:(?<![^\W_])(?i:password|passwd|token|secret|api[_-]?key)\b[\"']?\s{0,2}[=:]\s{0,2}[\"']?)(?P<secret>[^\s\"',;]{6,})"),
     ("account", r"(?P<account>\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)"),
     ("network", r"(?P<network>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"),
     ("card", r"(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]*\d))"),
@@ -85,7 +85,7 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     found = []
     marks, named = _patterns()
-    if any(c in text for c in "@+=:") or any(c.isdigit() for c in text):
+    if any(c in text for c in "@+=:") or any(c.isdigit() for c in text) or "AKIA" in text or "ASIA" in text:
         for match in marks.finditer(text):
             kind = match.lastgroup
             start, end = match.span(kind)
