@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import byte_bpe, line_dedup, mixing, neighbours, private_data, quality_model, quality_rules, simhash, token_files, toxicity
+from . import (byte_bpe, line_dedup, mixing, neighbours, packing, prefix_trie, private_data, quality_model, quality_rules, simhash, token_files,
+               toxicity)
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,46 @@ def op3_private_data(spark, folder):
     made = private_data.replace(_table(spark, folder, "documents"), b"a key kept with the pipeline's own secrets")
     return made.select("row.doc_id", F.col("clean").alias("text"), *[
         private_data.kind_count(F.col("found"), kind).alias(f"n_{kind}") for kind in private_data.KINDS])
+
+
+@query("""
+WITH numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS num
+  FROM conversations WHERE conv_id IS NOT NULL),
+original AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY num) AS said FROM numbered GROUP BY conv_id),
+-- CRC-32 of the decimal key: each character is xored in, then eight times the register is shifted
+keyed AS (
+  SELECT conv_id, said, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+           lambda s: list_concat([ascii(s)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+         lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END),
+         4294967295::BIGINT) % 4 AS h
+  FROM original),
+rebuilt AS (
+  SELECT k.conv_id, list_concat(coalesce(list_slice(s.said, 1, k.h), []), list_slice(k.said, k.h + 1, len(k.said))) AS said
+  FROM keyed k LEFT JOIN original s ON s.conv_id = k.conv_id - k.conv_id % 20),
+prefixes AS (SELECT conv_id, len(said) AS turns, said, unnest(range(0, len(said) + 1)) AS depth FROM rebuilt),
+members AS (SELECT conv_id, depth, turns, list_slice(said, 1, depth) AS path FROM prefixes),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE turns = depth), '')) AS ends_sha256,
+         CASE WHEN depth = 0 THEN 0 ELSE len(list_filter(string_split_regex(path[depth].text, '[ \\t-\\r]+'), lambda w: w <> '')) END AS words
+  FROM members GROUP BY path, depth),
+children AS (SELECT list_slice(path, 1, depth - 1) AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (path, depth)),
+subtrees AS (
+  SELECT list_slice(path, 1, top) AS path, top AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+         sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM counted) GROUP BY ALL)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens, c.ends_sha256
+FROM counted c JOIN subtrees s ON s.path = c.path AND s.depth = c.depth
+LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = list_slice(c.path, 1, c.depth - 1)""")
+def op12_prefix_trie(spark, folder):
+    conv = F.col("conv")
+    turns = prefix_trie.read_turns(_table(spark, folder, "conversations"))
+    return prefix_trie.trie(*prefix_trie.share_openings(turns, F.crc32(conv.cast("string")) % 4, conv - conv % 20, 3))
+
+
+@query()
+def op13_packing(spark, folder):
+    return packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
