@@ -4,102 +4,41 @@
 `n_tokens` are delta encoded, row groups and pages have set sizes, and every file carries page indexes. So a reader of
 some documents touches only their pages, and a reader of counts (`token_index`) never touches an id.
 
+Ids are those that the library gives with add_special_tokens=False: the string of an added token in a text is that token.
 Null and empty texts have the end id alone. Null keys come first. Rows that are equal stay equal rows. The files' order
 is that of their part numbers, the rows' order that in their file."""
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .frames import map_slices
-from .pieces import Pieces
+from .library_ids import encoder, share, texts_of
 
 ROW_GROUP, PAGE = 16 << 20, 128 << 10  # bytes
 ROWS = 2048  # texts encoded together
 
 
-def _byte_marks() -> dict[int, str]:
-    """How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on, in their order."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class Encoder:
-    """Texts to ids with the tokenizers library. Where the file splits texts by the plain byte-level pattern, each match
-    of it is encoded once and remembered; other files encode every text whole."""
-
-    def __init__(self, written: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a Spark task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(written)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        told = json.loads(written)
-        splits = told.get("pre_tokenizer") or {}
-        plain = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
-        self.pieces = None
-        if plain and not told.get("normalizer") and not told.get("post_processor") and told["model"]["type"] == "BPE" and not told.get("truncation"):
-            model, split, marks = self.library.model, self.library.pre_tokenizer.pre_tokenize_str, _byte_marks()
-
-            written_ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-
-            def ids_of(matches: list[str]) -> list[bytes]:
-                marked = [m.encode().decode("latin-1").translate(marks) for m in matches]
-                return [b"".join([written_ids[t.id] for t in model.tokenize(m)]) for m in marked]
-
-            self.pieces = Pieces(ids_of, lambda text: [text[a:b] for _, (a, b) in split(text)])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        if self.pieces is not None:
-            return self.pieces.encode(texts)
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-
-_READY: dict = {}  # of this Python worker: encoders by their broadcast
-
-
-def _forget() -> None:
-    for encoder in _READY.values():
-        if encoder.pieces is not None:
-            encoder.pieces.forget()
-
-
-def _encoder(shared) -> Encoder:
-    key = getattr(shared, "_path", None) or id(shared)
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Encoder(shared.value)
-    return _READY[key]
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
     """Encodes every text of `docs` by a tokenizers file (its path on the driver; its content is broadcast, a file of
     fixed size), appends `end_id`, and writes the files to `path`. One shuffle, by ranges of the key; texts are encoded
     after it, where they are written. Other columns of `docs` play no part."""
-    with open(tokenizer, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    shared = share(docs, tokenizer)
     kind = docs.schema[key].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
     pairs = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     ordered = pairs.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
 
     def run(batch: pa.RecordBatch) -> list:
-        made = [ids + end for ids in _encoder(shared).encode(batch.column(1).to_pylist())]
-        sizes = np.array([len(x) // 4 for x in made], np.int64)
-        flat = pa.array(np.frombuffer(b"".join(made), "<i4"))
+        ids, counts = encoder(shared).encode(texts_of(batch.column(1)))
+        flat = pa.array(np.insert(ids, np.cumsum(counts), end_id).astype("<i4"))
+        sizes = counts + 1
         offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
         lists = pa.ListArray.from_arrays(offsets, flat, type=pa.list_(pa.field("element", pa.int32())))
         return [batch.column(0), pa.array(sizes), lists]
 
-    (map_slices(ordered, f"key {kind}, n_tokens bigint, ids array<int>", run, ROWS, _forget)
+    (map_slices(ordered, f"key {kind}, n_tokens bigint, ids array<int>", run, ROWS)
      .withColumnRenamed("key", key).write.mode("errorifexists")
      .option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
      .option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.block.size", ROW_GROUP)

@@ -9,35 +9,57 @@ import pytest
 from test_byte_bpe import ODD
 from tokenizers import Tokenizer
 
-from plumbline.llm.token_files import Encoder, token_checksums, token_index, write_token_files
+from plumbline.llm import library_ids
+from plumbline.llm.library_ids import Encoder
+from plumbline.llm.token_files import token_checksums, token_index, write_token_files
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def library():
-    library = Tokenizer.from_file(FILE)
-    library.encode_special_tokens = True
-    return library
+    return Tokenizer.from_file(FILE)
+
+
+def encoded(own, texts):
+    ids, counts = own.encode([(t or "").encode("utf-8", "replace") for t in texts])
+    return [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+MORE = ["x <|endoftext|> y", "<|endoftext|>", "", " lead", "trail ", "\n", "x\n", "\nx", "a  b", "a\n\nb", "tab\tx", "a,b.c!? é, ü. ×, ÷. d×,", "it's we'll", "x’s",
+        "12,5 a-b", "Ünï,ö.", "—, x", "a ,b", "q\u00a0r s", "\u2003a", "a\x85b", "\x1cq w", "x,\n,y"]
 
 
 def test_texts(library):
-    own = Encoder(open(FILE, encoding="utf-8").read())
-    assert own.pieces is not None
+    own, texts = Encoder(open(FILE, encoding="utf-8").read()), [*ODD, *MORE]
+    assert own.plain
     for _ in range(2):
-        assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
+        assert encoded(own, texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_a_very_long_text(library):
+    own, text = Encoder(open(FILE, encoding="utf-8").read()), ("Some words, é. " * 700_000).strip()
+    assert encoded(own, ["a", text, "b"])[1] == library.encode(text, add_special_tokens=False).ids
+    assert encoded(own, [" x" * 3_000_000]) == [library.encode(" x" * 3_000_000, add_special_tokens=False).ids]
+
+
+def test_more_chunks_than_remembered(library, monkeypatch):
+    monkeypatch.setattr(library_ids, "MEMO", 5)
+    own = Encoder(open(FILE, encoding="utf-8").read())
+    for n in range(4):
+        texts = [f"Words{i} of {n}, {i * n}." for i in range(9)]
+        assert encoded(own, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_a_file_with_other_splitting():
     path = public_tokenizers.path("word_bpe_49k.json")
     own = Encoder(open(path, encoding="utf-8").read())
-    assert own.pieces is None
-    ids = Tokenizer.from_file(path).encode("Some words", add_special_tokens=False).ids
-    assert np.frombuffer(own.encode(["Some words"])[0], "<u4").tolist() == ids
+    assert not own.plain
+    assert encoded(own, ["Some words", "", "more"]) == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in ("Some words", "", "more")]
 
 
 def test_files(spark, library, tmp_path):
-    texts = [None, *ODD, ODD[3], ODD[3]]
+    texts = [None, *ODD, ODD[3], ODD[3], MORE[0]]
     rows = [(7 * i % 31 if i % 9 else i % 2 or None, t, "x", 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(3)
     path = f"file://{tmp_path}/tokens"
