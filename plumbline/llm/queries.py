@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.lineage import checkpoint_dir
-from . import (byte_bpe, line_dedup, mixing, neighbours, packing, prefix_trie, private_data, quality_model, quality_rules, simhash, token_files,
-               toxicity)
+from . import (byte_bpe, collocations, line_dedup, mixing, neighbours, packing, prefix_trie, private_data, quality_model, quality_rules,
+               simhash, token_files, toxicity)
 from .labelled import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,35 @@ def op3_private_data(spark, folder):
         private_data.kind_count(F.col("found"), kind).alias(f"n_{kind}") for kind in private_data.KINDS])
 
 
+@query("""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) AS piece
+  FROM documents),
+listed AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS words FROM pieces),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM listed),
+spans AS (SELECT lang, words, pos, unnest(range(1, least(5, len(words) - pos + 1) + 1)) AS m FROM places),
+counts AS (
+  SELECT lang, m, array_to_string(list_slice(words, pos, pos + m - 1), ' ') AS phrase, count(*) AS f FROM spans GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS words, f AS a FROM counts WHERE m > 1 AND f >= 100),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, a, k, h.f AS l, t.f AS r, n, ((1000::HUGEINT * a * n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.words[:k], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.words[k + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (
+  SELECT DISTINCT lang, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS phrase, a
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS pos FROM (SELECT *, unnest(range(2, m)) AS size FROM candidates))),
+kept AS (SELECT * FROM lowest o WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.lang = o.lang AND p.phrase = o.phrase AND p.a >= o.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000""")
+def op11_collocations(spark, folder):
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 @query("""
 WITH numbered AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
