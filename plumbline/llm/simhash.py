@@ -18,6 +18,7 @@ its fingerprint is zero and links like any other. Rows equal in key and text sha
 
 from __future__ import annotations
 
+import math
 from functools import cache
 from itertools import combinations
 
@@ -33,6 +34,7 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, bits)
 GENERATOR, LENGTH, CHECKS = 0b101011100011, 23, 11  # the polynomial of the binary Golay code
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK = 4096  # shingles whose bits are counted at once
+PRINTS, AT_ONCE = 32_768, 1024  # fingerprints a task makes keys of (some 70 each), and how many of them at once
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -158,7 +160,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         made, whose = bucket_keys(values.view(np.uint64))
         return [pa.array(made), pa.array(values[whose])]
 
-    groups = linked_in_buckets(map_slices(different.select("print"), "key bigint, id bigint", run, 4096), None, near)
+    tasks = max(1, math.ceil(different.count() / PRINTS))  # (else as few as hold the fingerprints, which take far less room than their keys)
+    keyed = map_slices(different.select("print").repartition(tasks, "print"), "key bigint, id bigint", run, AT_ONCE)
+    groups = linked_in_buckets(keyed, None, near)
     named = different.join(groups.withColumnRenamed("id", "print"), "print", "left").withColumn("group", F.coalesce("component", "print"))
     least = named.groupBy("group").agg(F.min("least").alias("component"))
     of_print = named.select("print", "group").join(least, "group").select("print", "component")
