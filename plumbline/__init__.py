@@ -15,6 +15,7 @@ from .operators.ledger import Ledger
 from .operators.profile import (Profile, assert_finite, correlations, custom_statistics, finite_or_null, histograms,
                                 long_statistics, profile, rows_over_time, rows_per_group, top_values, wide_statistics)
 from .operators.python_code import Step, map_batches, per_group, run_python
+from .operators.ranges import range_totals, threshold_totals
 from .operators.relational import (asof_join, attach, for_each_row, merge_lines, preview, range_join, route, route_rows,
                                    scrub, status_rollup)
 from .operators.schedules import (cron_due, due_instants, due_times, every_due, misfire, missed_runs, once_due,

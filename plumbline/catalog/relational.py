@@ -12,6 +12,7 @@ from ..functions.readers import micros
 from ..operators.python_code import map_batches, per_group
 from ..operators.relational import (asof_join, attach, for_each_row, merge_lines, preview, range_join, route, route_rows,
                                     scrub)
+from ..operators.ranges import range_totals, threshold_totals
 from ..operators.sql import run_sql, transform
 from ..operators.profile import finite_or_null
 from ..sources.files import with_row_number
@@ -62,11 +63,28 @@ same_sql("semi_anti_customers", """
           where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)) u
     group by c_mktsegment""", ["customer", "orders"])
 
-same_sql("theta_join_sql", """
-    select n_name as nation, count(*) as richer
-    from (select n_name, avg(c_acctbal) as usual from customer join nation on c_nationkey = n_nationkey
-          group by n_name) n
-    join supplier on s_acctbal > usual group by n_name""", ["customer", "nation", "supplier"])
+@query("""select n_name as nation, count(*) as richer
+          from (select n_name, avg(c_acctbal) as usual from customer join nation on c_nationkey = n_nationkey
+                group by n_name) n
+          join supplier on s_acctbal > usual group by n_name""")
+def theta_join_sql(t):
+    """(as counts over a threshold: the same rows as the join's, without its pairs)"""
+    usual = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation")).agg(
+        F.avg("c_acctbal").alias("usual"))
+    return threshold_totals(usual, t.supplier, "usual", ">", "s_acctbal", count="richer").where("richer > 0").select("nation", "richer")
+
+
+@query("""select c_custkey, count(o_orderkey) as orders, cast(sum(o_totalprice) as decimal(38, 2)) as total,
+                 count(o_orderkey) filter (where o_orderkey is not null) as same
+          from customer left join orders on o_custkey = c_custkey and o_totalprice >= c_acctbal * 10 and o_totalprice <= c_acctbal * 40
+          group by c_custkey""")
+def range_totals_by_customer(t):
+    """What each customer spent on orders of ten to forty times their balance: spans with equal keys, both ends in."""
+    spans = t.customer.select("c_custkey", (F.col("c_acctbal") * 10).alias("low"), (F.col("c_acctbal") * 40).alias("high"))
+    orders = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
+    made = range_totals(orders, spans, "o_totalprice", "low", "high", {"total": "price"}, "c_custkey", "both", count="orders")
+    return made.select("c_custkey", "orders", "total", F.col("orders").alias("same"))
+
 
 same_sql("using_join", """
     select l_orderkey, count(*) as lines, round(sum(l_extendedprice), 2) as price
@@ -142,8 +160,9 @@ def asof_last_event(t):
 def range_join_error_hours(t):
     spans = t.events.where("event_type = 'error'").select(
         F.col("event_id").alias("error_id"), F.col("ts").alias("since"), (F.col("ts") + F.expr("interval 1 hour")).alias("till"))
-    inside = range_join(t.events.select("event_id", "ts", "value"), spans, "ts", "since", "till")
-    return inside.groupBy("error_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total"))
+    events = t.events.select("ts", F.col("value").cast("decimal(20,6)").alias("value"))
+    made = range_totals(events, spans, "ts", "since", "till", {"total": "value"}, count="events")
+    return made.select("error_id", "events", F.round(F.col("total").cast("double"), 2).alias("total"))
 
 
 @query("""select c_custkey, c_acctbal, row_number() over (order by c_acctbal, c_custkey) as row_number,
