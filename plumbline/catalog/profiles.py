@@ -47,8 +47,8 @@ def profile_lineitem(t):
 
 @query(_number_sql(LINES, LINE_COLUMNS))
 def profile_lineitem_in_passes(t):
-    """The same without a buffer per group: percentiles found bucket by bucket."""
-    return _rounded(P.profile(_lines(t), parts=("numbers",), rows_in_one_buffer=0).stats)
+    """The same of columns given by name."""
+    return _rounded(P.profile(t.lineitem.withColumn("l_quantity", F.nullif("l_quantity", F.lit(7.0))), LINE_COLUMNS, parts=("numbers",)).stats)
 
 
 ORDERS = """(select case when o_orderpriority = '5-LOW' then null else o_orderpriority end as priority,
@@ -68,8 +68,7 @@ def profile_orders_by_priority(t):
 
 @query(_number_sql(ORDERS, ["o_custkey", "o_totalprice"], "priority, status"))
 def profile_two_groups_in_passes(t):
-    found = P.profile(_orders(t), ["o_custkey", "o_totalprice"], ["priority", "status"], parts=("numbers",),
-                      rows_in_one_buffer=0)
+    found = P.profile(_orders(t), ["o_custkey", "o_totalprice"], ["priority", "status"], parts=("numbers",))
     return _rounded(found.stats, ["priority", "status"])
 
 
@@ -130,10 +129,39 @@ def profile_custom(t):
           from lineitem group by 1""")
 def profile_custom_in_passes(t):
     found = P.custom_statistics(t.lineitem, {"p90": "quantile_cont(l_extendedprice * (1 - l_discount), 0.9)", "n": "count(*)"},
-                                ["l_returnflag"], rows_in_one_buffer=0)
+                                ["l_returnflag"])
     return found.select(F.col("l_returnflag").alias("flag"), F.round("p90", 4).alias("p90"), "n")
 
 
+CLOSE = """(select 1000000000000000 + l_orderkey * 8 + l_linenumber as id, 1704067200000000 + (l_partkey * 7919 + l_suppkey) % 60000000 as moment,
+                   1e300 * l_tax as huge, 1e-300 * l_discount as tiny, cast(l_extendedprice as decimal(12, 2)) as price from lineitem)"""
+
+
+@query(" union all ".join(f"""select '{c}' as "column", count(distinct {c}) as "distinct", quantile_cont({c}::double, 0.25) as "25%",
+                                     quantile_cont({c}::double, 0.5) as "median", quantile_cont({c}::double, 0.75) as "75%" from {CLOSE}"""
+                          for c in ("id", "moment", "huge", "tiny", "price")))
+def profile_close_numbers(t):
+    """Numbers that are alike in most of their digits, and of every size: ids from 10^15, moments of one minute."""
+    lines = t.lineitem.selectExpr("1000000000000000 + l_orderkey * 8 + l_linenumber as id", "1704067200000000 + (l_partkey * 7919 + l_suppkey) % 60000000 as moment",
+                                  "1e300D * l_tax as huge", "1e-300D * l_discount as tiny", "cast(l_extendedprice as decimal(12, 2)) as price")
+    return P.profile(lines, parts=("numbers",)).stats.select("column", "distinct", "25%", "median", "75%")
+
+
+@query("""select l_returnflag as flag, round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 4) as spread,
+                 round(sum(l_extendedprice) / quantile_cont(l_extendedprice, 0.5), 4) as medians_worth,
+                 quantile_cont(l_quantity, 0.5) filter (where l_tax > 0.04) as taxed_quantity, count(*) as n,
+                 case when quantile_cont(l_quantity, 0.5) > 25 then 'many' else 'few' end as told
+          from lineitem group by 1""")
+def profile_custom_expressions(t):
+    """Percentiles inside larger expressions, with a filter, and beside other aggregates."""
+    found = P.custom_statistics(t.lineitem, {
+        "spread": "round(quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25), 4)",
+        "medians_worth": "round(sum(l_extendedprice) / percentile(l_extendedprice, 0.5), 4)",
+        "taxed_quantity": "quantile_cont(l_quantity, 0.5) filter (where l_tax > 0.04)", "n": "count(*)",
+        "told": "case when quantile_cont(l_quantity, 0.5) > 25 then 'many' else 'few' end"}, ["l_returnflag"])
+    return found.withColumnRenamed("l_returnflag", "flag")
+
+
 def _corr_sql(columns: list[str], source: str, groups: str = "") -> str:
     keys, by = (f"{groups}, ", f" group by {groups}") if groups else ("", "")
     return " union all ".join(f"select {keys}'{a}' as a, '{b}' as b, round(corr({a}::double, {b}::double), 6) as r from {source}{by}"

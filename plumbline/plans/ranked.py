@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.kinds import col
+from .lineage import cut
 
 GROUP_LIMIT = 1_000  # spark.sql.optimizer.windowGroupLimitThreshold as Spark has it
 PARTS = 64
-COARSE = 64  # buckets per e-fold in the first pass
-FINE = 1 << 17  # buckets a first-pass bucket is cut into in the second
+CELLS = 1 << 16  # parts that a pass over a percentile's values cuts a stretch into
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -26,54 +26,76 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def _buckets(x: Column) -> tuple[Column, Column]:
-    """A number's coarse and fine bucket. Both rise with the number (ln, a product and floor never fall as it rises),
-    so all values of a bucket lie between those of its neighbours. ln of the smallest double is about -745."""
-    scaled = F.ln(F.abs(x)) * F.lit(float(COARSE))
-    sign = F.when(x > 0, 1).when(x < 0, -1).otherwise(0)
-    coarse = F.floor(scaled) + F.lit(COARSE * 1_000)
-    fine = F.floor((scaled - F.floor(scaled)) * F.lit(float(FINE)))
-    return (F.when(x == 0, F.lit(0)).otherwise(sign * coarse).cast("bigint"),
-            F.when(x == 0, F.lit(0)).otherwise(sign * fine).cast("bigint"))
+def order_bits(x: Column) -> Column:
+    """A finite double as the whole number that its bits make, put in the numbers' own order: exact, and different for
+    different numbers (both zeros are 0)."""
+    size = F.abs(x)
+    two = lambda e: F.pow(F.lit(2.0), e)  # noqa: E731  (exact for whole e)
+    near = F.floor(F.log2(size)).cast("int")  # (within one of the exponent)
+    exact = F.when(size < two(near), near - 1).when(size >= two(near + 1), near + 1).otherwise(near)
+    exponent = F.greatest(F.least(exact, F.lit(1023)), F.lit(-1022))
+    part = size / two(exponent)  # from 1 up to 2, or less for the smallest numbers of all
+    whole = F.when(part >= 1, (exponent + 1023).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    bits = whole * F.lit(1 << 52) + ((part - F.when(part >= 1, 1.0).otherwise(0.0)) * float(1 << 52)).cast("bigint")
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, bits).when(x < 0, -bits)
 
 
-def values_at_ranks(counts: DataFrame, keys: list[str], ranks: Callable[[Column], Column], value: str = "x",
-                    n: str = "n") -> DataFrame:
+def from_order_bits(bits: Column) -> Column:
+    """The double that order_bits made the number of."""
+    size = F.abs(bits)
+    whole, part = F.shiftright(size, 52), F.pmod(size, F.lit(1 << 52))
+    made = F.when(whole > 0, (part / float(1 << 52) + 1.0) * F.pow(F.lit(2.0), whole - 1023)).otherwise(
+        part / float(1 << 52) * F.pow(F.lit(2.0), F.lit(-1022)))
+    return F.when(bits < 0, -made).otherwise(made)
+
+
+def values_at_ranks(counts: DataFrame, keys: list[str], ranks: Callable[[Column], Column], value: str = "x", n: str = "n",
+                    order: str | None = None) -> DataFrame:
     """The exact values at some ranks (from 0) of each group in ascending order, with no group sorted in one task:
     (keys, r, value, total). `counts` has a row per group and distinct finite number with how many rows hold it; `ranks`
-    gives the wanted ranks, as an array, from a group's total.
-
-    Rows are counted per coarse bucket, then per fine bucket inside the coarse ones a rank falls in, and only the values
-    of the fine ones a rank falls in are put in order. A window sees at most a group's buckets, or one bucket's values."""
-    coarse, fine = _buckets(F.col(value))
-    rows = counts.select(*keys, F.col(value), F.col(n).alias("__n"), coarse.alias("__b1"), fine.alias("__b2"))
-
-    def placed(level: DataFrame, by: list[str], order: str) -> DataFrame:
-        """Adds the ranks each row covers, __from up to but without __upto, and keeps the rows that cover a wanted one."""
-        upto = F.col("__start") + F.sum("__n").over(W.partitionBy(*by).orderBy(order))
-        spans = level.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__n"))
-        wanted = F.filter(ranks(F.col("total")), lambda r: (r >= F.col("__from")) & (r < F.col("__upto")))
-        return spans.withColumn("__wanted", wanted).where(F.size("__wanted") > 0)
-
-    counted = rows.groupBy(*keys, "__b1").agg(F.sum("__n").alias("__n")).withColumns({
-        "total": F.sum("__n").over(W.partitionBy(*keys)), "__start": F.lit(0).cast("bigint")})
-    in_coarse = placed(counted, keys, "__b1").select(*keys, "__b1", F.col("__from").alias("__start"), "total")
-    by = [*keys, "__b1"]
-    counted = rows.join(in_coarse, by).groupBy(*by, "__b2").agg(
-        F.sum("__n").alias("__n"), F.max("__start").alias("__start"), F.max("total").alias("total"))
-    in_fine = placed(counted, by, "__b2").select(*by, "__b2", F.col("__from").alias("__start"), "total")
-    by = [*by, "__b2"]
-    found = placed(rows.join(in_fine, by), by, value)
-    return found.select(*keys, F.explode("__wanted").alias("r"), value, "total")
-
-
-def percentiles(counts: DataFrame, keys: list[str], at: dict[str, float], value: str = "x", n: str = "n") -> DataFrame:
+    gives the wanted ranks, as an array, from a group's total. `order`: a column of 64-bit whole numbers in the same order
+    (else the numbers' own bits).
+
+    Each pass cuts the stretches of the order in which wanted ranks fall into CELLS parts of the same width and counts the
+    rows in each; a part becomes the next pass's stretch, from its least number to its greatest, until these are one. So
+    whatever the numbers are, four passes are the most, two or three are usual, and a window sees at most CELLS rows."""
+    rows = counts.select(*keys, F.col(value).alias("__x"), F.col(n).alias("__n"), (order_bits(F.col(value)) if order is None else F.col(order)).alias("__w"))
+    below = F.col("__w") < 0  # (two stretches to begin with, so that no width passes 64 bits)
+    halves = rows.groupBy(*keys, below.alias("__below")).agg(F.sum("__n").alias("__n"), F.min("__w").alias("lo"), F.max("__w").alias("hi"), F.max("__x").alias("__x"))
+    whole = W.partitionBy(*keys)
+    halves = halves.withColumns({"total": F.sum("__n").over(whole), "__upto": F.sum("__n").over(whole.orderBy(F.desc("__below")).rowsBetween(W.unboundedPreceding, 0))})
+
+    def wanted(parts: DataFrame, sought: Column) -> DataFrame:
+        """Stretches with the ranks that they cover, from `start` up to but without __upto, where they cover any."""
+        parts = parts.withColumn("start", F.col("__upto") - F.col("__n"))
+        covered = F.filter(sought, lambda r: (r >= F.col("start")) & (r < F.col("__upto")))
+        return parts.withColumn("sought", covered).where(F.size("sought") > 0).select(*keys, "lo", "hi", "start", "sought", "total", "__x")
+
+    found, level = None, cut(wanted(halves, ranks(F.col("total"))))
+    while True:
+        single = level.where("lo = hi").select(*keys, F.explode("sought").alias("r"), F.col("__x").alias(value), "total")
+        found = single if found is None else found.unionByName(single)
+        if level.where("lo < hi").isEmpty():
+            return found
+        width = F.call_function("div", F.col("hi") - F.col("lo"), F.lit(CELLS)) + 1
+        stretches = level.where("lo < hi").groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", width.alias("width"), "start", "sought")).alias("__s"),
+                                                              F.max("total").alias("total"))  # (one for each wanted rank at most)
+        met = rows.join(stretches, keys).withColumn("__s", F.get(F.filter("__s", lambda s: F.col("__w").between(s["lo"], s["hi"])), F.lit(0)))
+        cell = F.call_function("div", F.col("__w") - F.col("__s.lo"), F.col("__s.width"))
+        counted = met.where("__s IS NOT NULL").groupBy(*keys, F.col("__s.lo").alias("__of"), cell.alias("__cell")).agg(
+            F.sum("__n").alias("__n"), F.min("__w").alias("lo"), F.max("__w").alias("hi"), F.max("__x").alias("__x"),
+            F.max("__s.start").alias("__start"), F.first("__s.sought").alias("__sought"), F.max("total").alias("total"))
+        within = W.partitionBy(*keys, "__of").orderBy("__cell").rowsBetween(W.unboundedPreceding, 0)
+        level = cut(wanted(counted.withColumn("__upto", F.col("__start") + F.sum("__n").over(within)), F.col("__sought")))
+
+
+def percentiles(counts: DataFrame, keys: list[str], at: dict[str, float], value: str = "x", n: str = "n", order: str | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation between neighbours: a row per group, a column per name in `at`."""
     def place(p: float, total: Column) -> Column:
         return F.lit(p) * (total - 1)
 
     found = values_at_ranks(counts, keys, lambda total: F.array_distinct(F.array(
-        *[f(place(p, total)) for p in at.values() for f in (F.floor, F.ceil)])), value, n)
+        *[f(place(p, total)) for p in at.values() for f in (F.floor, F.ceil)])), value, n, order)
     total = F.col("total")
     ends = [F.max(F.when(F.col("r") == f(place(p, total)), F.col(value))).alias(f"{name}:{side}")
             for name, p in at.items() for side, f in (("lo", F.floor), ("hi", F.ceil))]

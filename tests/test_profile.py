@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from plumbline import OperatorError, custom_statistics, finite_or_null, histograms, profile, top_values
 from plumbline.operators.profile import rows_over_time
 from plumbline.plans.ordered import KEY
-from plumbline.plans.ranked import percentiles, values_at_ranks
+from plumbline.plans import ranked
+from plumbline.plans.lineage import cut
+from plumbline.plans.ranked import from_order_bits, order_bits, percentiles, values_at_ranks
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +24,8 @@ def stats(p, *keys):
     return {tuple(r[k] for k in (*keys, "column")): r for r in p.stats.collect()}
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 0])
-def test_whole_table(sales, limit):
-    found = stats(profile(sales, rows_in_one_buffer=limit))
+def test_whole_table(sales):
+    found = stats(profile(sales))
     amount, region, day = found[("amount",)], found[("region",)], found[("day",)]
     assert (amount["count"], amount["missing"], round(amount["missing %"], 4), amount["distinct"]) == (5, 1, 16.6667, 4)
     values = [10.0, 20.0, 40.0, 50.5, 10.0]
@@ -86,9 +87,8 @@ def test_overview(sales):
     assert profile(sales, exact=False).repeated_rows.first()[0] == 1
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 0])
-def test_custom(sales, limit):
-    found = custom_statistics(sales, {"p50": "quantile_cont(amount, 0.5)", "big": "count_if(amount > 15)"}, ["region"], limit)
+def test_custom(sales):
+    found = custom_statistics(sales, {"p50": "quantile_cont(amount, 0.5)", "big": "count_if(amount > 15)"}, ["region"])
     assert {r.region: (r.p50, r.big) for r in found.collect()} == {"north": (10.0, 1), "south": (50.5, 1), None: (40.0, 1)}
     for wrong in ({"x": "amount"}, {"x": "sum("}, {"x": " "}, {"region": "count(*)"}, {"x": "nothing(amount)"}):
         with pytest.raises(OperatorError, match="Custom statistics"):
@@ -99,12 +99,54 @@ def test_custom(sales, limit):
         custom_statistics(sales, {"x": "amount + 1"})
 
 
-def test_custom_quantiles_in_passes(spark):
-    df = spark.range(1001).select(F.col("id").alias("x"), (F.col("id") % 2).alias("g"))
-    custom = {"a": "percentile(x + 1, 0.25)", "n": "count(*)", "b": "quantile_cont(-x, 0.9)", "c": "quantile_cont(x, 0.5) - min(x)"}
-    for by in ([], ["g"]):
-        one, passes = (custom_statistics(df, custom, by, limit).collect() for limit in (10 ** 6, 0))
-        assert sorted(map(tuple, one)) == sorted(map(tuple, passes))
+def test_custom_percentiles(spark):
+    df = spark.range(1001).select(F.col("id").alias("x"), (F.col("id") % 2).alias("g"), F.lit(None).cast("double").alias("none"))
+    custom = {"a": "percentile(x + 1, 0.25)", "n": "count(*)", "b": "quantile_cont(-x, 0.9)", "c": "quantile_cont(x, 0.5) - min(x)",
+              "d": "QUANTILE_CONT(x, 0.75) - quantile_cont(x, 0.25)", "e": "quantile_cont(x, 0.5) filter (where x > 500) + 0", "f": "coalesce(quantile_cont(none, 0.5), -1)",
+              "h": "concat('quantile_cont(x, 0.5)', max(x))", "i": "percentile(x, array(0.5, 1.0))[1]", "k": "quantile_cont(if(x in (1, 2), null, x), 0)"}
+    whole = custom_statistics(df, custom).first()
+    assert tuple(whole) == (251.0, 1001, -100.0, 500.0, 500.0, 750.5, -1.0, "quantile_cont(x, 0.5)1000", 1000.0, 0.0)
+    even, odd = custom_statistics(df, custom, ["g"]).orderBy("g").collect()
+    assert tuple(even)[:6] == (0, 251.0, 501, -100.0, 500.0, 500.0) and tuple(odd)[:3] == (1, 251.5, 500) and odd.b == pytest.approx(-100.8) and (odd.c, odd.d) == (499.0, 499.0)
+    assert (even.e, odd.e, even.f, odd.h, odd.k) == (751.0, 750.0, -1.0, "quantile_cont(x, 0.5)999", 3.0)
+    none = custom_statistics(df.limit(0), custom).first()
+    assert none.n == 0 and none.a is None and none.d is None and none.f == -1.0
+    assert custom_statistics(df.limit(0), custom, ["g"]).count() == 0
+
+
+def test_percentiles_of_nan_are_refused_everywhere(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 2), (3.0, 3), (float("nan"), 4), (float("inf"), 5)], "x double, y int")
+    for text in ("quantile_cont(x, 0.5)", "quantile_cont(x, 0.5) + 0", "sum(y) / percentile(x, 0.5)", "quantile_cont(x, 0.9) - quantile_cont(y, 0.5)"):
+        with pytest.raises(OperatorError, match="Custom statistics: p: .*NaN"):
+            custom_statistics(df, {"p": text, "q": "quantile_cont(y, 0.5)"})
+    assert tuple(custom_statistics(df, {"p": "quantile_cont(x, 0.5) filter (where y < 4)", "q": "quantile_cont(y, 0.5)"}).first()) == (2.0, 3.0)
+
+
+def test_order_bits(spark):
+    """The numbers' own order, there and back, for every power of two and its neighbours."""
+    import math
+
+    values = {0.0, 1.7976931348623157e308, 5e-324}
+    for e in range(-1074, 1024):
+        x = math.ldexp(1.0, e)
+        values |= {x, math.nextafter(x, 0), math.nextafter(x, math.inf)}
+    values = sorted(values | {-v for v in values})
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", order_bits(F.col("x")).alias("b")).withColumn("y", from_order_bits(F.col("b"))).collect()
+    made = {r.x: r for r in rows}
+    assert all(made[v].y == v for v in values)
+    bits = [made[v].b for v in values]
+    assert bits == sorted(set(bits)) and made[0.0].b == 0 and made[5e-324].b == 1 and made[-5e-324].b == -1
+
+
+def test_few_passes_whatever_the_numbers(spark, monkeypatch):
+    """Moments of one minute and ids far from zero, in one group that holds them all."""
+    passes = []
+    monkeypatch.setattr(ranked, "cut", lambda df: passes.append(1) or cut(df))
+    for base in (0, 10 ** 15, 1_704_067_200_000_000):
+        passes.clear()
+        counts = spark.range(200_000).select(F.lit(1).alias("g"), (F.col("id") * 300 + base).cast("double").alias("x"), F.lit(2).cast("bigint").alias("n"))
+        found = {r.r: r.x for r in values_at_ranks(counts, ["g"], lambda total: F.array(F.lit(0), F.lit(100_001), total - 1)).collect()}
+        assert found == {0: float(base), 100_001: base + 300.0 * 50_000, 399_999: base + 300.0 * 199_999} and len(passes) <= 4
 
 
 def test_histograms(spark, sales):
