@@ -70,6 +70,7 @@ def test_streams_cut_anywhere(spark):
     spark.conf.set("spark.sql.shuffle.partitions", 23)
     try:
         assert found(spark, docs, 3) == plain(docs, 3)
+        assert found(spark, docs, 3, most_words=3) == plain(docs, 3)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         spark.conf.unset("spark.sql.adaptive.enabled")
@@ -83,8 +84,8 @@ def counted(texts):
         names = [w.decode() for w in vocabulary.to_pylist()]
         assert names == sorted(names, key=str.encode)
         words.update(names[i] for i in numbers[:len(numbers) - alone])
-        columns, n = C._records(numbers, pieces, np.ones(len(names), bool), alone, 5)
-        for row, times in zip(zip(*columns), n):
+        high, low, n = C._records(numbers, pieces, np.arange(1, len(names) + 1), alone)
+        for row, times in zip(zip(*C._unpacked(high, low)), n):
             records[tuple(names[i - 1] for i in row if i)] += int(times)
     return words, records
 
@@ -107,7 +108,7 @@ def test_products_beyond_64_bits(spark, monkeypatch):
         return spark.createDataFrame([("en", "a", 4 * 10**12), ("en", "b", 3 * 10**12), ("en", "c", 10**15)], "lang string, word string, f bigint")
 
     monkeypatch.setattr(C, "count_words", many)
-    monkeypatch.setattr(C, "records", lambda *_: spark.createDataFrame([(bytearray(b"en\xffa\xffb\xff"), 2 * 10**12)], "key binary, n bigint"))
+    monkeypatch.setattr(C, "records", lambda *_: spark.createDataFrame([(1 << 42 | 2 << 21, 0, 2 * 10**12)], "high bigint, low bigint, n bigint"))
     docs = spark.createDataFrame([("x", "en")], "text string, lang string")
     n = 10**15 + 7 * 10**12
     assert [tuple(r) for r in C.collocations(docs).collect()] == [("en", 1, "a b", 2 * 10**12, 4 * 10**12, 3 * 10**12, n, 1000 * 2 * 10**12 * n // (12 * 10**24))]
