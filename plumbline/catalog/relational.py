@@ -261,7 +261,7 @@ def date_functions(t):
 
 @query("""select c_custkey, cast(floor(c_acctbal / 7) as bigint) as floored,
                  round(c_acctbal - 7 * floor(c_acctbal / 7), 2) as rest, cast(trunc(c_acctbal) as bigint) as cut,
-                 round_even(c_acctbal, 1) as even, format('{:,.2f}', c_acctbal) as cell,
+                 format('{:.1f}', c_acctbal)::double as even, format('{:,.2f}', c_acctbal) as cell,
                  case when c_acctbal < 0 then 'yes' else 'no' end as owes from customer""")
 def number_functions(t):
     x = F.col("c_acctbal")
@@ -271,6 +271,18 @@ def number_functions(t):
         X.cell_text(x < 0, T.BooleanType()).alias("owes"))
 
 
+@query("""select l_orderkey, l_linenumber, format('{:.2f}', l_extendedprice * 0.125)::double as eighth,
+                 format('{:.0f}', l_quantity / 2)::double as half, (4611686018427387904 + l_orderkey) // l_linenumber as shared,
+                 -((l_orderkey + l_linenumber - 1) // l_linenumber) as owed
+          from lineitem""")
+def exact_arithmetic(t):
+    """Rounding on the binary value, and whole numbers beyond 2^53 divided as such."""
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", X.rounded(F.col("l_extendedprice") * 0.125, 2).alias("eighth"), X.rounded(F.col("l_quantity") / 2).alias("half"),
+        X.floor_div(F.lit(2 ** 62) + key, line).alias("shared"), X.floor_div(-key, line).alias("owed"))
+
+
 @query("""select p_partkey, p_size * 1024::double as bytes, p_size * 60::double as seconds, p_size as pieces,
                  strptime(p_size || '.01.2020', '%d.%m.%Y')::date::varchar as day
           from part where p_size <= 31

@@ -196,3 +196,19 @@ def anomaly_none_over_files(t):
     found = detect_anomalies(dated, "day", ["o_totalprice"], pattern="none", only_latest=False).table
     return found.select("o_orderkey", F.round("o_totalprice_expected", 8).alias("expected"),
                         F.round("o_totalprice_low", 8).alias("low"), "anomaly")
+
+
+@query("""
+    with p as (select o_orderkey, pos, o_orderdate::date as day, isodow(o_orderdate) as block, o_orderkey * 2 + pos as row,
+                      [o_totalprice, o_totalprice / 2][pos] as v from orders, (values (1), (2)) as two(pos)),
+    days as (select block, day, list(v order by row) as h from p group by all),
+    past as (select block, day, flatten(coalesce(list(h) over (partition by block order by day rows between 8 preceding and 1 preceding), []))[-8:] as past
+             from days)
+    select o_orderkey, pos::int as pos, round(case when len(past) >= 4 then list_aggregate(past, 'median') end, 6) as expected
+    from p join past using (block, day)""")
+def anomaly_exploded_rows(t):
+    """Two rows made of each row of the files: a busy date's latest values are those that come last among the made rows."""
+    both = F.posexplode(F.array("o_totalprice", F.col("o_totalprice") / 2)).alias("pos", "v")
+    made = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), both).withColumn("pos", F.col("pos") + 1)
+    found = detect_anomalies(made, "day", ["v"], only_latest=False).table
+    return found.select("o_orderkey", "pos", F.round("v_expected", 6).alias("expected"))

@@ -9,11 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F, types as T
 
 from ..errors import OperatorError
+from .bits import order_bits
 from .readers import FALSE_WORDS, NUMBER_FORM, TRUE_WORDS
 
 # Units a size or a duration is written in.
 SIZE_UNITS = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30}
 DURATION_UNITS = {"ms": 0.001, "": 1.0, "s": 1.0, "m": 60.0, "h": 3600.0}
+# The types of whole numbers.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 # Strptime codes and the patterns Spark has for them.
 DATE_CODES = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "SSSSSS", "%y": "yy",
               "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%I": "hh", "%p": "a", "%%": "%"}
@@ -114,17 +117,39 @@ def truncated(x: Column) -> Column:
     return x.cast("bigint")
 
 
-def rounded(x: Column, places: int = 0) -> Column:
-    """Half to even, of the digits a number is written with: 2.675 is halfway, though the binary number nearest to it
-    lies just below."""
-    return F.bround(x, places)
-
-
-def floor_div(a: Column, b: Column, whole: bool = False) -> Column:
-    """The quotient without its remainder, towards minus infinity: (a - modulo(a, b)) / b has no fraction to lose.
-    `whole`: both are whole numbers, of any size."""
-    exact = a - modulo(a, b)
-    return F.call_function("div", exact, b) if whole else F.round(exact / b).cast("bigint")
+def rounded(x: Column, places: int = 0, binary: bool = True) -> Column:
+    """To the nearest number of so many places, half to even. A binary number is taken as what it is, not as it is written:
+    2.675 lies just below its last digit's half and becomes 2.67. `binary`: False for whole numbers and decimals."""
+    if not binary or places < 0:
+        return F.bround(x, places)
+    x = x.cast("double")
+    # Only where the number as written is halfway can the two differ. There |x| = m * 2^-e exactly, and twice the scaled
+    # number, m * 2 * 10^places / 2^e, is held against the odd number it is written as.
+    scale = F.lit(10 ** places).cast("decimal(38,0)")
+    size = F.abs(x)
+    written = F.when(size < 1e15, size).cast("decimal(34,18)")
+    odd = (written * F.lit(2 * 10 ** places)).cast("decimal(38,12)")
+    bits = order_bits(size)
+    shift = F.lit(1075) - F.shiftright(bits, 52)
+    whole = (F.pmod(bits, F.lit(1 << 52)) + F.lit(1 << 52)).cast("decimal(20,0)")
+    part = F.least(shift, F.lit(62))
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")).cast("decimal(20,0)")
+    as_is = (whole * (scale * 2).cast("decimal(18,0)")).cast("decimal(38,0)")
+    as_written = (odd.cast("decimal(20,0)") * (power(part) * power(shift - part)).cast("decimal(38,0)")).cast("decimal(38,0)")
+    halfway = (size < 1e15) & (shift > 0) & (shift <= 124) & (odd == odd.cast("decimal(20,0)")) & (F.pmod(odd.cast("decimal(20,0)"), F.lit(2)) == 1)
+    below = (odd.cast("decimal(20,0)") - 1) / 2
+    near = F.when(as_is > as_written, below + 1).when(as_is < as_written, below)
+    exact = (near.cast("decimal(20,0)") / scale).cast("double") * F.signum(x)
+    return F.when(halfway & (as_is != as_written), exact).otherwise(F.bround(x, places))
+
+
+def floor_div(a: Column, b: Column) -> Column:
+    """The quotient without its remainder, towards minus infinity: (a - modulo(a, b)) / b has no fraction to lose. Whole
+    numbers of any size are divided as such."""
+    whole = F.typeof(a).isin(*WHOLE) & F.typeof(b).isin(*WHOLE)
+    wide = lambda c: c.cast("decimal(38,0)")
+    rest = modulo(a, b)
+    return F.when(whole, F.call_function("div", wide(a) - wide(rest), wide(b))).otherwise(F.round((a - rest) / b).cast("bigint"))
 
 
 def modulo(a: Column, b: Column) -> Column:

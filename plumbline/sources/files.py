@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import posixpath
 import re
 import uuid
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..errors import OperatorError
 from ..functions.kinds import col
 from ..plans.lineage import cut
+from .csv_records import csv_records
 
 # The format a file's extension says.
 EXTENSIONS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet"}
@@ -65,22 +68,38 @@ def _read_csv(spark: SparkSession, path: str, separator: str, parse_dates: bool)
     head = lines.first()
     if head is None or not head[0].strip("\ufeff \t\r"):
         raise OperatorError(f"{path} is empty: a CSV file starts with a row of column names")
-    # Quoted fields may hold line ends. Where no line leaves a quote open, lines are rows: such a file splits over tasks.
+    # Quoted fields may hold line ends. Where no line has an odd number of quotes, lines are rows; else records are found first.
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"')))
     facts = lines.agg(F.max(quotes % 2 == 1).alias("multiline"), F.min(F.is_valid_utf8("value")).alias("utf8")).first()
     multiline = facts["multiline"]
     if not facts["utf8"]:
         raise OperatorError(f"{path} is not UTF-8 text")
-    if multiline and readable != path:
-        raise OperatorError(f"{path}: a CSV file with line ends inside quotes cannot have any of * ? [ ] {{ }} in its "
-                            "name: rename it first")
-
     def reader(infer: bool):
-        return (spark.read.option("header", True).option("sep", separator).option("multiLine", multiline)
+        return (spark.read.option("header", not multiline).option("sep", separator)
                 .option("inferSchema", infer).option("escape", '"').option("emptyValue", EMPTY_TEXT)
                 .option("mode", "FAILFAST").option("enforceSchema", True).option("encoding", "UTF-8"))
 
-    guessed = reader(True).csv(readable).schema
+    if multiline:
+        records = csv_records(spark, readable, separator)
+        names = _names_in(records.where("first").orderBy("file").first()["record"], separator)
+        texts = getattr(records.where("NOT first").select("record")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return _typed(lambda infer, schema: DataFrame((reader(infer).schema(schema) if schema else reader(infer))._jreader.csv(texts), spark),
+                      names, parse_dates)
+    return _typed(lambda infer, schema: (reader(infer).schema(schema) if schema else reader(infer)).csv(readable), None, parse_dates)
+
+
+def _names_in(header: str, separator: str) -> list[str]:
+    """The column names that a CSV record of them gives; a nameless one is named by its place, as Spark does."""
+    found = next(csv.reader(io.StringIO(header.removeprefix("\ufeff"), newline=""), delimiter=separator, strict=False))
+    return [name if name else f"_c{i}" for i, name in enumerate(found)]
+
+
+def _typed(read, names: list[str] | None, parse_dates: bool) -> DataFrame:
+    """A CSV table by `read(infer, schema)` with the types that its values allow, dates as text unless asked for."""
+    guessed = read(True, None).schema
+    if names is not None:
+        known = {f.name: f.dataType for f in guessed}
+        guessed = T.StructType([T.StructField(n, known.get(f"_c{i}", T.StringType())) for i, n in enumerate(names)])
     dated = (T.DateType, T.TimestampType, T.TimestampNTZType)
     fields = []
     for f in guessed:
@@ -90,7 +109,7 @@ def _read_csv(spark: SparkSession, path: str, separator: str, parse_dates: bool)
         if isinstance(kept, T.IntegerType):
             kept = T.LongType()
         fields.append(T.StructField(f.name.removeprefix("\ufeff"), kept, True))
-    df = reader(False).schema(T.StructType(fields)).csv(readable)
+    df = read(False, T.StructType(fields))
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     return df.withColumns({n: F.when(col(n) == EMPTY_TEXT, "").otherwise(col(n)) for n in texts}) if texts else df
 
@@ -153,7 +172,8 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     return listed.select("path", "size", F.timestamp_millis("at").alias("modified"))
 
 
-_AS_READ = {"Project", "Relation", "LogicalRelation", "SubqueryAlias", "View"}
+# Steps of a plan that give each row of the files at most once; any other may give one twice, or one of its own.
+_ONCE = {"Project", "Filter", "SubqueryAlias", "View", "Relation", "LogicalRelation"}
 
 
 def _has_places(df: DataFrame) -> bool:
@@ -164,15 +184,26 @@ def _has_places(df: DataFrame) -> bool:
     return True
 
 
+def _steps(df: DataFrame) -> set[str]:
+    """The names of the steps of a table's plan."""
+    found, left = set(), [df._jdf.queryExecution().analyzed()]
+    while left:
+        step = left.pop()
+        found.add(step.nodeName().split(" ")[0])
+        children = step.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return found
+
+
 def _is_whole(df: DataFrame) -> bool:
     """True for a table of files with all their rows: nothing stands between it and the files but picked columns."""
-    plan = df._jdf.queryExecution().analyzed().toString().splitlines()
-    return all(re.sub(r"^[\s:+|-]*", "", line).split(" ")[0].split("[")[0].split("(")[0] in _AS_READ for line in plan if line.strip())
+    return _steps(df) <= _ONCE - {"Filter"}
 
 
 def in_places(df: DataFrame) -> DataFrame:
-    """The table with a fixed place for each row: itself where it is read from Parquet files, else stored once."""
-    return df if _has_places(df) else cut(df)
+    """The table with a place of its own for each row: itself where it is read from Parquet files and each of its rows is
+    one of theirs, else stored once (rows that a step made of one row, as explode does, come in the order it made them)."""
+    return df if _has_places(df) and _steps(df) <= _ONCE else cut(df)
 
 
 def place() -> Column:
@@ -205,8 +236,8 @@ def with_row_number(df: DataFrame, name: str = "row_number", order_by=()) -> Dat
         part = cut(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
         nth = F.col("__at").bitwiseAND((1 << 33) - 1) + 1
     else:
-        if not _has_places(df):
-            raise OperatorError("the table is not read from Parquet files: give order_by columns")
+        if not _has_places(df) or not _steps(df) <= _ONCE:
+            raise OperatorError("the table's rows are not those of Parquet files: give order_by columns")
         if not _is_whole(df):  # (some rows of the files: numbered among themselves, in the order of their places)
             return with_row_number(df.withColumn("__place", place()), name, ["__place"]).drop("__place")
         part = df.withColumns({"__part": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})

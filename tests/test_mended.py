@@ -5,12 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import AllowedValues, OperatorError, Unique, check_table, detect_anomalies, records_to_table, with_literals
+from plumbline import AllowedValues, OperatorError, Unique, check_table, detect_anomalies, records_to_table, with_literals, with_row_number
 from plumbline.functions import scalars as X
 from plumbline.operators.checks import repeated_keys, unread_values
 from plumbline.operators.file_checks import check_files
 from plumbline.operators.ledger import Ledger, carried_on, lineage_roots
-from plumbline.operators.profile import custom_statistics
 from plumbline.operators.relational import for_each_row, scrub
 from plumbline.plans import lineage as stored
 from plumbline.streaming.pickup import Pickup, freshness_of_batches
@@ -47,15 +46,18 @@ def test_a_busy_date_keeps_its_last_rows_in_the_order_of_the_table(spark, tmp_pa
     assert found.x_expected == lone.x_expected
 
 
-def test_percentiles_are_the_same_at_every_size(spark):
-    df = spark.range(997).select((F.col("id") % 7).alias("g"), (F.sin("id") * 1000).alias("x"))
-    custom = {"a": "quantile_cont(x, 0.37)", "b": "percentile(x, 0.9)"}
-    small, large = (sorted(map(tuple, custom_statistics(df, custom, ["g"], n).collect())) for n in (10**6, 0))
-    assert small == large
-    for odd in ("nan", "inf"):
-        for n in (10**6, 0):
-            with pytest.raises(OperatorError, match="a: a percentile of NaN or infinite"):
-                custom_statistics(spark.createDataFrame([(1.0,), (float(odd),)], "x double"), {"a": "quantile_cont(x, 0.5)"}, (), n)
+def test_made_rows_have_places_of_their_own(spark, tmp_path):
+    """Rows that explode made of one row of a file come in the order it made them, however the table is cut afterwards."""
+    days = [(dt.date(2026, 1, 5) + dt.timedelta(days=7 * w), [float(i) for i in range(20)]) for w in range(2)]
+    stored = written(days, "day date, xs array<double>", spark, str(tmp_path), (2,))
+    made = stored.select("day", F.explode("xs").alias("x"))
+    for table in (made, made.where("x >= 0"), made.unionByName(made.limit(0))):
+        found = detect_anomalies(table, "day", ["x"], last=4, only_latest=False).table.where("day = date'2026-01-12'")
+        assert {r.x_expected for r in found.collect()} == {17.5}
+    with pytest.raises(OperatorError, match="order_by"):
+        with_row_number(made)
+    assert sorted(r.row_number for r in with_row_number(stored).collect()) == [1, 2]
+    assert sorted(r.row_number for r in with_row_number(stored.where("day > date'2026-01-06'")).collect()) == [1]
 
 
 def test_json_records_keep_their_names(spark):
@@ -80,7 +82,27 @@ def test_shifts_keep_the_time_of_day(spark):
     assert r.d == dt.date(2025, 2, 17) and r.t == T(2025, 2, 17, 10, 11, 12)
     value = lambda c: one.select(c).first()[0]
     assert value(X.floor_div(F.lit(1.0), F.lit(0.1))) == 9 and value(X.floor_div(F.lit(-7.5), F.lit(2.0))) == -4
-    assert value(X.floor_div(F.lit(2**60 + 1), F.lit(1), whole=True)) == 2**60 + 1 and value(X.floor_div(F.lit(-7), F.lit(2), whole=True)) == -4
+    assert value(X.floor_div(F.lit(2**60 + 1), F.lit(1))) == 2**60 + 1 and value(X.floor_div(F.lit(-7), F.lit(2))) == -4
+
+
+def test_rounding_is_that_of_the_binary_value(spark):
+    import random
+
+    pick = random.Random(3)
+    numbers = [2.675, 0.15, 0.25, 0.35, 1.005, -2.675, -0.5, 0.5, 1.5, 2.5, 1e300, -0.0, 0.0, 5e-324, 123456789.5, 2.0 ** 52 + 0.5, 1e15 + 0.5, 4503599627370495.5]
+    numbers += [pick.randrange(-10 ** 7, 10 ** 7) / 10 ** pick.randrange(1, 6) for _ in range(2000)] + [(2 * pick.randrange(10 ** 6) + 1) / 2000 for _ in range(500)]
+    for places in (0, 1, 2, 3, 5):
+        df = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", X.rounded(F.col("x"), places).alias("y"))
+        assert [(r.x, r.y) for r in df.collect() if r.y != round(r.x, places)] == []
+    assert spark.range(1).select(X.rounded(F.lit(15), -1, binary=False), X.rounded(F.lit(25.0), -1)).first() == (20, 20.0)
+
+
+def test_floor_division_of_whole_numbers(spark):
+    pairs = [(2 ** 63 - 1, 2), (-2 ** 63, 7), (2 ** 60 + 1, 1), (-7, 2), (7, -2), (-2 ** 63 + 1, -3), (0, 5), (2 ** 53 + 1, 3)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", X.floor_div(F.col("a"), F.col("b")).alias("q"))
+    assert [r.q for r in df.collect()] == [a // b for a, b in pairs]
+    small = spark.createDataFrame([(7, 2), (-7, 2)], "a int, b int").select(X.floor_div(F.col("a"), F.col("b").cast("smallint")).alias("q"))
+    assert [r.q for r in small.collect()] == [3, -4]
 
 
 def test_a_thousand_secrets(spark):

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from plumbline import OperatorError, custom_statistics, finite_or_null, histograms, profile, top_values
 from plumbline.operators.profile import rows_over_time
 from plumbline.plans.ordered import KEY
+from plumbline.functions.bits import from_order_bits, order_bits
 from plumbline.plans import ranked
 from plumbline.plans.lineage import cut
-from plumbline.plans.ranked import from_order_bits, order_bits, percentiles, values_at_ranks
+from plumbline.plans.ranked import percentiles, values_at_ranks
 
 
 @pytest.fixture(scope="module")
