@@ -16,6 +16,7 @@ from ..operators.ledger import (Ledger, carried_on, earlier_run, last_run, last_
                                 steps_in_order)
 from ..operators.relational import asof_join, status_rollup
 from ..plans.lineage import checkpoint_dir
+from ..sources.commits import commit_table, read_committed, versions
 from ..sources.files import list_files, materialise, read_table, write_table
 from ..streaming.pickup import Pickup, freshness_of_batches
 from .registry import query
@@ -242,6 +243,19 @@ def parquet_over_itself(t):
     return read_table(t.spark, path).withColumn("day", F.col("day").cast("string"))
 
 
+@query("""select 1 as version, o_orderstatus, count(*) as n from orders group by all
+          union all select 2, o_orderstatus, count(*) from orders where o_totalprice > 100000 group by all
+          union all select 3, o_orderstatus, 2 * count(*) from orders where o_totalprice > 100000 group by all""")
+def committed_versions(t):
+    """A table made from itself twice, each time as a version of its own."""
+    path = _scratch(t, "orders") + ".parquet"
+    write_table(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), path, commits=True)
+    write_table(read_table(t.spark, path).where("o_totalprice > 100000"), path)
+    commit_table(read_table(t.spark, path).unionByName(read_table(t.spark, path)), path, expected=2)
+    counted = [read_committed(t.spark, path, v).groupBy(F.lit(v).alias("version"), "o_orderstatus").agg(F.count("*").alias("n")) for v in versions(t.spark, path)]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 @query("select l_returnflag, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem group by 1")
 def materialised_step(t):
     kept = materialise(t.lineitem.groupBy("l_returnflag", "l_suppkey").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n")))

@@ -6,7 +6,10 @@ Four append-only Parquet tables: runs and steps (a row per event; the latest eve
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +18,7 @@ from ..functions.kinds import col, need_columns
 from ..functions.readers import micros
 from ..plans.lineage import cut
 from ..plans.ordered import KEY, key_of, running
+from ..sources.commits import claim, hadoop, read_text
 from ..sources.files import escape_glob, path_exists
 from .checks import EarlierRun
 
@@ -46,25 +50,43 @@ class Ledger:
             rows = self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
         missing = [f for f in schema if f.name not in rows.columns]
         whole = rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else rows
-        whole.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(
-            f"{self.folder}/{table}")
+        # Written in a folder of its own, which then takes its place among the others: appends at one time don't meet.
+        name = uuid.uuid4().hex
+        beside, into = f"{self.folder}/_new/{name}", f"{self.folder}/{table}"
+        whole.select(*[col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.parquet(beside)
+        fs, made = hadoop(self.spark, beside)
+        fs.mkdirs(hadoop(self.spark, into)[1])
+        if not fs.rename(made, hadoop(self.spark, f"{into}/{name}")[1]):
+            raise OperatorError(f"cannot put {beside} into {into}")
 
     def events(self, table: str) -> DataFrame:
         schema, path = self._schema(table), f"{self.folder}/{table}"
         if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(escape_glob(path))
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(escape_glob(path))
 
     def state(self, table: str) -> DataFrame:
         """Each run's or step's latest event."""
         return latest_state(self.events(table), KEYS[table], "seq") if table in KEYS else self.events(table)
 
     def run_number(self, flow: str, part: str) -> int:
-        """The number of a flow's run known by its params (a batch): the one it has, or the next that no run has."""
+        """The number of a flow's run known by its params (a batch): the one it has, or a new one that no run has, also of
+        those that other writers begin at this moment. A number is taken by making a file of its name, which only one writer
+        can; one whose writer then dies stays unused."""
         runs = self.events("runs")
         mine = F.max(F.when((col("flow_path") == flow) & (col("params") == part), F.col("run_id")))
         found = runs.agg(mine.alias("mine"), F.max("run_id").alias("last")).first()
-        return found["mine"] if found["mine"] is not None else (-1 if found["last"] is None else found["last"]) + 1
+        if found["mine"] is not None:
+            return found["mine"]
+        of_part = f"{self.folder}/_parts/{hashlib.sha256(json.dumps([flow, part]).encode()).hexdigest()}"
+        taken = read_text(self.spark, of_part)
+        if taken is None:
+            number = (-1 if found["last"] is None else found["last"]) + 1
+            while not claim(self.spark, f"{self.folder}/_numbers/{number}", json.dumps([flow, part])):
+                number += 1
+            # (the same batch, begun twice, has the number of whoever tells it first)
+            taken = str(number) if claim(self.spark, of_part, str(number)) else read_text(self.spark, of_part)
+        return int(taken)
 
     def _schema(self, table: str):
         if table not in TABLES:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..errors import OperatorError
 from ..functions.kinds import col
 from ..plans.lineage import cut
+from .commits import commit_table, hadoop, read_committed, versions
 from .csv_records import csv_records
 
 # The format a file's extension says.
@@ -38,13 +39,8 @@ def escape_glob(path: str) -> str:
     return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, found = _hadoop(spark, path)
+    fs, found = hadoop(spark, path)
     return fs.exists(found)
 
 
@@ -56,7 +52,7 @@ def read_table(spark: SparkSession, path: str, format: str = "auto", separator:
     if not path_exists(spark, path):
         raise OperatorError(f"file not found: {path}")
     if fmt == "parquet":
-        return spark.read.parquet(escape_glob(path))
+        return read_committed(spark, path) if versions(spark, path) else spark.read.parquet(escape_glob(path))
     if len(separator) != 1:
         raise OperatorError(f"separator is one character, got {separator!r}")
     return _read_csv(spark, path, separator, parse_dates)
@@ -115,11 +111,17 @@ def _typed(read, names: list[str] | None, parse_dates: bool) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, format: str = "auto", max_records_per_file: int | None = None,
-                partition_by=()) -> str:
+                partition_by=(), commits: bool = False) -> str:
     """Write a table, replacing what is at `path`. It is written beside it first and then takes its place, so a table
-    read from that very path can be written back over it."""
+    read from that very path can be written back over it. Between the two moves that this takes there is no table at
+    `path` for others; with `commits` (Parquet), and over a table once written so, there always is: see commit_table."""
     fmt = format_of(path, format)
     spark = df.sparkSession
+    if fmt == "parquet" and (commits or versions(spark, path)):
+        if commits and path_exists(spark, path) and not versions(spark, path):
+            raise OperatorError(f"{path} is there and no committed table: write it to another place")
+        commit_table(df, path, partition_by, max_records_per_file)
+        return path
     if fmt == "csv":
         nested = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
         if nested:
@@ -136,7 +138,7 @@ def write_table(df: DataFrame, path: str, format: str = "auto", max_records_per_
             "timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]").csv(beside)
     else:
         writer.parquet(beside)
-    fs, made = _hadoop(spark, beside)
+    fs, made = hadoop(spark, beside)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     aside = spark._jvm.org.apache.hadoop.fs.Path(f"{beside}.old")
     there = fs.exists(target)
@@ -156,8 +158,8 @@ def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """The table as stored: in `path` as Parquet, or in the checkpoint folder; later steps start from there."""
     if path is None:
         return cut(df)
-    write_table(df, path, "parquet")
-    return df.sparkSession.read.parquet(escape_glob(path))
+    write_table(df, path, "parquet", commits=not path_exists(df.sparkSession, path))
+    return read_table(df.sparkSession, path, "parquet")
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -165,7 +167,7 @@ def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     count. A file whose name is the pattern itself is that file."""
     folder, name = posixpath.split(pattern)
     as_named = path_exists(spark, pattern)
-    fs, at = _hadoop(spark, escape_glob(pattern) if as_named else posixpath.join(escape_glob(folder), name))
+    fs, at = hadoop(spark, escape_glob(pattern) if as_named else posixpath.join(escape_glob(folder), name))
     # (asked of the file system: Spark's own file sources pass over empty files, which a check wants to see)
     found = [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.globStatus(at) or [] if s.isFile()]
     listed = spark.createDataFrame(found, "path string, size bigint, at bigint")
