@@ -101,7 +101,7 @@ def check_examples(t):
 
 @query(f"""with b as (select row from {SPOILED} where priority is null order by row limit 5),
                 m as (select count(*) as n from {SPOILED} where priority is null)
-           select 'priority: ' || format('{{:,}}', n) || ' missing (at most 0 allowed): ' ||
+           select 'priority has ' || format('{{:,}}', n) || ' gaps, 0 may be: ' ||
                   (select string_agg('row ' || format('{{:,}}', row) || ' (priority missing)', '; ' order by row) from b) as details
            from m""")
 def check_details(t):

@@ -53,13 +53,13 @@ class _FileRule:
 def _rules(not_empty: bool, modified_since, minimum: str | None, maximum: str | None) -> Iterator[_FileRule]:
     size, path = F.col("size"), F.col("path")
     if not_empty:
-        yield _FileRule("not_empty", "Not empty", size == 0, F.concat(path, F.lit(" is empty (0 bytes)")), "has more than 0 bytes")
+        yield _FileRule("not_empty", "Not empty", size == 0, F.concat(path, F.lit(" holds nothing")), "holds something")
     if modified_since is not None:
         since = modified_since if isinstance(modified_since, dt.datetime) else dt.datetime.combine(modified_since, dt.time())
         limit = F.lit(since) if since.tzinfo else F.to_timestamp(F.lit(since.isoformat(" ")))  # (a clock time: the session's)
-        told = F.format_string(f"last changed before {since}: %s at %s", path, F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
-        yield _FileRule("modified", "Modified since", F.col("modified") < limit, told, f"was last changed at or after {since}")
-    bounds = [(word, short, text, to_bytes(text)) for word, short, text in (("at least", "less than the minimum", minimum), ("at most", "more than the maximum", maximum)) if text is not None]
+        told = F.format_string(f"%s is from %s, older than {since}", path, F.date_format("modified", "yyyy-MM-dd HH:mm:ss"))
+        yield _FileRule("modified", "Modified since", F.col("modified") < limit, told, f"is from {since} or later")
+    bounds = [(word, short, text, to_bytes(text)) for word, short, text in (("at least", "under", minimum), ("at most", "over", maximum)) if text is not None]
     if bounds:
         outside = [size < n if word == "at least" else size > n for word, _, _, n in bounds]
         which = F.coalesce(*[F.when(out, F.lit(f"{short} {text}")) for out, (_, short, text, _) in zip(outside, bounds)], F.lit(""))
@@ -77,14 +77,14 @@ def check_files(files: DataFrame, not_empty: bool = False, modified_since: dt.da
 
     def details(rule: _FileRule) -> str:
         if not counts["files"]:
-            return "no file found to check"
+            return "there was nothing to look at"
         if not counts[rule.key]:
-            return f"every file found {rule.good}"
+            return f"each file {rule.good}"
         first = [r[0] for r in files.where(rule.broken).orderBy("path").limit(NAMED).select(rule.told).collect()]
         rest = counts[rule.key] - len(first)
         return ", ".join(first) + (f" and {rest:,} more" if rest else "")
 
-    there = f"{counts['files']:,} file(s) found" if counts["files"] else "no file found"
+    there = f"{counts['files']:,} here" if counts["files"] else "nothing here"
     found = [("there", "It is there", not counts["files"], there), *[(r.key, r.title, bool(counts[r.key]), details(r)) for r in rules]]
     outcomes = [(title, ("warned" if key in warn else "failed") if broken else "passed", said) for key, title, broken, said in found]
     failures = [f"{title}: {said}" for title, outcome, said in outcomes if outcome == "failed"]

@@ -37,7 +37,7 @@ def test_compared(orders):
 
 def test_missing(orders):
     assert one(orders, NoMissing(columns=["amount"])) == (
-        "failed", 2, "amount: 2 missing (at most 0 allowed): row 3 (amount missing); row 6 (amount missing)")
+        "failed", 2, "amount has 2 gaps, 0 may be: row 3 (amount missing); row 6 (amount missing)")
     assert one(orders, NoMissing(columns=["amount"], allowed="20%"))[0] == "passed"
     assert one(orders, NoMissing(columns=["region", "amount", "day"], allowed="1"))[1] == 2
     assert one(orders, NoMissing(columns=["region"], empty_text=True))[1] == 2
@@ -47,16 +47,16 @@ def test_missing(orders):
 
 
 def test_unique(orders):
-    assert one(orders, Unique(columns=["row"])) == ("passed", 0, "no value of row repeats")
+    assert one(orders, Unique(columns=["row"])) == ("passed", 0, "no two rows share row")
     assert one(orders, Unique(columns=["order_id"])) == (
-        "failed", 5, "2 values of order_id repeat (5 rows): order_id 102 in 2 rows: rows 2, 10; order_id 105 in 3 rows: rows 5, 6, 8")
+        "failed", 5, "5 rows share order_id with others: order_id 102 has 2 rows (2, 10); order_id 105 has 3 rows (5, 6, 8)")
     assert one(orders, Unique(columns=["day", "region"]))[1] == 0
 
 
 def test_many_repeats(spark):
     df = spark.range(1, 1001).select(F.col("id").alias("row"), (F.col("id") % 7).alias("k"))
     details = one(df, Unique(columns=["k"]))[2]
-    assert details.startswith("7 values of k repeat (1,000 rows): k 1 in 143 rows: rows 1, 8, 15, ...; k 2 in 143 rows")
+    assert details.startswith("1,000 rows share k with others: k 1 has 143 rows (1, 8, 15, ...); k 2 has 143 rows") and details.endswith("; and 2 more")
     assert [r["k"] for r in repeated_keys(df, ["k"], "row").collect()] == [1, 2, 3, 4, 5]
 
 

@@ -137,15 +137,15 @@ def test_list_and_check_files(spark, tmp_path):
         ("a.csv", 8), ("b.csv", 0), ("d [1].csv", 1)]
     assert list_files(spark, str(tmp_path / "d [1].csv")).count() == 1
     nothing = check_files(list_files(spark, str(tmp_path / "z*")), not_empty=True)
-    assert [tuple(r) for r in nothing.results.collect()] == [("It is there", "failed", "no file found"),
-                                                            ("Not empty", "passed", "no file found to check")]
+    assert [tuple(r) for r in nothing.results.collect()] == [("It is there", "failed", "nothing here"),
+                                                            ("Not empty", "passed", "there was nothing to look at")]
     found = check_files(files, not_empty=True, minimum="1 KB", warn=("size",), modified_since=dt.date(2000, 1, 1))
     outcomes = {r.check: (r.outcome, r.details) for r in found.results.collect()}
-    assert outcomes["Not empty"][0] == "failed" and outcomes["Not empty"][1].endswith("b.csv is empty (0 bytes)")
-    assert outcomes["Size"][0] == "warned" and "less than the minimum 1 KB" in outcomes["Size"][1]
+    assert outcomes["Not empty"][0] == "failed" and outcomes["Not empty"][1].endswith("b.csv holds nothing")
+    assert outcomes["Size"][0] == "warned" and "under 1 KB" in outcomes["Size"][1]
     assert outcomes["Modified since"][0] == "passed" and not found.passed
     late = check_files(files, modified_since=dt.datetime.now() + dt.timedelta(days=1))
-    assert "last changed before" in late.failures[0]
+    assert "older than" in late.failures[0]
     with pytest.raises(OperatorError, match="not a size"):
         check_files(files, maximum="big")
 
