@@ -225,37 +225,54 @@ class Anomalies:
         usual = steps.groupBy(KEY).agg(F.max(F.struct("times", -F.col("gap"))).alias("m"))
         both = facts.join(s.per_series(usual), KEY).withColumns({"step": -F.col("m")["col2"], "times": F.col("m")["times"]})
         why = (F.when(F.col("monthly"), "a month or more apart").when(2 * F.col("times") < F.col("n"), "no regular step"))
-        return both.select(KEY, "unit", "lo", "hi", "step", why.alias("not_checked"))
+        return cut(both.select(KEY, "unit", "lo", "hi", "step", why.alias("not_checked")))
 
     @cached_property
-    def missing_dates(self) -> DataFrame:
-        """The dates at a series' usual step between its first and last that it has no row at: series, date, step.
-        A weekday or an hour a series never has is no gap."""
+    def _stretches(self) -> DataFrame:
+        """Where series miss dates at their usual step, as stretches, a row for each however long: key, unit, step, a and b
+        (the first and last missing date), and the weekdays and hours that the series has."""
         s = self._setup
         steps = self._steps.where("not_checked IS NULL").select(KEY, "lo", "step")
         at_us = F.col("__whole") * F.col("__unit")
         has = s.points.groupBy(KEY).agg(F.collect_set(s.weekday_of(at_us)).alias("weekdays"),
                                         F.collect_set(s.hour_of(at_us)).alias("hours"))
-        grid = s.pairs.join(s.per_series(steps), KEY).join(s.per_series(has), KEY)
+        grid = s.pairs.join(s.per_series(steps), KEY).where("next - prev <> step")
         first = F.col("lo") + (F.floor((F.col("prev") - F.col("lo")) / F.col("step")) + 1).cast("bigint") * F.col("step")
         final = F.col("lo") + (F.ceil((F.col("next") - F.col("lo")) / F.col("step")) - 1).cast("bigint") * F.col("step")
-        gaps = grid.withColumns({"a": first, "b": final}).where("a <= b")
-        block = F.col("step") * F.lit(GAP_BLOCK)  # (a long gap is listed in blocks, so no row holds all its dates)
-        blocks = gaps.withColumn("a", F.explode(F.sequence("a", "b", block))).withColumn("b", F.least("b", F.col("a") + block - F.col("step")))
-        each = blocks.select(KEY, "unit", "step", "weekdays", "hours", F.explode(F.sequence("a", "b", "step")).alias("w"))
+        found = grid.withColumns({"a": first, "b": final}).where("a <= b").join(s.per_series(has), KEY)
+        return cut(found.select(KEY, "unit", "step", "a", "b", "weekdays", "hours"))
+
+    def _dates_in(self, stretches: DataFrame, last: Column) -> DataFrame:
+        """The dates of stretches from a up to `last`, but those on weekdays or at hours that the series never has."""
+        s = self._setup
+        block = F.col("step") * F.lit(GAP_BLOCK)  # (a long one is listed in blocks, so no row holds all its dates)
+        blocks = stretches.withColumn("__to", last).withColumn("__a", F.explode(F.sequence("a", "__to", block)))
+        each = blocks.withColumn("w", F.explode(F.sequence("__a", F.least("__to", F.col("__a") + block - F.col("step")), "step")))
         us = F.col("w") * F.col("unit")
-        real = each.where(F.array_contains("weekdays", s.weekday_of(us)) & F.array_contains("hours", s.hour_of(us)))
-        return real.select(KEY, s.label.alias("series"), "w", s.at(F.col("w"), F.col("unit")).alias("date"),
-                           _step_text(F.col("step") * F.col("unit")).alias("step"))
+        return each.where(F.array_contains("weekdays", s.weekday_of(us)) & F.array_contains("hours", s.hour_of(us)))
+
+    @cached_property
+    def missing_dates(self) -> DataFrame:
+        """The dates at a series' usual step between its first and last that it has no row at: series, date, step.
+        A weekday or an hour a series never has is no gap."""
+        s = self._setup
+        return self._dates_in(self._stretches, F.col("b")).select(
+            KEY, s.label.alias("series"), "w", s.at(F.col("w"), F.col("unit")).alias("date"), _step_text(F.col("step") * F.col("unit")).alias("step"))
 
     @cached_property
     def gaps(self) -> DataFrame:
-        """Per series with gaps or not checked for them: series, step, missing, first_dates (5 at most), not_checked."""
+        """Per series with gaps or not checked for them: series, step, missing, first_dates (5 at most), not_checked.
+
+        Missing dates are counted, not listed: weekdays and hours come round after a week of steps, so a stretch's first
+        week tells how many there are of each place in the week, and which dates are its first."""
         s = self._setup
-        missing = self.missing_dates
-        first = top_per_group(missing, [KEY], [F.asc("w")], NAMED).groupBy(KEY).agg(F.array_join(
-            F.sort_array(F.collect_list(F.struct("w", "date")))["date"], ", ").alias("first_dates"))
-        found = missing.groupBy(KEY).agg(F.count("*").alias("missing"))
+        around = F.col("step") * (F.lit(7 * DAY) / F.col("unit")).cast("bigint")  # whole weeks, in units
+        week = self._dates_in(self._stretches, F.least("b", F.col("a") + around - F.col("step")))
+        week = week.withColumn("times", F.floor((F.col("b") - F.col("w")) / around).cast("bigint") + 1)
+        early = week.withColumn("w", F.explode(F.transform(F.sequence(F.lit(0), F.least("times", F.lit(NAMED)) - 1), lambda k: F.col("w") + k * around)))
+        first = top_per_group(early.select(KEY, "w", "unit"), [KEY], [F.asc("w")], NAMED).groupBy(KEY).agg(F.array_join(F.sort_array(
+            F.collect_list(F.struct("w", s.at(F.col("w"), F.col("unit")).alias("date"))))["date"], ", ").alias("first_dates"))
+        found = week.groupBy(KEY).agg(F.sum("times").alias("missing"))
         step = _step_text(F.col("step") * F.col("unit"))
         listed = self._steps.join(s.per_series(found), KEY, "left").join(s.per_series(first), KEY, "left")
         return listed.where("missing > 0 OR not_checked IS NOT NULL").select(
@@ -408,8 +425,8 @@ class _Setup:
         spans = dates.select(KEY, F.col("__whole").alias("first"), F.col("__whole").alias("last"))
         found = consecutive_pairs(spans, KEY, "first", "last", [CHUNK_DATES])
         if self.units is None:
-            return found.withColumn("unit", F.lit(DAY).cast("bigint"))
-        return found.join(self.per_series(self.units.select(KEY, "unit")), KEY)
+            return cut(found.withColumn("unit", F.lit(DAY).cast("bigint")))
+        return cut(found.join(self.per_series(self.units.select(KEY, "unit")), KEY))
 
     # --- judging ---------------------------------------------------------------------------------------------
 

@@ -188,3 +188,23 @@ def test_refused_values(spark):
 def test_empty_table(spark):
     found = detect_anomalies(weekly(spark, {"a": [1]}).limit(0), "day", ["rows"], ["server"])
     assert found.table.count() == 0 and found.count() == 0
+
+
+def test_gaps_of_any_length_are_counted_not_listed(spark):
+    """Two hours of seconds, 10^9 seconds apart: the missing ones are those at hours and on weekdays that the series has."""
+    start, far = dt.datetime(2000, 1, 3), 1_000_000_000
+    df = spark.range(7200).selectExpr("id as i", "1.0D as x").unionByName(spark.range(7200).selectExpr(f"id + {far} as i", "1.0D as x"))
+    df = df.select((F.lit(start) + F.make_dt_interval(secs=F.col("i"))).alias("t"), "x")
+    [found] = detect_anomalies(df, "t", ["x"]).gaps.collect()
+    has = {(d.weekday(), d.hour) for d in (start + dt.timedelta(seconds=i) for i in (*range(0, 7200, 60), *range(far, far + 7200, 60)))}
+    days, hours = {d for d, _ in has}, {h for _, h in has}
+
+    def fits(second):
+        at = start + dt.timedelta(seconds=second)
+        return at.weekday() in days and at.hour in hours
+
+    minutes = range(7200 - 7200 % 60, far - far % 60, 60)
+    wanted = 60 * sum(map(fits, minutes)) + (far % 60 if fits(far - far % 60) else 0)
+    assert found.missing == wanted and found.step == "1 second"
+    firsts = [s for m in minutes[:30_000] if fits(m) for s in range(m, m + 60)][:5]
+    assert found.first_dates.split(", ")[1:] == [str(start + dt.timedelta(seconds=s)) for s in firsts[1:]]
