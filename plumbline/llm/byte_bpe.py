@@ -126,8 +126,8 @@ class ByteBpe:
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of pre-tokens. Their bytes stand in one linked list, with a border after each, and share the queue.
 
-        The pre-tokens don't touch, so the lowest rank of all can be merged in many of them at once: in each that has it
-        at its first place, as a merge can bring up a lower rank beside it. The other places stay in the bucket."""
+        The pre-tokens don't touch, so the lowest rank of all is merged in all of them at once. What is left of its bucket
+        goes back to it."""
         sizes = np.array([len(p) for p in pieces])
         starts = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])  # place 0 is a border too
         n = int(starts[-1])
@@ -143,24 +143,34 @@ class ByteBpe:
         queue = self.queue
         queue.push(rank[inside], inside)
         while queue.top:
-            low, at = queue.pop()
-            at = at[rank[at] == low]  # the others are stale: a merge beside them came first
+            low, places = queue.pop()
+            places = at = places[rank[places] == low]  # the others are stale: a merge beside them came first
             if not len(at):
                 continue
-            if len(at) > 1:
-                at = np.unique(at)
-                of = whose[at]
-                first = np.concatenate([[True], of[1:] != of[:-1]])
-                if not first.all():
-                    queue.put(low, at[~first])
-                    at = at[first]
+            at = np.unique(at)
+            # Of places that overlap, every second one goes. They are merged from left to right up to where a merge brings
+            # up a lower rank, which comes before the rest of its pre-token.
+            nth = np.arange(len(at))
+            overlaps = np.concatenate([[False], at[1:] == after[at[:-1]]])
+            at = at[(nth - np.maximum.accumulate(np.where(overlaps, 0, nth))) % 2 == 0]
             gone = after[at]
-            stop, left = after[gone], before[at]
+            beside = np.concatenate([[False], before[at[1:]] == gone[:-1]])  # right after the merge before
+            sides = [self._rank(np.where(beside, low, token[before[at]]), np.full(len(at), low)),
+                     self._rank(np.full(len(at), low), token[after[gone]])]
+            lower = np.any([(side >= 0) & (side < low) for side in sides], axis=0)
+            if lower.any():
+                of, upto = whose[at], np.cumsum(lower) - lower
+                begins = np.concatenate([[True], of[1:] != of[:-1]])
+                now = upto == upto[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+                if not now.all():
+                    queue.put(low, places[np.isin(whose[places], of[~now])])  # (those merged now are stale by then)
+                    at, gone = at[now], gone[now]
+            stop = after[gone]
             token[at], token[gone] = low, -1
             after[at], before[stop] = stop, at
             rank[gone] = -1
-            place = np.concatenate([left, at])
-            rank[place] = new = self._rank(token[place], np.concatenate([token[at], token[stop]]))
+            place = np.concatenate([before[at], at])
+            rank[place] = new = self._rank(token[place], token[after[place]])
             queue.push(new, place)
         ids = token[token >= 0].astype("<u4").tobytes()
         ends = np.cumsum(np.bincount(whose[token >= 0], minlength=len(pieces))) * 4
@@ -177,8 +187,10 @@ _READY: dict = {}  # of this Python worker: vocabularies by their broadcast, wit
 
 
 def _forget() -> None:
+    """The worker goes on to other stages, which need its memory."""
     for codec in _READY.values():
-        codec.pieces.forget()
+        codec.pieces.words.clear()
+        codec.pieces.bare.clear()
 
 
 def _codec(shared, pattern: str) -> ByteBpe:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +50,18 @@ def test_a_very_long_pre_token(own, library):
     same(own, library, "".join(letters.choice("etaoinsh") for _ in range(60_000)))
 
 
+@pytest.mark.parametrize("text", ["a" * 5001, "ab" * 3000, "aab" * 2000, "=" * 4097, "\n" * 3000, " " * 2500, "abcabd" * 800, "ha" * 999 + "h", "0" * 777, "éé" * 700])
+def test_runs(own, library, text):
+    same(own, library, text)
+    same(own, library, "x" + text + "yz")
+
+
+def test_a_million_equal_letters(own):
+    started = time.time()
+    [ids] = own.encode(["a" * 1_000_000])
+    assert own.decode(ids) == b"a" * 1_000_000 and time.time() - started < 20
+
+
 def test_all_at_once(own, library):
     assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(ODD * 2)] == [library.encode_ordinary(t) for t in ODD * 2]
 
