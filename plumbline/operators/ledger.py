@@ -208,7 +208,7 @@ def _chains(lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each round doubles how far a run looks back, so a chain of a million re-runs takes twenty rounds, and only runs that
     have not come to a beginning are joined again. A chain is no longer than the table, which bounds the rounds."""
-    steps = lineage.select("run_id", F.col("carried_on_from").alias("root"), F.lit(1).cast("bigint").alias("depth"))
+    steps = cut(lineage.select("run_id", F.col("carried_on_from").alias("root"), F.lit(1).cast("bigint").alias("depth")))  # (read twice)
     known = steps.select(F.col("run_id").alias("root"))
     moving = cut(steps.withColumn("more", F.lit(True)).join(known.withColumn("there", F.lit(True)).distinct(), "root", "left")
                  .select("run_id", "root", "depth", F.coalesce("there", F.lit(False)).alias("more")))
