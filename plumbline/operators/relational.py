@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import OperatorError
@@ -144,6 +145,7 @@ def route_rows(df: DataFrame, predicate) -> tuple[DataFrame, DataFrame]:
 
 
 SHORTEST_SECRET, HIDDEN = 4, "***"
+FOLDED = 200  # forms of secrets that are replaced one after another
 
 
 def _escaped(text: str, quoted_by: str, plain) -> str:
@@ -173,18 +175,50 @@ def secret_forms(secrets) -> list[str]:
     return sorted(forms, key=lambda f: (-len(f), f))
 
 
-def scrub(df: DataFrame, secrets) -> DataFrame:
-    """Known secrets in text columns as ***, the longest forms first: one fold over a list of forms, however many."""
+def scrub(df: DataFrame, secrets, folded: int = FOLDED) -> DataFrame:
+    """Known secrets in text columns as ***, the longest forms first.
+
+    Up to `folded` forms are one fold of replacements. More are found by an index of their first characters: a text's own
+    stretches of that length tell which few forms it can hold, so a clean text costs the same however many secrets there
+    are. (Replacing one form can only bring up another that holds a star of it; those are always tried.)"""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     forms = secret_forms(secrets)
     if not texts or not forms:
         return df
+    if len(forms) > folded:
+        clean = _by_index(df.sparkSession, forms)
+        return df.withColumns({c: clean(col(c)) for c in texts})
     listed = F.array(*[F.lit(f) for f in forms])
 
-    def clean(c: Column) -> Column:
+    def fold(c: Column) -> Column:
         return F.aggregate(listed, c, lambda text, form: F.replace(text, form, F.lit(HIDDEN)))
 
-    return df.withColumns({c: clean(col(c)) for c in texts})
+    return df.withColumns({c: fold(col(c)) for c in texts})
+
+
+def _by_index(spark: SparkSession, forms: list[str]):
+    heads: dict[str, list[int]] = {}
+    for place, form in enumerate(forms):
+        heads.setdefault(form[:SHORTEST_SECRET], []).append(place)
+    starred = [place for place, form in enumerate(forms) if HIDDEN[0] in form]
+    shared = spark.sparkContext.broadcast((forms, heads, starred))  # (the caller's own list of secrets)
+
+    def hide(text: str | None) -> str | None:
+        forms, heads, starred = shared.value
+        if text is None:
+            return None
+        met = {text[i:i + SHORTEST_SECRET] for i in range(len(text) - SHORTEST_SECRET + 1)}.intersection(heads)
+        if not met and not starred:
+            return text
+        for place in sorted({place for head in met for place in heads[head]}.union(starred)):
+            text = text.replace(forms[place], HIDDEN)
+        return text
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([hide(t) for t in texts.to_pylist()], pa.string())
+
+    return clean
 
 
 def head(df: DataFrame, n: int) -> DataFrame:

@@ -105,6 +105,29 @@ def test_floor_division_of_whole_numbers(spark):
     assert [r.q for r in small.collect()] == [3, -4]
 
 
+def test_secrets_by_index_are_hidden_as_by_folding(spark):
+    import random
+
+    pick = random.Random(4)
+    letters = "ab*/ é\"'\\%"
+    secrets = ["".join(pick.choice(letters) for _ in range(pick.randrange(2, 9))) for _ in range(60)] + ["x***", "***y", "****"]
+    texts = ["".join(pick.choice(letters + "xy") for _ in range(60)) + pick.choice(secrets) + "y" + pick.choice(secrets) for _ in range(200)] + [None, "", "abc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert scrub(df, secrets, folded=0).collect() == scrub(df, secrets, folded=10 ** 6).collect()
+
+
+def test_a_hundred_thousand_secrets(spark):
+    import time
+
+    secrets = [f"{i * 7919 % 100_003:06d}-key" for i in range(100_000)]
+    df = spark.range(20_000).selectExpr("id", "concat('a clean text of some length, number ', id, if(id % 1000 = 7, ' 000042-key here', '')) as t").cache()
+    df.count()
+    made = scrub(df, secrets)
+    started = time.time()
+    assert made.where("t like '%*** here'").count() == 20 and made.where("t like '%-key%'").count() == 0
+    assert time.time() - started < 60
+
+
 def test_a_thousand_secrets(spark):
     secrets = [f"s/{i:04d} ä\"x" for i in range(1000)]
     df = spark.createDataFrame([(f"a {secrets[7]} b s%2F0009%20%C3%A4%22x c s/0011 \\u00e4\\\"x d",), (None,)], "t string")
