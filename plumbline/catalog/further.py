@@ -17,6 +17,7 @@ from ..operators.file_checks import check_files
 from ..operators.ledger import step_durations
 from ..operators.python_code import Step, run_python
 from ..operators.relational import chart_points, head, showing
+from ..operators.sketches import estimates, sketch
 from ..operators.sql import run_sql
 from ..plans.lineage import checkpoint_dir
 from ..sources.files import as_table, list_files, read_table, write_table
@@ -195,3 +196,21 @@ def unusual_durations(t):
     """Steps that took unusually long or short for their weekday."""
     found = detect_anomalies(step_durations(_runs(t), _steps(t)), "day", ["seconds"], ["flow_path", "step"], only_latest=False).anomalies
     return found.select("flow_path", "step", F.col("day").cast("string").alias("day"), "seconds", F.round("seconds_expected", 6).alias("expected"))
+
+
+@query("""select 'l_suppkey' as "column", count(l_suppkey) as "count", true as distinct_near, true as median_near from lineitem
+          union all select 'l_extendedprice', count(l_extendedprice), true, true from lineitem
+          union all select 'l_shipdate', count(l_shipdate), true, null from lineitem""")
+def estimates_of_merged_sketches(t):
+    """Sketches by supplier group, merged: distinct values within 6 %, the median with half the rows, give or take 1 %."""
+    columns = ["l_suppkey", "l_extendedprice", "l_shipdate"]
+    lines = t.lineitem.select(*columns, (F.col("l_suppkey") % 5).alias("part"))
+    found = {r["column"]: r for r in estimates(sketch(lines, columns, ["part"])).collect()}
+    told = []
+    for c in columns:
+        r, distinct = found[c], F.countDistinct(c)
+        half = F.count(c) / 2
+        median = (F.count_if(F.col(c) < r["median"]) <= half * 1.02) & (F.count_if(F.col(c) <= r["median"]) >= half * 0.98) if r["median"] is not None else F.lit(None).cast("boolean")
+        told.append(F.struct(F.lit(c).alias("column"), F.lit(r["count"]).alias("count"), (F.abs(distinct - F.lit(r["distinct"])) <= distinct * 0.06).alias("distinct_near"),
+                             median.alias("median_near")))
+    return lines.agg(F.array(*told).alias("told")).select(F.inline("told"))
