@@ -15,7 +15,7 @@ from ..operators import profile as P
 from ..operators.anomalies import detect_anomalies
 from ..operators.file_checks import check_files
 from ..operators.ledger import step_durations
-from ..operators.python_code import Step, run_python
+from ..operators.python_code import Step, in_order, run_python
 from ..operators.relational import chart_points, head, showing
 from ..operators.sketches import estimates, sketch
 from ..operators.sql import run_sql
@@ -214,3 +214,14 @@ def estimates_of_merged_sketches(t):
         told.append(F.struct(F.lit(c).alias("column"), F.lit(r["count"]).alias("count"), (F.abs(distinct - F.lit(r["distinct"])) <= distinct * 0.06).alias("distinct_near"),
                              median.alias("median_near")))
     return lines.agg(F.array(*told).alias("told")).select(F.inline("told"))
+
+
+@query("""select o_custkey, o_orderkey, cast(sum(o_totalprice::decimal(15, 2)) over (partition by o_custkey order by o_orderkey) as double) as upto from orders""")
+def running_python(t):
+    """A customer's orders in order, in Python, a batch at a time, in chunks that are put together."""
+    def spent(state, frame):
+        cents = state + (frame["o_totalprice"] * 100).round().astype("int64").cumsum()
+        return int(cents.iloc[-1]), frame[["o_orderkey"]].assign(upto=cents / 100)
+
+    return in_order(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey", spent, "o_orderkey long, upto double",
+                    start=lambda: 0, combine=lambda a, b: a + b)

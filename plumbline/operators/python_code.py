@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
 import traceback
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import OperatorError
 from ..functions.kinds import col, need_columns
 from ..functions.params import resolve
+from ..plans.lineage import cut
+from ..plans.ordered import CHUNK, CHUNK_ROWS, KEY, in_chunks, key_of
 from ..sources.files import as_table
 
 SALTS = 64  # parts a group's partial results are merged in first
@@ -115,3 +118,86 @@ def _dropping(fold: Callable, column: str) -> Callable:
 
     without.__annotations__ = {"states": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
     return without
+
+
+def in_order(df: DataFrame, by, order, step: Callable, schema: str, start: Callable[[], object] = lambda: None,
+             combine: Callable | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Your own Python over whole groups in order, of any size: step(state, frame) gets a group's rows in the order of the
+    `order` columns, a batch at a time, and gives (state, frame); state begins as start() for each group. Gives the `by`
+    columns, then `schema`. Memory is that of a batch and a state, never of a group. Rows equal in order come in any order:
+    order by something unique.
+
+    A group is one stream, since each state needs the one before. With `combine`, a group is cut into chunks of its order
+    that run beside each other: each is run once from start() for the state it ends with, the states of a group's chunks
+    are put together by combine(earlier, later), and each chunk is run again from what comes before it. So it must hold
+    that running on from a state is the same as combining it with what start() leads to. Both runs call `step`."""
+    by, order = [by] if isinstance(by, str) else list(by), [order] if isinstance(order, str) else list(order)
+    need_columns(df, [*by, *order], "In order")
+    whole = df.withColumns({KEY: key_of(by)})
+    taken = [c for c in T.StructType.fromDDL(schema).names if c in by]
+    if taken:
+        raise OperatorError(f"{', '.join(taken)} is a group column; the result has it already")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[col(b) for b in by]).schema)
+    made = ", ".join(x for x in (kinds, schema) if x)
+    names, columns = T.StructType.fromDDL(made).names, df.columns
+    chunked, one = (whole.withColumn(CHUNK, F.lit(0)), True) if combine is None else in_chunks(whole, KEY, order, rows)
+    marked = chunked.withColumns({"__state": F.lit(None).cast("binary"), "__mark": F.lit(1)})
+    parts = [KEY, CHUNK]
+
+    def sorted_parts(table: DataFrame) -> DataFrame:
+        dealt = table.repartition(*parts).sortWithinPartitions(*parts, "__mark", *[col(o) for o in order])
+        return dealt.withColumn("__part", F.xxhash64(*parts)).drop(KEY)
+
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+        """(whether a part begins, some of its rows)"""
+        last = None
+        for batch in batches:
+            ids = batch["__part"].to_numpy()
+            at = 0
+            while at < len(ids):
+                end = at + int((ids[at:] != ids[at]).argmax()) if (ids[at:] != ids[at]).any() else len(ids)
+                yield last != ids[at], batch.iloc[at:end]
+                last, at = ids[at], end
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = None
+        for begins, some in streams(batches):
+            if begins:
+                state = start()
+            if some["__mark"].iloc[0] == 0:  # what the chunks before lead to
+                state, some = pickle.loads(some["__state"].iloc[0]), some.iloc[1:]
+            if len(some):
+                state, out = step(state, some[columns].reset_index(drop=True))
+                for b in by:
+                    out[b] = some[b].iloc[0]
+                yield out[names]
+
+    if one:
+        return sorted_parts(marked).mapInPandas(run, made)
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = None, None
+        for begins, some in streams(batches):
+            if begins:
+                if key is not None:
+                    yield pd.DataFrame({"__part": [key], "__state": [pickle.dumps(state)]})
+                state, key = start(), some["__part"].iloc[0]
+            state, _ = step(state, some[columns].reset_index(drop=True))
+        if key is not None:
+            yield pd.DataFrame({"__part": [key], "__state": [pickle.dumps(state)]})
+
+    ended = sorted_parts(marked).mapInPandas(ends, "__part bigint, __state binary")
+    known = chunked.select(*parts, *[col(b) for b in by]).groupBy(*parts).agg(F.count("*").alias("__n"), *[F.first(col(b)).alias(b) for b in by]).drop("__n").withColumn("__part", F.xxhash64(*parts))
+    ended = cut(known.join(ended, "__part").drop("__part"))  # (a row per chunk)
+
+    def carried(group: pd.DataFrame) -> pd.DataFrame:
+        state, states = start(), []
+        for end in group.sort_values(CHUNK)["__state"]:
+            states.append(pickle.dumps(state))
+            state = combine(state, pickle.loads(end))
+        return group.sort_values(CHUNK).assign(__state=states)
+
+    carries = ended.groupBy(F.xxhash64(KEY)).applyInPandas(
+        lambda _, group: pd.concat([carried(g) for _, g in group.groupby(list(by), dropna=False)] if by else [carried(group)]), ended.schema)
+    first = carries.withColumn("__mark", F.lit(0))
+    return sorted_parts(first.unionByName(marked, allowMissingColumns=True).select(marked.columns)).mapInPandas(run, made)
