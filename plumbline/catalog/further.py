@@ -111,7 +111,7 @@ def row_hashes(t):
 
 @query("""select c_custkey, case when c_custkey % 4 in (0, 1) then c_custkey % 4 = 0 end as said,
                  case when c_custkey % 3 = 0 then null else c_acctbal end as number,
-                 c_custkey::varchar || ' byte' || case when c_custkey = 1 then '' else 's' end as size from customer where c_custkey < 1024
+                 format('{:,}', c_custkey) || ' byte' || case when c_custkey = 1 then '' else 's' end as size from customer where c_custkey < 1024
           union all select c_custkey, case when c_custkey % 4 in (0, 1) then c_custkey % 4 = 0 end,
                  case when c_custkey % 3 = 0 then null else c_acctbal end,
                  regexp_replace(format('{:,.1f}', round_even(c_custkey / 1024.0, 1)), '\\.0$', '') || ' KB (' || format('{:,}', c_custkey) || ' bytes)'

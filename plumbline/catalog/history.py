@@ -22,6 +22,11 @@ from ..streaming.pickup import Pickup, freshness_of_batches
 from .registry import query
 
 
+def _number(x: str) -> str:
+    """A number as messages show it, in SQL."""
+    return f"regexp_replace(format('{{:,.2f}}', {x}), '\\.?0+$', '')"
+
+
 def _scratch(t, name: str) -> str:
     """A new folder in the cluster's shared folder."""
     return posixpath.join(checkpoint_dir(t.spark), f"{name}-{uuid.uuid4().hex}")
@@ -204,7 +209,21 @@ def ledger_step_durations(t):
     return found.withColumn("day", F.col("day").cast("string"))
 
 
-@query()
+@query(f"""with {RUNS}, s as (select l_orderkey + 1 as run_id, l_linenumber, l_returnflag, l_shipdate, l_quantity,
+                                     l_partkey * 1000000 + l_suppkey * 100 + l_quantity::bigint as seq from lineitem
+                              qualify row_number() over (partition by run_id, l_linenumber order by seq desc) = 1),
+    d as (select flow_path, 'step ' || l_linenumber as step, l_shipdate::date as day, max(l_quantity)::double as v
+          from s join runs using (run_id) where l_returnflag <> 'R' group by all),
+    h as (select *, list(v) over (partition by flow_path, step, isodow(day) order by day rows between 8 preceding and 1 preceding) as past from d),
+    m as (select *, list_aggregate(past, 'median') as expected, dayname(day) as name from h where len(past) >= 4),
+    e as (select *, list_transform(past, lambda x: abs(x - expected)) as apart from m),
+    r as (select *, case when list_aggregate(apart, 'median') > 0 then 1.4826 * list_aggregate(apart, 'median')
+                    else 1.2533 * list_aggregate(apart, 'avg') end as spread from e),
+    b as (select *, expected - 3 * spread as low, expected + 3 * spread as high from r)
+    select flow_path, step, day, v as seconds, left(name, 3) || ' ' || day::varchar || ', ' || flow_path || ', ' || step || ': seconds ' || {_number('v')} || case
+             when spread = 0 then '; the ' || len(past) || ' earlier ' || name || 's were all ' || {_number('expected')}
+             else '; a usual ' || name || ' is ' || {_number('expected')} || ' (' || {_number('low')} || '–' || {_number('high')} || ')' end as reason
+    from b where v < low or v > high""")
 def ledger_unusual_durations(t):
     days = step_durations(_runs(t), _steps(t)).withColumn("day", F.col("day"))
     found = detect_anomalies(days, "day", ["seconds"], ["flow_path", "step"], only_latest=False)
@@ -262,10 +281,18 @@ def materialised_step(t):
     return kept.groupBy("l_returnflag").agg(F.sum("n").alias("n"), F.round(F.sum("q"), 2).alias("quantity"))
 
 
-@query()
+@query("""select * from (values ('It is there', 'passed', '4 here'), ('Not empty', 'passed', 'each file holds something'),
+                   ('Modified since', 'passed', 'each file is from 1990-01-01 00:00:00 or later'),
+                   ('Size', 'passed', 'each file is at least 100 B and at most 100 GB')) as v("check", outcome, details)
+          union all select 'rows', 'read', format('{:,}', count(*)) from customer""")
 def file_listing_checks(t):
-    files = list_files(t.spark, posixpath.join(t.folder, "*.parquet"))
-    return check_files(files, not_empty=True, modified_since=dt.date(1990, 1, 1), minimum="1 KB", maximum="100 GB").results
+    """The files that a table is written as, listed and checked, and the rows that they hold."""
+    path = _scratch(t, "files")
+    t.customer.repartitionByRange(4, "c_custkey").write.parquet(path)
+    files = list_files(t.spark, posixpath.join(path, "*.parquet"))
+    found = check_files(files, not_empty=True, modified_since=dt.date(1990, 1, 1), minimum="100 B", maximum="100 GB").results
+    rows = t.spark.read.parquet(path).agg(F.lit("rows").alias("check"), F.lit("read").alias("outcome"), F.format_number(F.count("*"), 0).alias("details"))
+    return found.unionByName(rows)
 
 
 @query("""select 'success' as status, count(*) as rows from events""")
