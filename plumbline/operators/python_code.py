@@ -6,8 +6,8 @@ import pickle
 import traceback
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import OperatorError
@@ -17,6 +17,9 @@ from ..plans.lineage import cut
 from ..plans.ordered import CHUNK, CHUNK_ROWS, KEY, in_chunks, key_of
 from ..sources.files import as_table
 
+if TYPE_CHECKING:  # (tasks of other operators need no pandas, and the memory that it takes)
+    import pandas as pd
+
 SALTS = 64  # parts a group's partial results are merged in first
 
 
@@ -86,6 +89,8 @@ def per_group(df: DataFrame, by, partial: Callable[[pd.DataFrame], pd.DataFrame]
     of `schema` (the group columns and the state); `merge` turns several such rows into fewer and may be called on
     what it gave before. Rows are reduced batch by batch where they are, a group's states are merged in up to 64 parts
     and then once more."""
+    import pandas as pd
+
     by = [by] if isinstance(by, str) else list(by)
     need_columns(df, by, "Group by")
 
@@ -113,6 +118,8 @@ def per_group(df: DataFrame, by, partial: Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def _dropping(fold: Callable, column: str) -> Callable:
+    import pandas as pd
+
     def without(states: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from fold(batch.drop(columns=[column]) for batch in states)
 
@@ -131,6 +138,8 @@ def in_order(df: DataFrame, by, order, step: Callable, schema: str, start: Calla
     that run beside each other: each is run once from start() for the state it ends with, the states of a group's chunks
     are put together by combine(earlier, later), and each chunk is run again from what comes before it. So it must hold
     that running on from a state is the same as combining it with what start() leads to. Both runs call `step`."""
+    import pandas as pd
+
     by, order = [by] if isinstance(by, str) else list(by), [order] if isinstance(order, str) else list(order)
     need_columns(df, [*by, *order], "In order")
     whole = df.withColumns({KEY: key_of(by)})

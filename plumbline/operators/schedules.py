@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import OperatorError
@@ -64,11 +64,15 @@ _NUMBERS = T.ArrayType(T.IntegerType())
 CRON_TYPE = T.StructType([*[T.StructField(f"{name}s", _NUMBERS) for name in FIELDS], T.StructField("either", T.BooleanType())])
 
 
-@F.pandas_udf(CRON_TYPE)
-def _parsed(lines: pd.Series) -> pd.DataFrame:
-    seen = {line: parse_cron(line) for line in lines.dropna().unique()}
+_ARROW_TYPE = pa.struct([*[pa.field(f"{name}s", pa.list_(pa.int32())) for name in FIELDS], pa.field("either", pa.bool_())])
+
+
+@F.arrow_udf(CRON_TYPE)
+def _parsed(lines: pa.Array) -> pa.Array:
+    texts = lines.to_pylist()
+    seen = {line: parse_cron(line) for line in set(texts) if line is not None}
     empty = {**{f"{n}s": None for n in FIELDS}, "either": None}
-    return pd.DataFrame([seen.get(line, empty) for line in lines])
+    return pa.array([seen.get(line, empty) for line in texts], _ARROW_TYPE)
 
 
 def _moment(value) -> Column:

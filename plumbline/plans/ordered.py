@@ -59,8 +59,12 @@ def in_chunks(df: DataFrame, key: str, order: list[str], rows: int = CHUNK_ROWS,
     """The table with a chunk number, and whether it is all one chunk. A table of more than `rows` rows is range
     partitioned by group and order, so that chunks are of like size whatever a group or a moment holds, and stored, so
     that every later use sees the same chunks. (Rows equal in group and order stay together: order by something unique.) `most`:
-    how many rows there are at most, where that is known for less than counting them."""
-    parts = math.ceil((df.count() if most is None else most) / rows)
+    how many rows there are at most, where that is known; else the table is stored first and counted there, so that what
+    makes it runs once."""
+    if most is None:
+        df = cut(df)
+        most = df.count()  # (from the files' footers)
+    parts = math.ceil(most / rows)
     if parts <= 1:
         return df.withColumn(CHUNK, F.lit(0)), True
     ranged = df.repartitionByRange(parts, key, *order).withColumn(CHUNK, F.spark_partition_id())
