@@ -99,7 +99,7 @@ def latest_state(events: DataFrame, keys, order: str) -> DataFrame:
     rest = [c for c in events.columns if c not in keys]
     # (events of one number, written twice, are told apart by what else they say)
     whole = F.struct(*[col(c) for c in rest])
-    newest = F.max_by(whole, F.struct(col(order).alias("o"), F.xxhash64(F.to_json(whole)).alias("t"))).alias("__n")
+    newest = F.max_by(whole, F.struct(col(order).alias("o"), F.xxhash64(*[col(c) for c in rest]).alias("t"))).alias("__n")
     return events.groupBy(*[col(k) for k in keys]).agg(newest).select(*keys, "__n.*").select(*events.columns)
 
 

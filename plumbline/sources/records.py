@@ -23,11 +23,12 @@ def records_to_table(df: DataFrame, json_column: str, keep=()) -> DataFrame:
     The schema comes from one distributed pass that merges what every record holds."""
     need_columns(df, [json_column, *keep], "JSON records")
     parsed = df.where(col(json_column).isNotNull()).withColumn("__v", F.try_parse_json(col(json_column)))
-    listed = parsed.withColumn("__items", F.from_json(col(json_column), "array<string>"))
-    schema = F.schema_of_variant_agg("__v")
-    bad = F.count_if(F.col("__v").isNull() | ~F.startswith(F.schema_of_variant("__v"), F.lit("ARRAY<")))
-    not_object = F.count_if(F.exists("__items", lambda i: i.isNull() | ~F.startswith(F.ltrim(i), F.lit("{"))))
-    facts = listed.agg(bad.alias("bad"), not_object.alias("odd"), schema.alias("schema")).first()
+    listed = parsed.withColumn("__kind", F.schema_of_variant("__v"))
+    schema, kind = F.schema_of_variant_agg("__v"), F.col("__kind")
+    is_list = F.coalesce(F.startswith(kind, F.lit("ARRAY<")), F.lit(False))
+    objects = F.startswith(kind, F.lit("ARRAY<OBJECT<")) | (kind == "ARRAY<VOID>")  # (that of an empty list, or of nulls)
+    nulls = F.exists(F.when(is_list, F.col("__v").cast("array<variant>")), F.is_variant_null)
+    facts = listed.agg(F.count_if(~is_list).alias("bad"), F.count_if(is_list & (~objects | nulls)).alias("odd"), schema.alias("schema")).first()
     if facts["bad"]:
         raise OperatorError(f"{json_column}: {facts['bad']:,} of its values are not a JSON list of records")
     if facts["odd"]:
