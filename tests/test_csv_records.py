@@ -86,5 +86,5 @@ def test_headers(spark, tmp_path, split):
 def test_scanner():
     scan = C.line_scanner(",")
     for line, ends in {"": (False, True), "a,b": (False, True), '"a': (True, False), 'a"b': (False, False), '"a""': (True, False), '"a",b"': (False, False),
-                       '","': (False, True), '"a"x,"': (True, True), 'a,""': (False, False), '"""': (True, False), '",,"': (False, True)}.items():
+                       '","': (False, True), '"a"x,"': (True, True), 'a,""': (False, True), '"""': (True, False), '",,"': (False, True)}.items():
         assert (scan(line, False), scan(line, True)) == ends, line
