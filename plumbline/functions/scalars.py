@@ -136,7 +136,8 @@ def rounded(x: Column, places: int = 0, binary: bool = True) -> Column:
     power = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n.cast("int")).cast("decimal(20,0)")
     as_is = (whole * (scale * 2).cast("decimal(18,0)")).cast("decimal(38,0)")
     as_written = (odd.cast("decimal(20,0)") * (power(part) * power(shift - part)).cast("decimal(38,0)")).cast("decimal(38,0)")
-    halfway = (size < 1e15) & (shift > 0) & (shift <= 124) & (odd == odd.cast("decimal(20,0)")) & (F.pmod(odd.cast("decimal(20,0)"), F.lit(2)) == 1)
+    # (the bits last: few numbers come as far)
+    halfway = (size < 1e15) & (odd == odd.cast("decimal(20,0)")) & (F.pmod(odd.cast("decimal(20,0)"), F.lit(2)) == 1) & (shift > 0) & (shift <= 124)
     below = (odd.cast("decimal(20,0)") - 1) / 2
     near = F.when(as_is > as_written, below + 1).when(as_is < as_written, below)
     exact = (near.cast("decimal(20,0)") / scale).cast("double") * F.signum(x)
