@@ -123,6 +123,47 @@ def rounded(x: Column, places: int = 0, binary: bool = True) -> Column:
     if not binary or places < 0:
         return F.bround(x, places)
     x = x.cast("double")
+    if places == 0:
+        return F.rint(x) + 0.0
+    # (a function of an array's element stays out of the code that is made for the usual numbers, and keeps that small)
+    rare = F.transform(F.array(x), lambda v: _rounded_rarely(v, places))[0]
+    if places > 15:
+        return rare
+    # Below 2^49 a double holds the scaled number's whole part and a half.
+    scale, size = float(10 ** places), F.abs(x)
+    near = F.floor(size * scale).cast("double")
+    found = (near + _up(size, scale, near).cast("double")) / scale
+    # (found is never below 0: tried in a condition, it is worked out without branches, each part of it once)
+    return F.when((size * scale < float(1 << 49)) & (found >= 0), F.signum(x) * found).otherwise(rare) + 0.0
+
+
+def _up(size: Column, scale: float, near: Column) -> Column:
+    """Whether size * scale lies above near + 0.5, or is just that and near is odd. A product of doubles and what it is off
+    by (from halves of 26 bits, whose products are exact) make the exact product, and the product is so near to the
+    middle that their difference is exact: the sum of both has the right sign."""
+    def halves(n):
+        wide = n * float((1 << 27) + 1)
+        high = wide - (wide - n)
+        return high, n - high
+
+    (high, low), (scale_high, scale_low) = halves(size), halves(scale)
+    product = size * scale
+    off = (high * scale - product) + low * scale if scale_low == 0 else (
+        ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low)
+    apart = (product - (near + 0.5)) + off
+    return (apart > 0) | ((apart == 0) & (near % 2 == 1))
+
+
+def _rounded_rarely(x: Column, places: int) -> Column:
+    """Numbers of so many digits that their scaled value is beyond a double, by decimals."""
+    if places <= 15:
+        scale, size = float(10 ** places), F.abs(x)
+        whole = F.floor(size).cast("double")
+        tail = size - whole  # (exact, and so it is rounded by itself)
+        near = F.floor(tail * scale).cast("double")
+        digits = (near + _up(tail, scale, near).cast("double")).cast("decimal(16,0)")
+        exact = whole.cast("decimal(16,0)") + digits / F.lit(10 ** places).cast("decimal(16,0)")
+        return F.when(size < 1e15, F.signum(x) * exact.cast("double")).otherwise(F.bround(x, places))
     # Only where the number as written is halfway can the two differ. There |x| = m * 2^-e exactly, and twice the scaled
     # number, m * 2 * 10^places / 2^e, is held against the odd number it is written as.
     scale = F.lit(10 ** places).cast("decimal(38,0)")
@@ -148,9 +189,11 @@ def floor_div(a: Column, b: Column) -> Column:
     """The quotient without its remainder, towards minus infinity: (a - modulo(a, b)) / b has no fraction to lose. Whole
     numbers of any size are divided as such."""
     whole = F.typeof(a).isin(*WHOLE) & F.typeof(b).isin(*WHOLE)
-    wide = lambda c: c.cast("decimal(38,0)")
+    long = lambda c: c.cast("bigint")
     rest = modulo(a, b)
-    return F.when(whole, F.call_function("div", wide(a) - wide(rest), wide(b))).otherwise(F.round((a - rest) / b).cast("bigint"))
+    towards_zero = F.call_function("div", long(a), long(b))
+    below = (long(a) % long(b) != 0) & ((long(a) < 0) != (long(b) < 0))
+    return F.when(whole, F.when(below, towards_zero - 1).otherwise(towards_zero)).otherwise(F.round((a - rest) / b).cast("bigint"))
 
 
 def modulo(a: Column, b: Column) -> Column:

@@ -105,6 +105,25 @@ def test_floor_division_of_whole_numbers(spark):
     assert [r.q for r in small.collect()] == [3, -4]
 
 
+def test_rounding_and_division_take_no_decimals(spark):
+    """Both cost several times as much by wide decimals; numbers next to a half, of every size, come out as round() has them."""
+    import math
+    import random
+
+    pick = random.Random(5)
+    near = [(2 * pick.randrange(10 ** pick.randrange(1, 15)) + 1) / 2 / 10 ** pick.randrange(0, 13) for _ in range(3000)]
+    numbers = [s * y for x in near for y in (x, math.nextafter(x, 0), math.nextafter(x, 1e300)) for s in (1, -1)]
+    numbers += [pick.uniform(-1, 1) * 10.0 ** pick.randrange(-20, 16) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    for places in (0, 1, 2, 4, 8, 11, 12, 15):
+        rows = df.select("x", X.rounded(F.col("x"), places).alias("y")).collect()
+        assert [(r.x, r.y) for r in rows if r.y != round(r.x, places)] == []
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(X.rounded(F.col("x"), 2)).collect()
+    assert math.isnan(odd[0][0]) and odd[1][0] == math.inf and odd[2][0] is None
+    plan = spark.range(1).select(X.floor_div(F.col("id") + 2 ** 62, F.col("id") - 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan
+
+
 def test_secrets_by_index_are_hidden_as_by_folding(spark):
     import random
 
