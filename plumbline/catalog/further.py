@@ -219,9 +219,11 @@ def estimates_of_merged_sketches(t):
 @query("""select o_custkey, o_orderkey, cast(sum(o_totalprice::decimal(15, 2)) over (partition by o_custkey order by o_orderkey) as double) as upto from orders""")
 def running_python(t):
     """A customer's orders in order, in Python, a batch at a time, in chunks that are put together."""
+    import pandas as pd
+
     def spent(state, frame):
-        cents = state + (frame["o_totalprice"] * 100).round().astype("int64").cumsum()
-        return int(cents.iloc[-1]), frame[["o_orderkey"]].assign(upto=cents / 100)
+        cents = state + (frame["o_totalprice"].to_numpy() * 100).round().astype("int64").cumsum()
+        return int(cents[-1]), pd.DataFrame({"o_orderkey": frame["o_orderkey"].to_numpy(), "upto": cents / 100})
 
     return in_order(t.orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey", spent, "o_orderkey long, upto double",
                     start=lambda: 0, combine=lambda a, b: a + b)

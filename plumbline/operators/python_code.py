@@ -21,6 +21,7 @@ if TYPE_CHECKING:  # (tasks of other operators need no pandas, and the memory th
     import pandas as pd
 
 SALTS = 64  # parts a group's partial results are merged in first
+MOST_TOGETHER = 10_000  # rows of several groups that go on in one frame
 
 
 @dataclass(frozen=True)
@@ -149,6 +150,7 @@ def in_order(df: DataFrame, by, order, step: Callable, schema: str, start: Calla
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[col(b) for b in by]).schema)
     made = ", ".join(x for x in (kinds, schema) if x)
     names, columns = T.StructType.fromDDL(made).names, df.columns
+    own = T.StructType.fromDDL(schema).names
     chunked, one = (whole.withColumn(CHUNK, F.lit(0)), True) if combine is None else in_chunks(whole, KEY, order, rows)
     marked = chunked.withColumns({"__state": F.lit(None).cast("binary"), "__mark": F.lit(1)})
     parts = [KEY, CHUNK]
@@ -157,47 +159,72 @@ def in_order(df: DataFrame, by, order, step: Callable, schema: str, start: Calla
         dealt = table.repartition(*parts).sortWithinPartitions(*parts, "__mark", *[col(o) for o in order])
         return dealt.withColumn("__part", F.xxhash64(*parts)).drop(KEY)
 
-    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
-        """(whether a part begins, some of its rows)"""
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+        """Of each batch: its parts, as (part, whether it begins, what the chunks before lead to, where its rows are, its rows)."""
         last = None
         for batch in batches:
-            ids = batch["__part"].to_numpy()
-            at = 0
-            while at < len(ids):
-                end = at + int((ids[at:] != ids[at]).argmax()) if (ids[at:] != ids[at]).any() else len(ids)
-                yield last != ids[at], batch.iloc[at:end]
-                last, at = ids[at], end
+            ids, marks, rows = batch["__part"].to_numpy(), batch["__mark"].to_numpy(), batch[columns]
+            cuts = [0, *((ids[1:] != ids[:-1]).nonzero()[0] + 1).tolist(), len(ids)]
+            found = []
+            for at, end in zip(cuts, cuts[1:]):
+                if at < end:
+                    carry = batch["__state"].iloc[at] if marks[at] == 0 else None
+                    some = rows.iloc[at + (carry is not None):end]
+                    some.index = pd.RangeIndex(len(some))
+                    found.append((ids[at], last != ids[at], carry, at, some))
+                    last = ids[at]
+            yield batch, found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
-        for begins, some in streams(batches):
-            if begins:
-                state = start()
-            if some["__mark"].iloc[0] == 0:  # what the chunks before lead to
-                state, some = pickle.loads(some["__state"].iloc[0]), some.iloc[1:]
-            if len(some):
-                state, out = step(state, some[columns].reset_index(drop=True))
+        for batch, parts_of in streams(batches):
+            outs, places, kinds_of = [], [], None
+
+            def together():  # (one frame of what many small groups gave: a frame costs more than its rows)
+                made_of = pd.concat(outs, ignore_index=True)[own]
                 for b in by:
-                    out[b] = some[b].iloc[0]
-                yield out[names]
+                    made_of[b] = batch[b].iloc[places].reset_index(drop=True)
+                return made_of[names]
+
+            for _, begins, carry, at, some in parts_of:
+                if begins:
+                    state = start()
+                if carry is not None:
+                    state = pickle.loads(carry)
+                if not len(some):
+                    continue
+                state, out = step(state, some)
+                kinds_now = [out[c].dtype for c in own]
+                if outs and (kinds_now != kinds_of or len(places) + len(out) > MOST_TOGETHER):
+                    yield together()
+                    outs, places = [], []
+                outs.append(out)
+                places.extend([at] * len(out))
+                kinds_of = kinds_now
+            if outs:
+                yield together()
 
     if one:
         return sorted_parts(marked).mapInPandas(run, made)
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, key = None, None
-        for begins, some in streams(batches):
-            if begins:
-                if key is not None:
-                    yield pd.DataFrame({"__part": [key], "__state": [pickle.dumps(state)]})
-                state, key = start(), some["__part"].iloc[0]
-            state, _ = step(state, some[columns].reset_index(drop=True))
+        for _, parts_of in streams(batches):
+            for part, begins, _, _, some in parts_of:
+                if begins:
+                    if key is not None:
+                        yield pd.DataFrame({"__part": [key], "__state": [pickle.dumps(state)]})
+                    state, key = start(), part
+                state, _ = step(state, some)
         if key is not None:
             yield pd.DataFrame({"__part": [key], "__state": [pickle.dumps(state)]})
 
-    ended = sorted_parts(marked).mapInPandas(ends, "__part bigint, __state binary")
-    known = chunked.select(*parts, *[col(b) for b in by]).groupBy(*parts).agg(F.count("*").alias("__n"), *[F.first(col(b)).alias(b) for b in by]).drop("__n").withColumn("__part", F.xxhash64(*parts))
-    ended = cut(known.join(ended, "__part").drop("__part"))  # (a row per chunk)
+    # Chunks are ranges, so at most one group goes on from each into the next: only groups of several chunks are run twice.
+    several = F.broadcast(cut(chunked.groupBy(KEY).agg(F.min(CHUNK).alias("__from"), F.max(CHUNK).alias("__to")).where("__from < __to").select(KEY)))
+    halved = chunked.join(several, KEY).select(chunked.columns)
+    ended = sorted_parts(halved.withColumns({"__state": F.lit(None).cast("binary"), "__mark": F.lit(1)})).mapInPandas(ends, "__part bigint, __state binary")
+    known = halved.select(*parts, *[col(b) for b in by]).groupBy(*parts).agg(F.count("*").alias("__n"), *[F.first(col(b)).alias(b) for b in by]).drop("__n").withColumn("__part", F.xxhash64(*parts))
+    ended = cut(known.join(ended, "__part").drop("__part"))  # (a row per chunk of those groups)
 
     def carried(group: pd.DataFrame) -> pd.DataFrame:
         state, states = start(), []

@@ -66,6 +66,23 @@ def test_state_that_cannot_be_combined(spark, small_batches):
     assert found == wanted
 
 
+def test_only_groups_of_several_chunks_run_twice(spark):
+    """3,000 groups of two rows in six chunks; results of unlike types (whole numbers beyond 2^53, missing) stay as they are."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def step(state, frame):
+        calls.add(1)
+        state += len(frame)
+        seen = [2 ** 60 + int(x) for x in frame["id"]] if frame["g"].iloc[0] % 3 else [None] * len(frame)
+        return state, pd.DataFrame({"n": state, "seen": seen, "id": frame["id"]})
+
+    df = spark.range(6000).select("id", (F.col("id") % 3000).alias("g")).repartition(3)
+    found = in_order(df, "g", "id", step, "id long, n long, seen long", start=lambda: 0, combine=lambda a, b: a + b, rows=1000).collect()
+    assert sorted(r.id for r in found) == list(range(6000))
+    assert all(r.g == r.id % 3000 and r.seen == (2 ** 60 + r.id if r.g % 3 else None) for r in found)
+    assert calls.value <= 3000 + 5 * 2
+
+
 def test_without_groups_and_without_rows(spark, small_batches):
     df = spark.range(1000).selectExpr("id", "id as x")
     for more in ({}, {"combine": lambda a, b: a + b, "rows": 130}):
