@@ -126,12 +126,17 @@ def repeated_key_examples(t):
     return repeated_keys(_spoiled(t), ["o_custkey", "priority"], row="row")
 
 
+FILE_ROWS = 500_000
+
+
 def in_files(t, folder: str):
     """The orders in order, written as files of unlike sizes in three folders, and read back."""
-    made, last = f"{checkpoint_dir(t.spark)}/{folder}-{uuid.uuid4().hex}", t.orders.agg(F.max("o_orderkey")).first()[0]
+    made = f"{checkpoint_dir(t.spark)}/{folder}-{uuid.uuid4().hex}"
+    last, rows = t.orders.agg(F.max("o_orderkey"), F.count("*")).first()
+    files = max(2, rows // FILE_ROWS)  # (of a folder; each is put in order by one task)
     ends = [0, last // 50, last - last // 10, last + 1]
     for i, (a, b) in enumerate(zip(ends, ends[1:])):
-        part = t.orders.where(F.col("o_orderkey").between(a, b - 1)).repartitionByRange(2, "o_orderkey")
+        part = t.orders.where(F.col("o_orderkey").between(a, b - 1)).repartitionByRange(files, "o_orderkey")
         part.sortWithinPartitions("o_orderkey").write.parquet(f"{made}/{i}")
     return t.spark.read.parquet(*[f"{made}/{i}" for i in range(3)])
 

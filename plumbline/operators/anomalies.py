@@ -329,7 +329,7 @@ class _Setup:
         values = [read_as("float", col(n)) if has[n] == "text" else col(n).cast("double") for n in self.numbers]
         if not row:
             df = in_places(df)  # (a busy date's latest values are those that come last in the table)
-        order = col(row) if row else place()
+        order, self.placed = (col(row), False) if row else (place(), True)
         self.base = df.withColumns({KEY: key_of(self.groups), "__t": us, "__at": when, "__row": order,
                                     **{f"__v{j}": v for j, v in enumerate(values)}})
         self._look(has, row)
@@ -430,10 +430,20 @@ class _Setup:
 
     # --- judging ---------------------------------------------------------------------------------------------
 
+    def in_order(self) -> DataFrame:
+        """The points with a whole number for their place: files are numbered by name, so that what is sorted, a task's
+        rows at once, holds no name of a file."""
+        if not self.placed:
+            return self.points
+        names = self.base.select(F.col("__row")["file"].alias("__file")).distinct()  # (a row per file)
+        files = F.broadcast(names.withColumn("__nth", F.row_number().over(W.orderBy("__file")).cast("bigint")))
+        place_of = F.col("__nth") * F.lit(1 << 40) + F.col("__row")["row"]
+        return self.points.join(files, F.col("__row")["file"] == F.col("__file")).withColumn("__row", place_of).drop("__file", "__nth")
+
     def bands(self) -> DataFrame:
         """Each date's usual range per number column: (key, block, whole, __b0, __b1, ...)."""
         values = [F.struct(F.lit(j).alias("j"), F.col(f"__v{j}").alias("v")) for j in range(len(self.numbers))]
-        long = self.points.select(KEY, "__block", F.col("__whole").alias("whole"), F.col("__row").alias("row"),
+        long = self.in_order().select(KEY, "__block", F.col("__whole").alias("whole"), F.col("__row").alias("row"),
                                   F.explode(F.array(*values)).alias("p")).select(KEY, "__block", "whole", "row", "p.*")
         history = latest_earlier_values(long, [KEY, "__block", "j"], self.last, self.chunks)
         found = usual_range(history, self.spreads)
