@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from plumbline.llm import simhash
-from plumbline.llm.components import connected, linked_in_buckets
+from plumbline.llm import components, simhash
+from plumbline.llm.components import connected, cut, linked_in_buckets
 from plumbline.llm.simhash import bucket_keys, fingerprint, home, keep_one, near_duplicates
 
 
@@ -124,6 +124,21 @@ def test_documents(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(v) for v in least.values())
 
 
+def test_buckets_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the keys, some 70 a fingerprint, for as large as the fingerprints: it would send them all to the driver."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(components, "cut", seen)
+    monkeypatch.setattr(simhash, "cut", seen)
+    near_duplicates(spark.createDataFrame(documents(), "doc_id long, text string"))
+    buckets = [p for p in plans if "Join" in p and "MapInArrow" in p]
+    assert buckets and all("SortMergeJoin" in p and "Broadcast" not in p for p in buckets)
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).count() == 0 and keep_one(docs).count() == 0
