@@ -128,9 +128,9 @@ def test_buckets_are_not_broadcast(spark, monkeypatch):
     """Spark takes the keys, some 70 a fingerprint, for as large as the fingerprints: it would send them all to the driver."""
     plans = []
 
-    def seen(df):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return cut(df)
+    def seen(*tables):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for df in tables)
+        return cut(*tables)
 
     monkeypatch.setattr(components, "cut", seen)
     monkeypatch.setattr(simhash, "cut", seen)
